@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import interpolation, langid, packing, secrets, simhash
+from tidewatch.llm import interpolation, langid, licenses, media, packing, secrets, sharding, simhash
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,19 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_docs(spark, sf_dir))
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = media.media_columns(_docs(spark, sf_dir))
+    return rows.drop("shard", "offset", "length", "digest")
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_docs(spark, sf_dir)).drop("detections")
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(_docs(spark, sf_dir))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_docs(spark, sf_dir)))
 
@@ -38,6 +51,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_lm_scoring": op2_lm_scoring,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_media_columns": op4_media_columns,
+    "op5_license_scan": op5_license_scan,
+    "op6_sharding": op6_sharding,
     "op7_secret_scan": op7_secret_scan,
     "op9_packing": op9_packing,
 }
