@@ -250,7 +250,7 @@ def scan(docs: DataFrame) -> DataFrame:
     kept = F.transform("detections", lambda d: d["label"])
     weight = F.lit(0.0)
     for p, w in WEIGHTS.items():
-        weight = F.greatest(weight, F.when(F.exists("detections", lambda d, p=p: d["priority"] == p), w).otherwise(0.0))
+        weight = F.greatest(weight, F.when(F.array_contains(F.transform("detections", lambda d: d["priority"]), p), w).otherwise(0.0))
     join = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
     return cut.select(
         "doc_id", "n_words", sum(count[1:], count[0]).cast("long").alias("n_base"),
