@@ -1,0 +1 @@
+"""Spark-native anomaly analytics over canonical event tables."""
