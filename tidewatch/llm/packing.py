@@ -11,8 +11,10 @@ maps ranks within a length to sequences, so executors place pieces on their own.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,45 +26,85 @@ from tidewatch.llm._common import materialize, text_slices
 END_ID = 1
 #: Rank buckets of a length: one length may hold a third of all pieces.
 BUCKETS = 256
+#: A letter and the sentence mark behind it, which are never one token.
+_MARKED = re.compile(r"([A-Za-z])([.,;:!?])(?=\s|$)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable letter of each byte in byte-level vocabularies: itself where
+    it prints, else the next code point from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 class WordTokenizer:
-    """A tokenizer file with a cache of whole words. Words between ASCII blanks
-    are encoded alone, which gives the same ids as the whole text because blanks
-    always part tokens; texts naming a special token are encoded as a whole."""
+    """A tokenizer file with a cache of whole words.
+
+    Words between ASCII blanks are encoded alone, which gives the ids of the
+    whole text because blanks always part tokens; so does a letter before a
+    sentence mark, so marks are split off first. Words of letters alone go straight
+    to the merge model, if a probe shows that it gives the file's ids. Texts that
+    name a special token are encoded as a whole.
+    """
 
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str, cache: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.inner.get_added_tokens_decoder().values()]
+        added = self.inner.get_added_tokens_decoder()
+        self.special = [t.content for t in added.values()]
+        self.letters = _byte_letters()
+        probe = ["the", "Straße", "éclair", "ÀÉÎ", "zzyzxq", "a"]
+        apart = self.inner.encode_batch_fast(probe, add_special_tokens=False)
+        self.direct = all(self._model(w) == e.ids for w, e in zip(probe, apart, strict=True))
         self.room, self.known = cache, {}
+        self.flat, self.first, self.lens = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _model(self, word: str) -> list[int]:
+        """Ids of a word of Latin-1 letters, by the merge model alone: what the
+        file does before it comes down to lower case and byte letters."""
+        return [t.id for t in self.inner.model.tokenize(word.lower().encode().decode("latin-1").translate(self.letters))]
+
+    def _new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words end to end, and how many each has."""
+        ids: list[list[int] | None] = [self._model(w) if self.direct and w.isalpha() and max(w) <= "\xff" else None for w in words]
+        rest = [i for i, x in enumerate(ids) if x is None]
+        for i, e in zip(rest, self.inner.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
+            ids[i] = e.ids
+        return np.fromiter(chain.from_iterable(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as unsigned 32-bit arrays."""
-        import pandas as pd
-
-        words = [t.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") for t in texts]
-        sizes = np.array([len(w) for w in words])
-        codes, names = pd.factorize(np.array([x for w in words for x in w], dtype=object))
-        ids = [self.known.get(w) for w in names]
-        missing = [i for i, x in enumerate(ids) if x is None]
-        for i, e in zip(missing, self.inner.encode_batch_fast([names[i] for i in missing], add_special_tokens=False), strict=True):
-            ids[i] = np.array(e.ids, "<u4")
-            if len(self.known) < self.room:
-                self.known[names[i]] = ids[i]
-        lens = np.array([len(x) for x in ids])
-        flat, first = np.concatenate([*ids, np.empty(0, "<u4")]).astype("<u4"), np.cumsum(lens) - lens
+        whole = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
+        plain = list(texts)
+        for i in whole:
+            plain[i] = ""
+        words = [_MARKED.sub(r"\1 \2", t).replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") for t in plain]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        every = list(chain.from_iterable(words))
+        codes = np.fromiter(map(self.known.get, every, repeat(-1)), np.int64, len(every))
+        flat, first, lens = self.flat, self.first, self.lens
+        missing = np.flatnonzero(codes < 0)
+        if len(missing):
+            names: dict[str, int] = {}
+            for i in missing.tolist():
+                codes[i] = names.setdefault(every[i], len(lens) + len(names))
+            more, sizes_of = self._new(list(names))
+            first = np.concatenate([first, len(flat) + np.cumsum(sizes_of) - sizes_of])
+            flat, lens = np.concatenate([flat, more]), np.concatenate([lens, sizes_of])
+            if len(lens) <= self.room:
+                self.known |= names
+                self.flat, self.first, self.lens = flat, first, lens
         per_word = lens[codes]
         stop = np.cumsum(per_word)
         place = np.arange(stop[-1] if len(stop) else 0) + np.repeat(first[codes] - (stop - per_word), per_word)
         stream = flat[place]
         bounds = np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(sizes)])]
         out = [stream[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
-        for i, t in enumerate(texts):
-            if any(s in t for s in self.special):
-                out[i] = np.array(self.inner.encode(t, add_special_tokens=False).ids, "<u4")
+        for i in whole:
+            out[i] = np.array(self.inner.encode(texts[i], add_special_tokens=False).ids, "<u4")
         return out
 
 
