@@ -51,7 +51,8 @@ class Params:
     modulus: int = 7
     skip: int = 2
     deleted: int = 4
-    slice_chars: int = 12_000_000
+    slice_chars: int = 20_000_000
+    pair_bits: int = 48
     rounds: int = 60
 
 
@@ -103,13 +104,14 @@ def token_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*keys, np.empty(0, np.uint64)]), np.array(sizes, np.int64)
 
 
-def bigram_keys(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The key of each token with the one before it in its text."""
+def bigram_keys(tokens: np.ndarray, sizes: np.ndarray, bits: int) -> np.ndarray:
+    """The key of each token with the one before it in its text: the upper
+    ``bits`` of a 64-bit hash, moved down."""
     before = np.empty_like(tokens)
     if len(tokens):
         before[1:] = tokens[:-1]
         before[np.cumsum(sizes) - sizes] = START
-    return _mix(before * np.uint64(0xD6E8FEB86659FD93) + tokens)
+    return _mix(before * np.uint64(0xD6E8FEB86659FD93) + tokens) >> np.uint64(64 - bits)
 
 
 def _press(values: np.ndarray, sorted_keys: bool = False) -> bytes:
@@ -128,58 +130,59 @@ def _unpress(data: bytes, kind: type, sorted_keys: bool = False) -> np.ndarray:
     return np.cumsum(values, dtype=kind) if sorted_keys else values
 
 
-_REDUCED = "batch string, part int, order int, docs binary, stream binary, keys binary, seen binary, deleted binary"
+_REDUCED = "batch string, away boolean, part int, order int, docs binary, stream binary, keys binary, seen binary, deleted binary"
 
 
 def _reduce(params: Params, parts: int):
     """Texts to token streams (part -1) and distinct keys by range and order."""
-    width = np.uint64((1 << 64) // parts + 1)
+    kinds = [pa.string(), pa.bool_(), pa.int32(), pa.int32(), *[pa.binary()] * 5]
+    names = ["batch", "away", "part", "order", "docs", "stream", "keys", "seen", "deleted"]
+
+    def out(ids: list, roles: list, tokens: list[np.ndarray], sizes: list[np.ndarray], away: bool) -> pa.RecordBatch:
+        name = uuid.uuid4().hex
+        toks, lens = np.concatenate(tokens), np.concatenate(sizes)
+        role = np.repeat(np.array(roles, np.int8), lens)
+        rows = []
+        vocabulary, stream = np.unique(toks, return_inverse=True)
+        for order, bits in ((1, 64), (2, params.pair_bits)):
+            if order == 1:
+                keys, place = vocabulary, stream
+            else:
+                keys, place = np.unique(bigram_keys(toks, lens, bits), return_inverse=True)
+            seen = np.bincount(place[role > 0], minlength=len(keys)).astype(np.uint32)
+            gone = np.bincount(place[role > 1], minlength=len(keys)).astype(np.uint32)
+            cuts = np.searchsorted(keys // np.uint64((1 << bits) // parts + 1), np.arange(parts + 1))
+            for part, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                if b > a:
+                    rows.append((name, away, part, order, None, None, _press(keys[a:b], True), _press(seen[a:b]), _press(gone[a:b])))
+        head = pa.table({"doc_id": pa.array(ids, pa.int64()), "role": pa.array(roles, pa.int8()), "size": lens})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, head.schema) as writer:
+            writer.write_table(head)
+        rows.append((name, away, -1, 0, sink.getvalue().to_pybytes(), _press(stream.astype(np.uint32)), _press(vocabulary, True), None, None))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, roles, tokens, sizes, held = [], [], [], [], 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            name = uuid.uuid4().hex
-            toks, lens = np.concatenate(tokens), np.concatenate(sizes)
-            role = np.repeat(np.array(roles, np.int8), lens)
-            rows = []
-            vocabulary, stream = np.unique(toks, return_inverse=True)
-            for order in (1, 2):
-                if order == 1:
-                    keys, place = vocabulary, stream
-                else:
-                    keys, place = np.unique(bigram_keys(toks, lens), return_inverse=True)
-                seen = np.bincount(place[role > 0], minlength=len(keys)).astype(np.uint32)
-                gone = np.bincount(place[role > 1], minlength=len(keys)).astype(np.uint32)
-                cuts = np.searchsorted(keys // width, np.arange(parts + 1))
-                for part, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    if b > a:
-                        rows.append((name, part, order, None, None, _press(keys[a:b], True), _press(seen[a:b]), _press(gone[a:b])))
-            head = pa.table({"doc_id": pa.array(ids, pa.int64()), "role": pa.array(roles, pa.int8()), "size": lens})
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, head.schema) as writer:
-                writer.write_table(head)
-            rows.append((name, -1, 0, sink.getvalue().to_pybytes(), _press(stream.astype(np.uint32)), _press(vocabulary, True), None, None))
-            kinds = [pa.string(), pa.int32(), pa.int32(), *[pa.binary()] * 5]
-            names = ["batch", "part", "order", "docs", "stream", "keys", "seen", "deleted"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
+        # Held-out rows go apart: the weights are learned from them alone.
+        held: dict[bool, list[list]] = {False: [[], [], [], []], True: [[], [], [], []]}
+        chars = {False: 0, True: 0}
         for batch in batches:
-            role_of = dict(enumerate(batch.column("role").to_pylist()))
-            at = 0
-            for keys, texts in text_slices(iter([batch]), 2_000_000):
-                t, s = token_keys(texts)
-                ids += keys
-                roles += [role_of[at + i] for i in range(len(keys))]
-                at += len(keys)
-                tokens.append(t)
-                sizes.append(s)
-                held += sum(map(len, texts))
-                if held >= params.slice_chars:
-                    yield from out()
-                    ids, roles, tokens, sizes, held = [], [], [], [], 0
-        if ids:
-            yield from out()
+            role = batch.column("role").to_numpy()
+            for away in (False, True):
+                mine = batch.filter(pa.array((role > 1) == away))
+                roles, at = mine.column("role").to_pylist(), 0
+                for keys, texts in text_slices(iter([mine]), 2_000_000):
+                    t, s = token_keys(texts)
+                    for store, more in zip(held[away], (keys, roles[at : at + len(keys)], [t], [s]), strict=True):
+                        store += more
+                    at += len(keys)
+                    chars[away] += sum(map(len, texts))
+                    if chars[away] >= params.slice_chars:
+                        yield out(*held[away], away)
+                        held[away], chars[away] = [[], [], [], []], 0
+        for away, stores in held.items():
+            if stores[0]:
+                yield out(*stores, away)
 
     return run
 
@@ -202,11 +205,11 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
             most = np.iinfo(np.int64 if order == 1 else np.uint32).max
             seen, gone = (_press(np.minimum(t[mine], most).astype(kind)) for t in totals)
             first = i == 0 and order == 1
-            out.append((name, rows["part"].iloc[0], order, seen, gone, distinct if first else 0, int(totals[0].sum()) if first else 0, int(totals[1].sum()) if first else 0))
-    return pd.DataFrame(out, columns=["batch", "part", "order", "seen", "deleted", "distinct", "tokens", "gone"])
+            out.append((name, bool(rows["away"].iloc[i]), rows["part"].iloc[0], order, seen, gone, distinct if first else 0, int(totals[0].sum()) if first else 0, int(totals[1].sum()) if first else 0))
+    return pd.DataFrame(out, columns=["batch", "away", "part", "order", "seen", "deleted", "distinct", "tokens", "gone"])
 
 
-_ANSWER = "batch string, part int, order int, seen binary, deleted binary, distinct long, tokens long, gone long"
+_ANSWER = "batch string, away boolean, part int, order int, seen binary, deleted binary, distinct long, tokens long, gone long"
 
 
 def _levels(counts: np.ndarray) -> np.ndarray:
@@ -228,13 +231,13 @@ def context_bucket(counts: np.ndarray) -> np.ndarray:
 class _Batch:
     """A task's texts with the corpus totals of each of their tokens."""
 
-    def __init__(self, stored: pd.DataFrame, answers: pd.DataFrame):
+    def __init__(self, stored: pd.DataFrame, answers: pd.DataFrame, bits: int):
         row = stored.iloc[0]
         self.docs = pa.ipc.open_stream(row["docs"]).read_pandas()
         stream = _unpress(row["stream"], np.uint32)
         self.sizes = self.docs["size"].to_numpy()
         tokens = _unpress(row["keys"], np.uint64, True)[stream]
-        _, pair = np.unique(bigram_keys(tokens, self.sizes), return_inverse=True)
+        _, pair = np.unique(bigram_keys(tokens, self.sizes, bits), return_inverse=True)
         answers = answers.sort_values(["order", "part"])
         one, two = (answers[answers["order"] == k] for k in (1, 2))
         get = lambda rows, column, kind: np.concatenate([_unpress(x, kind) for x in rows[column]]).astype(np.int64)
@@ -250,14 +253,14 @@ class _Batch:
         return before
 
 
-def _histogram(texts: int):
+def _histogram(texts: int, bits: int):
     """Cells (context, pair, word) of the deleted tokens, with totals that leave
     the deleted part out."""
 
     def run(key, stored: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(stored):
             return pd.DataFrame({"cell": [], "n": []}).astype("int64")
-        b = _Batch(stored, answers)
+        b = _Batch(stored, answers, bits)
         mine = np.repeat(b.docs["role"].to_numpy() > 1, b.sizes)
         word = b.word - b.word_gone
         context, pair = b.context(word, texts)[mine], (b.pair - b.pair_gone)[mine]
@@ -291,12 +294,12 @@ def mixture(cells: np.ndarray, n: np.ndarray, tokens: int, vocabulary: int, roun
     return weights
 
 
-def _score(weights: np.ndarray, tokens: int, vocabulary: int, texts: int):
+def _score(weights: np.ndarray, tokens: int, vocabulary: int, texts: int, bits: int):
     def run(key, stored: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         columns = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
         if not len(stored):
             return pd.DataFrame({c: [] for c in columns})
-        b = _Batch(stored, answers)
+        b = _Batch(stored, answers, bits)
         base = np.log10((b.word + 1.0) / (tokens + 1.0 * (vocabulary + 1)))
         context = b.context(b.word, texts)
         w = weights[context_bucket(context)]
@@ -325,18 +328,19 @@ def score(docs: DataFrame, params: Params = Params()) -> DataFrame:
     reduced = docs.select(F.col("doc_id").cast("long"), "text", role.alias("role")).mapInArrow(_reduce(params, parts), _REDUCED)
     reduced = materialize(reduced, "ngrams", "none")
     stored = reduced.where("part < 0")
-    asked = reduced.where("part >= 0").select("batch", "part", "order", "keys", "seen", "deleted")
+    asked = reduced.where("part >= 0").select("batch", "away", "part", "order", "keys", "seen", "deleted")
     answers = materialize(asked.groupBy("part").applyInPandas(_answer, _ANSWER), "totals", "none")
     seen = answers.agg(F.sum("distinct"), F.sum("tokens"), F.sum("gone")).first()
     vocabulary, tokens, gone = (int(x or 0) for x in seen)
     counts = docs.select(role.alias("role")).groupBy("role").count().collect()
     texts = {r["role"]: r["count"] for r in counts}
     trained = texts.get(1, 0) + texts.get(2, 0)
-    met = stored.groupBy("batch").cogroup(answers.groupBy("batch"))
-    cells = met.applyInPandas(_histogram(texts.get(1, 0)), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    gone_only = stored.where("away").groupBy("batch").cogroup(answers.where("away").groupBy("batch"))
+    cells = gone_only.applyInPandas(_histogram(texts.get(1, 0), params.pair_bits), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     weights = mixture(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(float), tokens - gone, vocabulary, params.rounds)
+    met = stored.groupBy("batch").cogroup(answers.groupBy("batch"))
     scored = met.applyInPandas(
-        _score(weights, tokens, vocabulary, trained), "doc_id long, n_tokens long, n_known long, base_score double, score double"
+        _score(weights, tokens, vocabulary, trained, params.pair_bits), "doc_id long, n_tokens long, n_known long, base_score double, score double"
     )
     return scored.select(
         "doc_id", away.alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score"
