@@ -15,9 +15,10 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
+from operator import add
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,7 +64,10 @@ class Vocabulary:
         of_byte = {int(i): bytes([b]) for b, i in enumerate(self.byte_ids)}
         self.raw = [of_byte.get(i, b"" if special[i] else p.replace(MARK, " ").encode()) for i, p in enumerate(self.pieces)]
         # Characters outside the vocabulary get ids above it: they never merge.
-        self.outside: dict[str, int] = {}
+        self.chars = n + np.arange(0x110000, dtype=np.int64)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.chars[ord(p)] = i
         left, right, merged = [], [], []
         for piece, i in self.ids.items():
             for cut in range(1, len(piece)):
@@ -75,16 +79,12 @@ class Vocabulary:
         keys = np.array(left, np.int64) << 32 | np.array(right, np.int64)
         order = np.argsort(keys)
         self.keys, self.merged = keys[order], np.array(merged, np.int64)[order]
-        best = np.argsort(-score[self.merged], kind="stable")
-        self.rank = np.empty(len(best), np.int64)
         levels = np.unique(-score[self.merged])
         self.rank = np.searchsorted(levels, -score[self.merged])
 
-    def char_id(self, c: str) -> int:
-        i = self.ids.get(c)
-        if i is None:
-            i = self.outside.setdefault(c, len(self.pieces) + len(self.outside))
-        return i
+    def char_ids(self, text: str) -> np.ndarray:
+        """The symbol of each character."""
+        return self.chars[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Index of the merge of two symbols, or -1."""
@@ -96,29 +96,34 @@ class Vocabulary:
 _NONE = np.iinfo(np.int64).max
 
 
-def merge_units(vocabulary: Vocabulary, units: list[str], keys: np.ndarray, rate: float) -> list[np.ndarray]:
-    """Symbol ids of each unit under its key. Units of like length run together;
-    each round makes every unit's best live merge."""
-    out: list[np.ndarray] = [np.empty(0, np.int64)] * len(units)
-    size = np.array([len(u) for u in units])
+def merge_units(vocabulary: Vocabulary, units: list[str], keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Symbol ids of all units under their keys end to end, and how many each
+    has. Units of like length run together; each round makes every unit's best
+    live merge."""
+    size = np.fromiter(map(len, units), np.int64, len(units))
     order = np.argsort(size, kind="stable")
-    at = 0
+    counts, parts, at = np.zeros(len(units), np.int64), [np.empty(0, np.int64)], 0
     while at < len(order):
         reach = int(size[order[at]])
-        stop = at
-        while stop < len(order) and stop - at < 16384 and size[order[stop]] <= max(reach + 2, reach * 5 // 4):
-            stop += 1
+        stop = min(at + 16384, int(np.searchsorted(size[order], max(reach + 2, reach * 5 // 4), "right")))
         rows = order[at:stop]
         at = stop
-        for r, ids in zip(rows, _merge_block(vocabulary, [units[r] for r in rows], keys[rows], rate), strict=True):
-            out[r] = ids
-    return out
+        flat, counts[rows] = _merge_block(vocabulary, [units[r] for r in rows], keys[rows], rate)
+        parts.append(flat)
+    return ragged(np.concatenate(parts), counts[order], np.argsort(order)), counts
 
 
-def _merge_block(vocabulary: Vocabulary, units: list[str], keys: np.ndarray, rate: float) -> list[np.ndarray]:
-    n, width = len(units), max(map(len, units))
-    size = np.array([len(u) for u in units])
-    chars = [vocabulary.char_id(c) for u in units for c in u]
+def ragged(flat: np.ndarray, lens: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The chosen rows of a ragged array, end to end."""
+    first, per = np.cumsum(lens) - lens, lens[rows]
+    stop = np.cumsum(per)
+    return flat[np.arange(stop[-1] if len(stop) else 0) + np.repeat(first[rows] - (stop - per), per)]
+
+
+def _merge_block(vocabulary: Vocabulary, units: list[str], keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    size = np.fromiter(map(len, units), np.int64, len(units))
+    n, width = len(units), int(size.max())
+    chars = vocabulary.char_ids("".join(units))
     inside = np.arange(width) < size[:, None]
     symbol = np.full((n, width), -1, np.int64)
     symbol[inside] = chars
@@ -167,33 +172,42 @@ def _merge_block(vocabulary: Vocabulary, units: list[str], keys: np.ndarray, rat
             r, c = live[ok], c[ok]
             best_index[r, c], best_rank[r, c] = candidates(r, c)
         live = live[best_rank[live].min(axis=1) < _NONE]
-    return [symbol[i, : count[i]].copy() for i in range(n)]
+    return symbol[place < count[:, None]], count
 
 
 class Encoder:
     """Texts to ids and back, with a cache of (unit, variant)."""
 
-    def __init__(self, path: str, rate: float, seed: int, room: int = 400_000):
+    def __init__(self, path: str, rate: float, seed: int, room: int = 1_000_000):
         self.vocabulary, self.rate, self.seed = Vocabulary(path), rate, seed
         self.room, self.known = room, {}
+        self.flat, self.lens = np.empty(0, np.int32), np.empty(0, np.int64)
 
-    def _finish(self, symbols: np.ndarray) -> np.ndarray:
-        """Symbols outside the vocabulary become the ids of their bytes."""
+    def _merge(self, units: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units end to end, and how many each has: symbols outside
+        the vocabulary become the ids of their bytes."""
+        flat, lens = merge_units(self.vocabulary, units, keys, self.rate)
         n = len(self.vocabulary.pieces)
-        if not len(symbols) or symbols.max() < n:
-            return symbols.astype(np.int32)
-        names = {i: c for c, i in self.vocabulary.outside.items()}
-        parts = [self.vocabulary.byte_ids[list(names[int(s)].replace(_LITERAL, MARK).encode())] if s >= n else [s] for s in symbols]
-        return np.concatenate(parts).astype(np.int32)
+        if not (outside := np.flatnonzero(flat >= n)).size:
+            return flat.astype(np.int32), lens
+        spelt = [list(chr(s - n).replace(_LITERAL, MARK).encode()) for s in flat[outside].tolist()]
+        per = np.ones(len(flat), np.int64)
+        per[outside] = [len(x) for x in spelt]
+        wide = np.repeat(flat, per)
+        wide[np.repeat(flat >= n, per)] = self.vocabulary.byte_ids[[b for x in spelt for b in x]]
+        return wide.astype(np.int32), np.add.reduceat(per, np.cumsum(lens) - lens)
 
     def encode(self, texts: list[str], row_keys: list[int]) -> list[np.ndarray]:
         """Ids of each text. A unit's variant comes from the seed, the row's key
         and the unit's place, its merges from the seed, the unit and variant."""
         rows = [_UNIT.findall(MARK + t.replace(MARK, _LITERAL).replace(" ", MARK)) if t else [] for t in texts]
         sizes = np.array([len(r) for r in rows], np.int64)
-        codes, names = pd.factorize(np.array([u for r in rows for u in r], dtype=object))
-        if not len(codes):
+        every = list(chain.from_iterable(rows))
+        if not every:
             return [np.empty(0, np.int32)] * len(texts)
+        names = list(dict.fromkeys(every))
+        index = dict(zip(names, range(len(names)), strict=True))
+        codes = np.fromiter(map(index.__getitem__, every), np.int64, len(every))
         with np.errstate(over="ignore"):
             row = mix(np.array([k & 0xFFFFFFFFFFFFFFFF for k in row_keys], np.uint64) ^ np.uint64(self.seed))
             place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -202,23 +216,23 @@ class Encoder:
             variant[:] = 0
         wanted, at = np.unique(codes * VARIANTS + variant, return_inverse=True)
         unit, which = [names[i] for i in wanted // VARIANTS], wanted % VARIANTS
-        ids = [self.known.get((u, v)) for u, v in zip(unit, which.tolist(), strict=True)]
-        missing = [i for i, x in enumerate(ids) if x is None]
-        if missing:
+        entry = list(map(add, unit, map("\0\1\2\3\4\5\6\7".__getitem__, which.tolist())))
+        slot = np.fromiter(map(self.known.get, entry, repeat(-1)), np.int64, len(entry))
+        flat, lens = self.flat, self.lens
+        missing = np.flatnonzero(slot < 0)
+        if len(missing):
+            new = [unit[i] for i in missing]
             with np.errstate(over="ignore"):
-                name = np.array([zlib.crc32((b := unit[i].encode(errors="surrogatepass"))) << 32 | zlib.adler32(b) for i in missing], np.uint64)
+                name = np.array([zlib.crc32(b := u.encode(errors="surrogatepass")) << 32 | zlib.adler32(b) for u in new], np.uint64)
                 keys = mix(name ^ mix(np.uint64(self.seed) + which[missing].astype(np.uint64)))
-            for i, s in zip(missing, merge_units(self.vocabulary, [unit[i] for i in missing], keys, self.rate), strict=True):
-                ids[i] = self._finish(s)
-                if len(self.known) < self.room:
-                    self.known[unit[i], int(which[i])] = ids[i]
-            if len(self.vocabulary.outside) > 100_000:
-                self.vocabulary.outside.clear()
-        lens = np.array([len(x) for x in ids])
-        flat, first = np.concatenate(ids), np.cumsum(lens) - lens
-        per_unit = lens[at]
-        stop = np.cumsum(per_unit)
-        stream = flat[np.arange(stop[-1]) + np.repeat(first[at] - (stop - per_unit), per_unit)]
+            more, sizes_of = self._merge(new, keys)
+            slot[missing] = len(lens) + np.arange(len(missing))
+            flat, lens = np.concatenate([flat, more]), np.concatenate([lens, sizes_of])
+            if len(lens) <= self.room:
+                self.known.update(zip((entry[i] for i in missing), slot[missing].tolist(), strict=True))
+                self.flat, self.lens = flat, lens
+        chosen = slot[at]
+        stream, stop = ragged(flat, lens, chosen), np.cumsum(lens[chosen])
         bounds = np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(sizes)])]
         return [stream[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
