@@ -160,14 +160,15 @@ def _over_members(stored: DataFrame, folder: str, work, schema: str, whole: bool
         name, handle, seen = None, None, {}
         for batch in batches:
             places = list(zip(*(batch.column(c).to_pylist() for c in ("shard", "offset", "length")), strict=True))
+            found = []
             for shard, offset, length in places:
-                if (shard, offset) not in seen:
-                    if shard != name:
-                        if handle:
-                            handle.close()
-                        name, handle, seen = shard, files.open_input_file(f"{root}/{shard}"), {}
-                    seen[shard, offset] = work(handle.read_at(length if whole else min(length, HEADER_BYTES), offset))
-            found = [seen[s, o] for s, o, _ in places]
+                if shard != name:
+                    if handle:
+                        handle.close()
+                    name, handle, seen = shard, files.open_input_file(f"{root}/{shard}"), {}
+                if offset not in seen:
+                    seen[offset] = work(handle.read_at(length if whole else min(length, HEADER_BYTES), offset))
+                found.append(seen[offset])
             if found:
                 added = [pa.array([f[i] for f in found]) for i in range(len(found[0]))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *(c.split()[0] for c in schema.split(", "))])
