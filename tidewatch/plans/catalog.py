@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import model_queries
+from tidewatch.plans import model_queries, source_queries
 
-QUERIES = dict(model_queries.QUERIES)
-ORACLE = dict(model_queries.ORACLE)
+QUERIES = model_queries.QUERIES | source_queries.QUERIES
+ORACLE = model_queries.ORACLE | source_queries.ORACLE
