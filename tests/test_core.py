@@ -14,7 +14,8 @@ from tidewatch.sinks import archive
 
 SF = "/root/testdata/sf0.001"
 QUICK = ["structuring", "structuring_banded", "benford", "benford_ks", "reciprocity", "scatter_gather", "degree_deviation", "network_oddball", "time_velocity",
-         "burst", "time_correlation", "time_correlation_anypair", "parse_amounts", "source_counts", "distinct_events", "window_tumbling", "window_sliding"]
+         "burst", "time_correlation", "time_correlation_anypair", "parse_amounts", "source_counts", "distinct_events", "window_tumbling", "window_sliding",
+         "parse_dates", "prose_fields", "key_value_lines", "json_field", "normalized_orders", "entity_resolution", "window_session"]
 
 
 @pytest.fixture(scope="module")
