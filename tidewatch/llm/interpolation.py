@@ -51,7 +51,7 @@ class Params:
     modulus: int = 7
     skip: int = 2
     deleted: int = 4
-    slice_chars: int = 20_000_000
+    slice_chars: int = 6_000_000
     pair_bits: int = 48
     rounds: int = 60
 
