@@ -46,13 +46,15 @@ LEVELS = 96
 class Params:
     """Training rows leave ``modulus`` with a remainder other than ``skip``;
     among them those with ``deleted`` give the held-out counts. ``slice_chars``
-    bounds the text that a task reduces at a time."""
+    bounds the text that a task reduces at a time; each shuffle partition sums
+    ``ranges`` key ranges, one after the other."""
 
     modulus: int = 7
     skip: int = 2
     deleted: int = 4
     slice_chars: int = 6_000_000
     pair_bits: int = 48
+    ranges: int = 4
     rounds: int = 60
 
 
@@ -324,7 +326,8 @@ def score(docs: DataFrame, params: Params = Params()) -> DataFrame:
     spark = docs.sparkSession
     away = held_out(params.modulus, params.skip)
     role = F.when(away, 0).when(held_out(params.modulus, params.deleted), 2).otherwise(1).cast("tinyint")
-    parts = fan_out(spark)
+    # Several key ranges a shuffle partition, so that a range's counts are small.
+    parts = params.ranges * fan_out(spark)
     reduced = docs.select(F.col("doc_id").cast("long"), "text", role.alias("role")).mapInArrow(_reduce(params, parts), _REDUCED)
     reduced = materialize(reduced, "ngrams", "none")
     stored = reduced.where("part < 0")
