@@ -30,11 +30,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidewatch/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def materialize(df: DataFrame, name: str, codec: str = "zstd", group_bytes: int = 128 << 20) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts the lineage,
-    and a lost executor costs no recomputation of what stands before."""
+    and a lost executor costs no recomputation of what stands before. Writer and
+    reader hold a row group of about ``group_bytes`` each; less suits large
+    binary values."""
     path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).option("parquet.block.size", group_bytes).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -96,7 +96,7 @@ def token_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     for text in texts:
         block.append(text.encode())
         held += len(block[-1])
-        if held > 2_000_000:
+        if held > 500_000:
             flush()
             held = 0
     if block:
@@ -326,10 +326,10 @@ def score(docs: DataFrame, params: Params = Params()) -> DataFrame:
     role = F.when(away, 0).when(held_out(params.modulus, params.deleted), 2).otherwise(1).cast("tinyint")
     parts = fan_out(spark)
     reduced = docs.select(F.col("doc_id").cast("long"), "text", role.alias("role")).mapInArrow(_reduce(params, parts), _REDUCED)
-    reduced = materialize(reduced, "ngrams", "none")
+    reduced = materialize(reduced, "ngrams", "none", 8 << 20)
     stored = reduced.where("part < 0")
     asked = reduced.where("part >= 0").select("batch", "away", "part", "order", "keys", "seen", "deleted")
-    answers = materialize(asked.groupBy("part").applyInPandas(_answer, _ANSWER), "totals", "none")
+    answers = materialize(asked.groupBy("part").applyInPandas(_answer, _ANSWER), "totals", "none", 8 << 20)
     seen = answers.agg(F.sum("distinct"), F.sum("tokens"), F.sum("gone")).first()
     vocabulary, tokens, gone = (int(x or 0) for x in seen)
     counts = docs.select(role.alias("role")).groupBy("role").count().collect()
