@@ -15,6 +15,8 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
+from heapq import heapify, heappop, heappush
 from itertools import chain, repeat
 from operator import add
 
@@ -82,6 +84,11 @@ class Vocabulary:
         levels = np.unique(-score[self.merged])
         self.rank = np.searchsorted(levels, -score[self.merged])
 
+    @cached_property
+    def merges(self) -> dict[int, tuple[int, int]]:
+        """Rank and merged piece of each pair."""
+        return dict(zip(self.keys.tolist(), zip(self.rank.tolist(), self.merged.tolist(), strict=True), strict=True))
+
     def char_ids(self, text: str) -> np.ndarray:
         """The symbol of each character."""
         return self.chars[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
@@ -93,19 +100,26 @@ class Vocabulary:
         return np.where(self.keys[at] == key, at, -1)
 
 
-_NONE = np.iinfo(np.int64).max
+_NONE = np.iinfo(np.int32).max
+#: Units above this many characters are merged off a heap, one by one.
+_LONG = 1024
 
 
 def merge_units(vocabulary: Vocabulary, units: list[str], keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
     """Symbol ids of all units under their keys end to end, and how many each
     has. Units of like length run together; each round makes every unit's best
-    live merge."""
+    live merge. Long units have an agenda of their own."""
     size = np.fromiter(map(len, units), np.int64, len(units))
     order = np.argsort(size, kind="stable")
     counts, parts, at = np.zeros(len(units), np.int64), [np.empty(0, np.int64)], 0
     while at < len(order):
         reach = int(size[order[at]])
-        stop = min(at + 16384, int(np.searchsorted(size[order], max(reach + 2, reach * 5 // 4), "right")))
+        if reach > _LONG:
+            parts.append(_merge_long(vocabulary, units[order[at]], int(keys[order[at]]), rate))
+            counts[order[at]] = len(parts[-1])
+            at += 1
+            continue
+        stop = min(at + 16384, int(np.searchsorted(size[order], min(_LONG, max(reach + 2, reach * 5 // 4)), "right")))
         rows = order[at:stop]
         at = stop
         flat, counts[rows] = _merge_block(vocabulary, [units[r] for r in rows], keys[rows], rate)
@@ -121,58 +135,86 @@ def ragged(flat: np.ndarray, lens: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def _merge_block(vocabulary: Vocabulary, units: list[str], keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """One row a unit. A symbol stays where its first character is and links to
+    the symbols around it, so a merge touches its own places alone."""
     size = np.fromiter(map(len, units), np.int64, len(units))
     n, width = len(units), int(size.max())
-    chars = vocabulary.char_ids("".join(units))
-    inside = np.arange(width) < size[:, None]
     symbol = np.full((n, width), -1, np.int64)
-    symbol[inside] = chars
-    starts = np.where(inside, np.arange(width), width).astype(np.int64)
-    ends = np.where(inside, np.arange(width) + 1, width).astype(np.int64)
-    count = size.copy()
+    symbol[np.arange(width) < size[:, None]] = vocabulary.char_ids("".join(units))
+    after = np.tile(np.arange(1, width + 2, dtype=np.int32), (n, 1))
+    before = np.tile(np.arange(-1, width, dtype=np.int32), (n, 1))
 
-    def candidates(row: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Merge index and rank of symbols col and col + 1, none if dropped."""
+    def candidates(row: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge index and rank of each symbol and the next, none if dropped."""
         found = np.full(len(row), -1, np.int64)
-        ok = np.flatnonzero((col >= 0) & (col + 1 < count[row]))
-        if len(ok):
-            r, c = row[ok], col[ok]
-            index = vocabulary.pair(symbol[r, c], symbol[r, c + 1])
-            if rate > 0 and len(hit := np.flatnonzero(index >= 0)):
-                r, c = r[hit], c[hit]
-                gone = drops(keys[r], starts[r, c], starts[r, c + 1], ends[r, c + 1], rate)
-                index[hit[gone]] = -1
-            found[ok] = index
+        middle = after[row, left]
+        ok = np.flatnonzero(middle < size[row])
+        row, left, middle = row[ok], left[ok], middle[ok]
+        index = vocabulary.pair(symbol[row, left], symbol[row, middle])
+        if rate > 0 and len(hit := np.flatnonzero(index >= 0)):
+            r, m = row[hit], middle[hit]
+            index[hit[drops(keys[r], left[hit], m, after[r, m], rate)]] = -1
+        found[ok] = index
         return found, np.where(found >= 0, vocabulary.rank[found], _NONE)
 
-    best_index = np.full((n, max(width - 1, 1)), -1, np.int64)
-    best_rank = np.full((n, max(width - 1, 1)), _NONE, np.int64)
-    row, col = np.nonzero(np.arange(width - 1) < (size - 1)[:, None])
+    best_index = np.full((n, width), -1, np.int32)
+    best_rank = np.full((n, width), _NONE, np.int32)
+    row, col = np.nonzero(np.arange(width) < (size - 1)[:, None])
     best_index[row, col], best_rank[row, col] = candidates(row, col)
-    live = np.flatnonzero(best_rank.min(axis=1) < _NONE) if width > 1 else np.empty(0, np.int64)
-    place = np.arange(width)
-    while len(live):
-        where = best_rank[live].argmin(axis=1)
-        merged = vocabulary.merged[best_index[live, where]]
-        ends[live, where] = ends[live, where + 1]
-        symbol[live, where] = merged
-        # Close the gap behind the merged symbol.
-        shift = np.minimum(place + (place > where[:, None]), width - 1)
-        for table in (symbol, starts, ends):
-            table[live] = np.take_along_axis(table[live], shift, axis=1)
-        count[live] -= 1
-        pairs = shift[:, : best_rank.shape[1]]
-        pairs = np.minimum(pairs, best_rank.shape[1] - 1)
-        for table, empty in ((best_index, -1), (best_rank, _NONE)):
-            moved = np.take_along_axis(table[live], pairs, axis=1)
-            moved[place[: best_rank.shape[1]] >= (count[live] - 1)[:, None]] = empty
-            table[live] = moved
-        for c in (where - 1, where):
-            ok = (c >= 0) & (c < count[live] - 1)
-            r, c = live[ok], c[ok]
-            best_index[r, c], best_rank[r, c] = candidates(r, c)
-        live = live[best_rank[live].min(axis=1) < _NONE]
-    return symbol[place < count[:, None]], count
+    live = np.arange(n)
+    while True:
+        ranks = best_rank[live]
+        left = ranks.argmin(axis=1)
+        going = ranks[np.arange(len(live)), left] < _NONE
+        live, left = live[going], left[going]
+        if not len(live):
+            break
+        right = after[live, left]
+        behind = after[live, right]
+        symbol[live, left] = vocabulary.merged[best_index[live, left]]
+        symbol[live, right], best_rank[live, right] = -1, _NONE
+        after[live, left], before[live, behind] = behind, left
+        ahead = before[live, left]
+        has = ahead >= 0
+        r, c = np.concatenate([live, live[has]]), np.concatenate([left, ahead[has]])
+        best_index[r, c], best_rank[r, c] = candidates(r, c)
+    kept = symbol >= 0
+    return symbol[kept], kept.sum(axis=1)
+
+
+def _merge_long(vocabulary: Vocabulary, unit: str, key: int, rate: float) -> np.ndarray:
+    """The same for one unit in n log n steps."""
+    full, limit = (1 << 64) - 1, int(rate * (2**64 - 1))
+    symbol, n = vocabulary.char_ids(unit).tolist(), len(unit)
+    after, before = list(range(1, n + 2)), list(range(-1, n))
+
+    def dropped(start: int, middle: int, end: int) -> bool:
+        x = key ^ (((start << 42) & full | middle << 21 | end) * 0x9E3779B97F4A7C15 & full)
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & full
+        return x ^ x >> 31 < limit
+
+    def candidate(left: int) -> tuple[int, ...] | None:
+        middle = after[left]
+        if middle >= n or (found := vocabulary.merges.get(symbol[left] << 32 | symbol[middle])) is None:
+            return None
+        if rate > 0 and dropped(left, middle, after[middle]):
+            return None
+        return found[0], left, middle, after[middle], found[1]
+
+    agenda = [c for c in map(candidate, range(n)) if c]
+    heapify(agenda)
+    while agenda:
+        _, left, right, end, merged = heappop(agenda)
+        # A span has one symbol, so equal spans mean that nothing has changed.
+        if symbol[left] < 0 or symbol[right] < 0 or after[left] != right or after[right] != end:
+            continue
+        symbol[left], symbol[right] = merged, -1
+        after[left], before[end] = end, left
+        for place in (before[left], left):
+            if place >= 0 and (found := candidate(place)):
+                heappush(agenda, found)
+    return np.array([s for s in symbol if s >= 0], np.int64)
 
 
 class Encoder:
@@ -214,7 +256,9 @@ class Encoder:
             variant = (mix(np.repeat(row, sizes) + place.astype(np.uint64)) % np.uint64(VARIANTS)).astype(np.int64)
         if self.rate <= 0:
             variant[:] = 0
-        wanted, at = np.unique(codes * VARIANTS + variant, return_inverse=True)
+        at = codes * VARIANTS + variant
+        met = np.bincount(at, minlength=len(names) * VARIANTS) > 0
+        wanted, at = np.flatnonzero(met), (np.cumsum(met) - 1)[at]
         unit, which = [names[i] for i in wanted // VARIANTS], wanted % VARIANTS
         entry = list(map(add, unit, map("\0\1\2\3\4\5\6\7".__getitem__, which.tolist())))
         slot = np.fromiter(map(self.known.get, entry, repeat(-1)), np.int64, len(entry))
