@@ -406,3 +406,14 @@ def test_pipeline(spark, docs, tmp_path):
     assert 60 in kept and not kept & {61, 62, 63, 64}
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in packed.collect()} == kept
+
+
+def test_merge_agenda_equals_rounds():
+    """Long units, which have an agenda of their own, merge as short ones do."""
+    rng = np.random.default_rng(3)
+    vocabulary = merges.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    for n in (1, 2, 7, 400, 1500):
+        unit = "".join(rng.choice(list("etaoinshrdlu☃"), n))
+        for rate in (0.0, 0.1, 0.7):
+            flat, counts = merges._merge_block(vocabulary, [unit], np.array([12345], np.uint64), rate)
+            assert merges._merge_long(vocabulary, unit, 12345, rate).tolist() == flat.tolist() and counts.tolist() == [len(flat)]
