@@ -241,6 +241,50 @@ def test_licenses(spark, docs, empty):
     assert len(licenses.rules()) > 200
 
 
+def _sampled(rng, tree):
+    """A random string that the parsed regex matches, its lookahead included."""
+    out = ""
+    for op, arg in tree:
+        match str(op):
+            case "LITERAL":
+                out += chr(arg)
+            case "ANY":
+                out += rng.choice("ax ")
+            case "IN":
+                kind, what = rng.choice(arg)
+                out += chr(what if str(kind) == "LITERAL" else rng.randint(*what))
+            case "BRANCH":
+                out += _sampled(rng, rng.choice(arg[1]))
+            case "MAX_REPEAT" | "MIN_REPEAT":
+                out += "".join(_sampled(rng, arg[2]) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 3))))
+            case "SUBPATTERN":
+                out += _sampled(rng, arg[3])
+            case "ASSERT":
+                out += _sampled(rng, arg[1])
+            case other:
+                raise ValueError(other)
+    return out
+
+
+def test_license_prefilters_lose_nothing(spark):
+    """Kept detections against all rules tried without keyword and gate."""
+    rng, rules = random.Random(8), licenses.rules()
+    texts = ["licensed under the gplv2", "lgplv3 license", "licensed under the agplv3", "SPDX-License-Identifier: 0BSD", "FreeBSD license", "mplv2 license"]
+    texts += ["no modified version of the font software may use the reserved font name", "redistribute it and/or modify it under the terms of the GNU General Public License"]
+    texts += [_sampled(rng, re._parser.parse(rx)).strip() for *_, rx in rules for _ in range(4)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [tuple(d) for d in r["detections"]] for r in licenses.scan(table).collect()}
+    compiled = [(-p, i, label, re.compile(rx)) for i, (_, p, label, rx) in enumerate(rules)]
+    for i, text in enumerate(texts):
+        padded = f" {' '.join(re.findall(r'[0-9a-z]+', text.lower()))} "
+        found = sorted((m.start(), -m.end(), low, n, label) for low, n, label, rx in compiled for m in rx.finditer(padded))
+        want = []
+        for start, back, low, _, label in found:
+            if not any(e >= -back and p >= -low for _, e, p, _ in want):
+                want.append((start, -back, -low, label))
+        assert got[i] == want and want, text
+
+
 def test_sharding(docs, empty):
     rows = sharding.assign(docs).collect()
     assert len(rows) == len(ROWS) and {r["law"] for r in rows} == {"key"}

@@ -1,7 +1,7 @@
 """License scans by ordered signature rules, in DataFrame expressions only.
 
 A text is normalised to lower-case words one blank apart. Rules are regexes over
-that form, each gated by a keyword that must occur before the regex is tried.
+that form, each gated by a keyword that every match of the regex holds.
 Every rule has a priority; a detection whose interval lies inside an earlier
 kept interval of the same or a higher priority is suppressed. All of it happens
 within the row, so nothing is shuffled and a row's size is the only bound.
@@ -115,9 +115,9 @@ bsd-2 | redistribution and use | redistribution and use in source and binary for
 bsd-4 | advertising materials | all advertising materials mentioning features or use of this software
 apache-2 | unless required by applicable | unless required by applicable law or agreed to in writing software distributed under the license
 apache-2 | apache org licenses | www apache org licenses license 2 0
-gpl | free software foundation | redistribute it and or modify it under the terms of the gnu general public license
-lgpl | free software foundation | under the terms of the gnu lesser general public license
-agpl | free software foundation | under the terms of the gnu affero general public license
+gpl | gnu general public | redistribute it and or modify it under the terms of the gnu general public license
+lgpl | gnu lesser general | under the terms of the gnu lesser general public license
+agpl | gnu affero general | under the terms of the gnu affero general public license
 gpl | gnu org licenses | www gnu org licenses (?:gpl|old licenses)
 mpl-2 | source code form | this source code form is subject to the terms of the mozilla public license
 epl | accompanying materials | this program and the accompanying materials are made available under the terms of the eclipse
@@ -156,11 +156,14 @@ def rules() -> list[tuple[str, int, str, str]]:
             (keyword, 1, label, f"(?:{rx})(?: public)? licen[sc]e"),
         ]
     # Words stand whole: a blank before, and one ahead that stays unread.
-    return [(f" {k} " if " " not in k and len(k) < 5 else k, p, label, f" (?:{rx})(?= )") for k, p, label, rx in out]
+    whole = lambda k: f"{'' if k in INSIDE else ' '}{k}{'' if k in GLUED else ' '}"
+    return [(whole(k) if " " not in k and len(k) < 5 else k, p, label, f" (?:{rx})(?= )") for k, p, label, rx in out]
 
 
-#: What any keyword's text must hold: one pass decides for most texts.
-GATE = "licen[sc]|spdx| cc0? |public domain|all rights reserved|permission|redistribut|warrant|creative ?commons|confidential|gnu org|apache org|source code form|accompanying materials|advertising materials|neither the name|unencumbered|waived all|origin of this|machine executable|same terms as|without restriction|released|distributed|available|provided|published|covered"
+#: Short keywords that a match may hold with more letters behind (``gplv2``) or before (``freebsd``).
+GLUED, INSIDE = {"gpl", "lgpl", "agpl", "mpl", "epl"}, {"bsd"}
+#: What any match must hold: one pass decides for most texts.
+GATE = "licen[sc]|spdx| cc0? |public domain|all rights reserved|permission|redistribut|warrant|creative ?commons|confidential|gnu org|apache org|source code form|accompanying materials|advertising materials|neither the name|unencumbered|waived all|origin of this|machine executable|same terms as|without restriction|reserved font|released|distributed|available|provided|published|covered"
 
 
 def normalised(text: Column) -> Column:
