@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
@@ -111,6 +112,38 @@ def test_mixture_weights_are_distributions_and_rise():
     assert np.allclose(w.sum(axis=1), 1) and (w >= 0).all() and w[0, 0] == 0
 
 
+def test_mixture_of_large_counts():
+    """Weights from cells against expectation-maximisation on the counts."""
+    counts = np.array([0, 63, 64, 3_000_000, 200_000_000, 2**62, 2**63 - 1])
+    level = interpolation._levels(counts)
+    assert level.max() < interpolation.LEVELS and (np.diff(level) > 0).all()
+    assert (np.abs(np.log2(np.maximum(interpolation._value(level), 1) / np.maximum(counts, 1))) <= 0.2501).all()
+    # Counts that stand in the middle of their cells, so that both see the same ratios.
+    middle = lambda x: np.round(interpolation._value(interpolation._levels(np.array(x))))
+    c, p, w = middle([2e8, 2e8, 2e8, 5e9]), middle([1e6, 4e7, 5e3, 1e9]), middle([2e8, 9e6, 4e6, 3e9])
+    n, tokens, vocabulary = np.array([40.0, 30.0, 20.0, 10.0]), 10**11, 10**6
+    cells = (interpolation._levels(c) * interpolation.LEVELS + interpolation._levels(p)) * interpolation.LEVELS + interpolation._levels(w)
+    got = interpolation.mixture(cells, n, tokens, vocabulary, 60)
+    for bucket in set(interpolation.context_bucket(c)):
+        mine = interpolation.context_bucket(c) == bucket
+        each = np.stack([p / c, w / tokens, np.full(4, 1 / (vocabulary + 1))])[:, mine]
+        want = np.array([0.5, 0.45, 0.05])
+        for _ in range(60):
+            share = want[:, None] * each
+            want = (share * n[mine] / share.sum(axis=0)).sum(axis=1) + [1e-3, 1e-3, 1e-2]
+            want /= want.sum()
+        assert np.allclose(got[bucket], want, atol=1e-4), bucket
+
+
+def test_pair_totals_beyond_32_bits():
+    """A pair's total over all tasks is not cut."""
+    key, most = np.array([5], np.uint64), np.array([2**32 - 1], np.uint32)
+    rows = [(f"b{i}", False, 0, 2, interpolation._press(key, True), interpolation._press(most), interpolation._press(most)) for i in range(3)]
+    names = ["batch", "away", "part", "order", "keys", "seen", "deleted"]
+    answers = interpolation._answer(pd.DataFrame(rows, columns=names))
+    assert all(interpolation._unpress(x, np.uint64).tolist() == [3 * (2**32 - 1)] for c in ("seen", "deleted") for x in answers[c])
+
+
 def _fingerprint(text):
     words = (text or "").encode().lower().split()
     grams = [words] if 0 < len(words) < 4 else [words[i : i + 4] for i in range(len(words) - 3)]

@@ -38,8 +38,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: Cells of a log2-count histogram: the deleted counts are exact up to 63.
-LEVELS = 96
+#: Cells of a log2-count histogram: the deleted counts are exact up to 63, then
+#: two cells for each power of two, to the largest long.
+LEVELS = 64 + 2 * 58
 
 
 @dataclass(frozen=True)
@@ -201,9 +202,7 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
         for i, (name, k) in enumerate(zip(rows["batch"], keys, strict=True)):
             mine = place[at : at + len(k)]
             at += len(k)
-            kind = np.uint64 if order == 1 else np.uint32
-            most = np.iinfo(np.int64 if order == 1 else np.uint32).max
-            seen, gone = (_press(np.minimum(t[mine], most).astype(kind)) for t in totals)
+            seen, gone = (_press(t[mine].astype(np.uint64)) for t in totals)
             first = i == 0 and order == 1
             out.append((name, bool(rows["away"].iloc[i]), rows["part"].iloc[0], order, seen, gone, distinct if first else 0, int(totals[0].sum()) if first else 0, int(totals[1].sum()) if first else 0))
     return pd.DataFrame(out, columns=["batch", "away", "part", "order", "seen", "deleted", "distinct", "tokens", "gone"])
@@ -215,7 +214,7 @@ _ANSWER = "batch string, away boolean, part int, order int, seen binary, deleted
 def _levels(counts: np.ndarray) -> np.ndarray:
     """Histogram cell of a count: exact to 63, then half powers of two."""
     large = 63 + np.floor(2 * np.log2(np.maximum(counts, 1) / 64.0)).astype(np.int64) + 1
-    return np.minimum(np.where(counts < 64, counts, large), LEVELS - 1).astype(np.int64)
+    return np.where(counts < 64, counts, large).astype(np.int64)
 
 
 def _value(level: np.ndarray) -> np.ndarray:
@@ -240,9 +239,9 @@ class _Batch:
         _, pair = np.unique(bigram_keys(tokens, self.sizes, bits), return_inverse=True)
         answers = answers.sort_values(["order", "part"])
         one, two = (answers[answers["order"] == k] for k in (1, 2))
-        get = lambda rows, column, kind: np.concatenate([_unpress(x, kind) for x in rows[column]]).astype(np.int64)
-        self.word, self.word_gone = (get(one, c, np.uint64)[stream] for c in ("seen", "deleted"))
-        self.pair, self.pair_gone = (get(two, c, np.uint32)[pair] for c in ("seen", "deleted"))
+        get = lambda rows, column: np.concatenate([_unpress(x, np.uint64) for x in rows[column]]).astype(np.int64)
+        self.word, self.word_gone = (get(one, c)[stream] for c in ("seen", "deleted"))
+        self.pair, self.pair_gone = (get(two, c)[pair] for c in ("seen", "deleted"))
         self.first = np.cumsum(self.sizes) - self.sizes
 
     def context(self, word: np.ndarray, texts: int) -> np.ndarray:
