@@ -470,6 +470,26 @@ def test_merge_dropout(docs, empty):
     assert merges.round_trip(empty, PIECES).count() == 0
 
 
+def test_dropout_is_drawn_at_every_occurrence():
+    """Each unit by its row and place, and a merge's rate as asked for."""
+    rate, seed = 0.1, 17
+    encoder = merges.Encoder(PIECES, rate, seed, room=300)
+    v = encoder.vocabulary
+    words = ["the", "international", "of", "in", "naïveté", "x" * 30, "to", "it", "an"]
+    texts = [" ".join(words[(i + j) % 9] for j in range(9)) for i in range(400)]
+    got = encoder.encode(texts[:200], list(range(200))) + encoder.encode(texts[200:], list(range(200, 400)))
+    for i in range(0, 400, 9):
+        with np.errstate(over="ignore"):
+            row = merges.mix(np.array([i ^ seed], np.uint64))
+            keys = merges.mix(row + np.arange(9, dtype=np.uint64))
+        want = [x for w, k in zip(texts[i].split(), keys, strict=True) for x in _merge_brute(v, "▁" + w, k, rate)]
+        assert [x for x in got[i] if x not in v.byte_ids] == [x for x in want if x < len(v.pieces)]
+    pairs = [p for p in v.ids if len(p) == 2 and p[0] == "▁" and p[1].isalpha()][:12]
+    for pair in pairs:
+        ids = merges.Encoder.encode(encoder, [pair[1]] * 4000, list(range(4000)))
+        assert 0.08 < np.mean([len(x) == 2 for x in ids]) < 0.12, pair
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 

@@ -18,7 +18,6 @@ from collections.abc import Iterator
 from functools import cached_property
 from heapq import heapify, heappop, heappush
 from itertools import chain, repeat
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +31,8 @@ _UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 #: Stands for a blank mark that is in the text itself: a lone surrogate, which no
 #: valid text holds. It is encoded by the mark's bytes, and so decoded apart.
 _LITERAL = "\ud881"
-#: Segmentations that one unit may take over a corpus.
-VARIANTS = 8
+#: Occurrences whose drops are taken at a time.
+BLOCK = 100_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -218,13 +217,52 @@ def _merge_long(vocabulary: Vocabulary, unit: str, key: int, rate: float) -> np.
 
 
 class Encoder:
-    """Texts to ids and back, with a cache of (unit, variant)."""
+    """Texts to ids and back. What a unit becomes depends on which of its
+    possible merges are dropped alone, so (unit, dropped merges) is cached."""
 
-    def __init__(self, path: str, rate: float, seed: int, room: int = 1_000_000):
+    def __init__(self, path: str, rate: float, seed: int, room: int = 500_000):
         self.vocabulary, self.rate, self.seed = Vocabulary(path), rate, seed
-        self.room, self.known = room, {}
+        self.room, self.known, self.spots = room, {}, {}
         self.flat, self.lens = np.empty(0, np.int32), np.empty(0, np.int64)
 
+    def _places(self, unit: str) -> np.ndarray | None:
+        """Places of all merges that may come up in a unit, as ``drops`` packs
+        them; none if they are more than a mask's 64 bits."""
+        if (found := self.spots.get(unit, self)) is not self:
+            return found
+        ids, n, out = self.vocabulary.ids, len(unit), []
+        if n <= 24:
+            whole = {(i, i + 1) for i in range(n)}
+            for length in range(2, n + 1):
+                for i in range(n - length + 1):
+                    j = i + length
+                    if unit[i:j] in ids and (cuts := [m for m in range(i + 1, j) if (i, m) in whole and (m, j) in whole]):
+                        whole.add((i, j))
+                        out += [i << 42 | m << 21 | j for m in cuts]
+        found = np.array(out, np.uint64) if n <= 24 and len(out) <= 64 else None
+        if len(self.spots) < self.room:
+            self.spots[unit] = found
+        return found
+
+    def _masks(self, names: list[str], codes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each occurrence of a unit under its key the bits of its dropped
+        merges, or the key itself where they don't fit; and which units fit."""
+        places = [self._places(u) for u in names]
+        fits = np.array([p is not None for p in places])
+        if self.rate <= 0:
+            return np.zeros(len(codes), np.uint64), fits | True
+        lens = np.array([0 if p is None else len(p) for p in places], np.int64)
+        flat = np.concatenate([np.empty(0, np.uint64), *(p for p in places if p is not None)]) * np.uint64(0x9E3779B97F4A7C15)
+        bits = np.uint64(1) << (np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)).astype(np.uint64)
+        limit, masks = np.uint64(int(self.rate * (2**64 - 1))), np.where(fits[codes], np.uint64(0), keys)
+        some = np.flatnonzero(lens[codes] > 0)
+        for at in range(0, len(some), BLOCK):
+            mine = some[at : at + BLOCK]
+            row, per = codes[mine], lens[codes[mine]]
+            hit = mix(np.repeat(keys[mine], per) ^ ragged(flat, lens, row)) < limit
+            masks[mine] = np.add.reduceat(np.where(hit, ragged(bits, lens, row), np.uint64(0)), np.cumsum(per) - per)
+        return masks, fits
+
     def _merge(self, units: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all units end to end, and how many each has: symbols outside
         the vocabulary become the ids of their bytes."""
@@ -240,8 +278,8 @@ class Encoder:
         return wide.astype(np.int32), np.add.reduceat(per, np.cumsum(lens) - lens)
 
     def encode(self, texts: list[str], row_keys: list[int]) -> list[np.ndarray]:
-        """Ids of each text. A unit's variant comes from the seed, the row's key
-        and the unit's place, its merges from the seed, the unit and variant."""
+        """Ids of each text. A unit's merges are dropped by the seed, the row's
+        key, the unit's place in the row and the merge's place in the unit."""
         rows = [_UNIT.findall(MARK + t.replace(MARK, _LITERAL).replace(" ", MARK)) if t else [] for t in texts]
         sizes = np.array([len(r) for r in rows], np.int64)
         every = list(chain.from_iterable(rows))
@@ -253,28 +291,31 @@ class Encoder:
         with np.errstate(over="ignore"):
             row = mix(np.array([k & 0xFFFFFFFFFFFFFFFF for k in row_keys], np.uint64) ^ np.uint64(self.seed))
             place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            variant = (mix(np.repeat(row, sizes) + place.astype(np.uint64)) % np.uint64(VARIANTS)).astype(np.int64)
-        if self.rate <= 0:
-            variant[:] = 0
-        at = codes * VARIANTS + variant
-        met = np.bincount(at, minlength=len(names) * VARIANTS) > 0
-        wanted, at = np.flatnonzero(met), (np.cumsum(met) - 1)[at]
-        unit, which = [names[i] for i in wanted // VARIANTS], wanted % VARIANTS
-        entry = list(map(add, unit, map("\0\1\2\3\4\5\6\7".__getitem__, which.tolist())))
+            keys = mix(np.repeat(row, sizes) + place.astype(np.uint64))
+            masks, fits = self._masks(names, codes, keys)
+        order = np.lexsort((masks, codes))
+        code, mask = codes[order], masks[order]
+        new = np.concatenate([[True], (code[1:] != code[:-1]) | (mask[1:] != mask[:-1])])
+        at = np.empty(len(codes), np.int64)
+        at[order] = np.cumsum(new) - 1
+        # Any occurrence stands for all with the same unit and the same drops.
+        code, mask, keys = code[new], mask[new], keys[order[new]]
+        unit = [names[i] for i in code.tolist()]
+        entry = list(zip(unit, mask.tolist(), strict=True))
         slot = np.fromiter(map(self.known.get, entry, repeat(-1)), np.int64, len(entry))
         flat, lens = self.flat, self.lens
         missing = np.flatnonzero(slot < 0)
         if len(missing):
-            new = [unit[i] for i in missing]
-            with np.errstate(over="ignore"):
-                name = np.array([zlib.crc32(b := u.encode(errors="surrogatepass")) << 32 | zlib.adler32(b) for u in new], np.uint64)
-                keys = mix(name ^ mix(np.uint64(self.seed) + which[missing].astype(np.uint64)))
-            more, sizes_of = self._merge(new, keys)
+            missing = missing[np.argsort(~fits[code[missing]], kind="stable")]
+            more, sizes_of = self._merge([unit[i] for i in missing], keys[missing])
             slot[missing] = len(lens) + np.arange(len(missing))
             flat, lens = np.concatenate([flat, more]), np.concatenate([lens, sizes_of])
-            if len(lens) <= self.room:
-                self.known.update(zip((entry[i] for i in missing), slot[missing].tolist(), strict=True))
-                self.flat, self.lens = flat, lens
+            # Those that fit stand first; the others would not be met again.
+            keep = min(int(fits[code[missing]].sum()), self.room - len(self.lens))
+            if keep > 0:
+                self.known.update(zip((entry[i] for i in missing[:keep]), slot[missing[:keep]].tolist(), strict=True))
+                self.lens = lens[: len(self.lens) + keep].copy()
+                self.flat = flat[: int(self.lens.sum())].copy()
         chosen = slot[at]
         stream, stop = ragged(flat, lens, chosen), np.cumsum(lens[chosen])
         bounds = np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(sizes)])]
