@@ -473,7 +473,7 @@ def test_merge_dropout(docs, empty):
 def test_dropout_is_drawn_at_every_occurrence():
     """Each unit by its row and place, and a merge's rate as asked for."""
     rate, seed = 0.1, 17
-    encoder = merges.Encoder(PIECES, rate, seed, room=300)
+    encoder = merges.Encoder(PIECES, rate, seed)
     v = encoder.vocabulary
     words = ["the", "international", "of", "in", "naïveté", "x" * 30, "to", "it", "an"]
     texts = [" ".join(words[(i + j) % 9] for j in range(9)) for i in range(400)]
@@ -484,6 +484,9 @@ def test_dropout_is_drawn_at_every_occurrence():
             keys = merges.mix(row + np.arange(9, dtype=np.uint64))
         want = [x for w, k in zip(texts[i].split(), keys, strict=True) for x in _merge_brute(v, "▁" + w, k, rate)]
         assert [x for x in got[i] if x not in v.byte_ids] == [x for x in want if x < len(v.pieces)]
+    with np.errstate(over="ignore"):
+        many = encoder.encode(["international"] * 2000, list(range(2000)))
+    assert len({tuple(x) for x in many}) > 24
     pairs = [p for p in v.ids if len(p) == 2 and p[0] == "▁" and p[1].isalpha()][:12]
     for pair in pairs:
         ids = merges.Encoder.encode(encoder, [pair[1]] * 4000, list(range(4000)))
@@ -512,5 +515,5 @@ def test_merge_agenda_equals_rounds():
     for n in (1, 2, 7, 400, 1500):
         unit = "".join(rng.choice(list("etaoinshrdlu☃"), n))
         for rate in (0.0, 0.1, 0.7):
-            flat, counts = merges._merge_block(vocabulary, [unit], np.array([12345], np.uint64), rate)
+            flat, counts = merges._merge_block(vocabulary, vocabulary.char_ids(unit)[None], np.array([n]), np.array([12345], np.uint64), rate)
             assert merges._merge_long(vocabulary, unit, 12345, rate).tolist() == flat.tolist() and counts.tolist() == [len(flat)]

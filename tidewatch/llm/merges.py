@@ -17,7 +17,7 @@ import zlib
 from collections.abc import Iterator
 from functools import cached_property
 from heapq import heapify, heappop, heappush
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,6 @@ _UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 #: Stands for a blank mark that is in the text itself: a lone surrogate, which no
 #: valid text holds. It is encoded by the mark's bytes, and so decoded apart.
 _LITERAL = "\ud881"
-#: Occurrences whose drops are taken at a time.
-BLOCK = 100_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -81,7 +79,17 @@ class Vocabulary:
         order = np.argsort(keys)
         self.keys, self.merged = keys[order], np.array(merged, np.int64)[order]
         levels = np.unique(-score[self.merged])
-        self.rank = np.searchsorted(levels, -score[self.merged])
+        self.rank = np.searchsorted(levels, -score[self.merged]).astype(np.int32)
+        # Tables of pair places, the first taken wins; who finds its cell taken
+        # goes to the next table. The place one past the pairs means none.
+        self.probe = np.append(self.keys, -1)
+        self.tables, todo = [], np.arange(len(self.keys))
+        while len(todo):
+            bits = max(8, int(8 * len(todo)).bit_length())
+            cell, table = self._cell(self.keys[todo], len(self.tables), bits), np.full(1 << bits, len(self.keys), np.int32)
+            table[cell[::-1]] = todo[::-1]
+            self.tables.append((bits, table))
+            todo = todo[table[cell] != todo]
 
     @cached_property
     def merges(self) -> dict[int, tuple[int, int]]:
@@ -92,37 +100,60 @@ class Vocabulary:
         """The symbol of each character."""
         return self.chars[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
 
+    @staticmethod
+    def _cell(key: np.ndarray, turn: int, bits: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            mixed = (key.view(np.uint64) ^ (key.view(np.uint64) >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15 + 2 * turn)
+        return (mixed >> np.uint64(64 - bits)).astype(np.int64)
+
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Index of the merge of two symbols, or -1."""
         key = a << 32 | b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, at, -1)
+        out = np.full(len(key), -1, np.int64)
+        for turn, (bits, table) in enumerate(self.tables):
+            at = table[self._cell(key, turn, bits)]
+            np.copyto(out, at, where=self.probe[at] == key)
+        return out
 
 
 _NONE = np.iinfo(np.int32).max
 #: Units above this many characters are merged off a heap, one by one.
-_LONG = 1024
+_LONG = 256
+#: Characters of units that are merged side by side.
+_CELLS = 100_000
 
 
 def merge_units(vocabulary: Vocabulary, units: list[str], keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
     """Symbol ids of all units under their keys end to end, and how many each
     has. Units of like length run together; each round makes every unit's best
     live merge. Long units have an agenda of their own."""
-    size = np.fromiter(map(len, units), np.int64, len(units))
+    return merge_occurrences(vocabulary, units, np.arange(len(units)), keys, rate)
+
+
+def merge_occurrences(
+    vocabulary: Vocabulary, names: list[str], codes: np.ndarray, keys: np.ndarray, rate: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """``merge_units`` of the units ``names[codes]``, each under its own key."""
+    lens = np.fromiter(map(len, names), np.int64, len(names))
+    flat, first, size = vocabulary.char_ids("".join(names)), np.cumsum(lens) - lens, lens[codes]
     order = np.argsort(size, kind="stable")
-    counts, parts, at = np.zeros(len(units), np.int64), [np.empty(0, np.int64)], 0
+    ordered = size[order]
+    counts, parts, at = np.zeros(len(codes), np.int64), [np.empty(0, np.int64)], 0
     while at < len(order):
-        reach = int(size[order[at]])
+        reach = int(ordered[at])
         if reach > _LONG:
-            parts.append(_merge_long(vocabulary, units[order[at]], int(keys[order[at]]), rate))
+            parts.append(_merge_long(vocabulary, names[codes[order[at]]], int(keys[order[at]]), rate))
             counts[order[at]] = len(parts[-1])
             at += 1
             continue
-        stop = min(at + 16384, int(np.searchsorted(size[order], min(_LONG, max(reach + 2, reach * 5 // 4)), "right")))
+        stop = min(at + max(64, _CELLS // reach), int(np.searchsorted(ordered, min(_LONG, max(reach + 1, reach * 5 // 4)), "right")))
         rows = order[at:stop]
         at = stop
-        flat, counts[rows] = _merge_block(vocabulary, [units[r] for r in rows], keys[rows], rate)
-        parts.append(flat)
+        width = int(size[rows].max())
+        place = first[codes[rows]][:, None] + np.arange(width)
+        symbol = np.where(np.arange(width) < size[rows][:, None], flat.take(place, mode="clip"), -1)
+        merged, counts[rows] = _merge_block(vocabulary, symbol, size[rows], keys[rows], rate)
+        parts.append(merged)
     return ragged(np.concatenate(parts), counts[order], np.argsort(order)), counts
 
 
@@ -133,52 +164,57 @@ def ragged(flat: np.ndarray, lens: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return flat[np.arange(stop[-1] if len(stop) else 0) + np.repeat(first[rows] - (stop - per), per)]
 
 
-def _merge_block(vocabulary: Vocabulary, units: list[str], keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """One row a unit. A symbol stays where its first character is and links to
-    the symbols around it, so a merge touches its own places alone."""
-    size = np.fromiter(map(len, units), np.int64, len(units))
-    n, width = len(units), int(size.max())
-    symbol = np.full((n, width), -1, np.int64)
-    symbol[np.arange(width) < size[:, None]] = vocabulary.char_ids("".join(units))
-    after = np.tile(np.arange(1, width + 2, dtype=np.int32), (n, 1))
-    before = np.tile(np.arange(-1, width, dtype=np.int32), (n, 1))
-
-    def candidates(row: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Merge index and rank of each symbol and the next, none if dropped."""
-        found = np.full(len(row), -1, np.int64)
-        middle = after[row, left]
-        ok = np.flatnonzero(middle < size[row])
-        row, left, middle = row[ok], left[ok], middle[ok]
-        index = vocabulary.pair(symbol[row, left], symbol[row, middle])
-        if rate > 0 and len(hit := np.flatnonzero(index >= 0)):
-            r, m = row[hit], middle[hit]
-            index[hit[drops(keys[r], left[hit], m, after[r, m], rate)]] = -1
-        found[ok] = index
-        return found, np.where(found >= 0, vocabulary.rank[found], _NONE)
-
-    best_index = np.full((n, width), -1, np.int32)
-    best_rank = np.full((n, width), _NONE, np.int32)
+def _merge_block(
+    vocabulary: Vocabulary, symbol: np.ndarray, size: np.ndarray, keys: np.ndarray, rate: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """One row a unit, -1 behind its end. A symbol stays where its first
+    character is and links to those around it, so a merge touches its own places
+    alone. Arrays are flat: a row has ``step`` places, one behind its last."""
+    n, width = symbol.shape
+    step = width + 1
+    symbols = np.full((n, step), -1, np.int64)
+    symbols[:, :width] = symbol
+    symbol = symbols.ravel()
+    after = np.tile(np.arange(1, step + 1), n)
+    before = np.tile(np.arange(-1, width), n)
+    index, rank = np.full(n * step, -1, np.int64), np.full((n, step), _NONE, np.int32)
+    by_place, ranks = rank.reshape(-1), np.append(vocabulary.rank, np.int32(_NONE))
+
+    def weigh(key: np.ndarray, at: np.ndarray, left: np.ndarray, middle: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        """The merges of symbols ``a`` and ``b`` at ``at``, none if dropped."""
+        found = vocabulary.pair(a, b)
+        if rate > 0 and len(hit := np.flatnonzero(found >= 0)):
+            found[hit[drops(key[hit], left[hit], middle[hit], end[hit], rate)]] = -1
+        index[at], by_place[at] = found, ranks[found]
+
     row, col = np.nonzero(np.arange(width) < (size - 1)[:, None])
-    best_index[row, col], best_rank[row, col] = candidates(row, col)
-    live = np.arange(n)
-    while True:
-        ranks = best_rank[live]
-        left = ranks.argmin(axis=1)
-        going = ranks[np.arange(len(live)), left] < _NONE
-        live, left = live[going], left[going]
-        if not len(live):
-            break
-        right = after[live, left]
-        behind = after[live, right]
-        symbol[live, left] = vocabulary.merged[best_index[live, left]]
-        symbol[live, right], best_rank[live, right] = -1, _NONE
-        after[live, left], before[live, behind] = behind, left
-        ahead = before[live, left]
-        has = ahead >= 0
-        r, c = np.concatenate([live, live[has]]), np.concatenate([left, ahead[has]])
-        best_index[r, c], best_rank[r, c] = candidates(r, c)
-    kept = symbol >= 0
-    return symbol[kept], kept.sum(axis=1)
+    at = row * step + col
+    weigh(keys[row], at, col, col + 1, col + 2, symbol[at], symbol[at + 1])
+    live = np.flatnonzero(size > 1)
+    while len(live):
+        left = rank[live].argmin(axis=1)
+        base = live * step
+        at = base + left
+        going = by_place[at] < _NONE
+        if not going.all():
+            live, left, base, at = live[going], left[going], base[going], at[going]
+            if not len(live):
+                break
+        right = base + after[at]
+        end, ahead, new, key = after[right], before[at], vocabulary.merged[index[at]], keys[live]
+        symbol[at], symbol[right], by_place[right], after[at] = new, -1, _NONE, end
+        behind = base + np.minimum(end, width)
+        before[behind] = left
+        by_place[at] = _NONE
+        more, some = np.flatnonzero(end < size[live]), np.flatnonzero(ahead >= 0)
+        next_to, prior = behind[more], base[some] + ahead[some]
+        weigh(
+            np.concatenate([key[more], key[some]]), np.concatenate([at[more], prior]), np.concatenate([left[more], ahead[some]]),
+            np.concatenate([end[more], left[some]]), np.concatenate([after[next_to], end[some]]),
+            np.concatenate([new[more], symbol[prior]]), np.concatenate([symbol[next_to], new[some]]),
+        )
+    kept = symbols >= 0
+    return symbols[kept], kept.sum(axis=1)
 
 
 def _merge_long(vocabulary: Vocabulary, unit: str, key: int, rate: float) -> np.ndarray:
@@ -217,56 +253,16 @@ def _merge_long(vocabulary: Vocabulary, unit: str, key: int, rate: float) -> np.
 
 
 class Encoder:
-    """Texts to ids and back. What a unit becomes depends on which of its
-    possible merges are dropped alone, so (unit, dropped merges) is cached."""
+    """Texts to ids and back. Every occurrence of a unit is merged by its own
+    hashes, thousands side by side; nothing is kept from text to text."""
 
-    def __init__(self, path: str, rate: float, seed: int, room: int = 500_000):
+    def __init__(self, path: str, rate: float, seed: int):
         self.vocabulary, self.rate, self.seed = Vocabulary(path), rate, seed
-        self.room, self.known, self.spots = room, {}, {}
-        self.flat, self.lens = np.empty(0, np.int32), np.empty(0, np.int64)
-
-    def _places(self, unit: str) -> np.ndarray | None:
-        """Places of all merges that may come up in a unit, as ``drops`` packs
-        them; none if they are more than a mask's 64 bits."""
-        if (found := self.spots.get(unit, self)) is not self:
-            return found
-        ids, n, out = self.vocabulary.ids, len(unit), []
-        if n <= 24:
-            whole = {(i, i + 1) for i in range(n)}
-            for length in range(2, n + 1):
-                for i in range(n - length + 1):
-                    j = i + length
-                    if unit[i:j] in ids and (cuts := [m for m in range(i + 1, j) if (i, m) in whole and (m, j) in whole]):
-                        whole.add((i, j))
-                        out += [i << 42 | m << 21 | j for m in cuts]
-        found = np.array(out, np.uint64) if n <= 24 and len(out) <= 64 else None
-        if len(self.spots) < self.room:
-            self.spots[unit] = found
-        return found
-
-    def _masks(self, names: list[str], codes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each occurrence of a unit under its key the bits of its dropped
-        merges, or the key itself where they don't fit; and which units fit."""
-        places = [self._places(u) for u in names]
-        fits = np.array([p is not None for p in places])
-        if self.rate <= 0:
-            return np.zeros(len(codes), np.uint64), fits | True
-        lens = np.array([0 if p is None else len(p) for p in places], np.int64)
-        flat = np.concatenate([np.empty(0, np.uint64), *(p for p in places if p is not None)]) * np.uint64(0x9E3779B97F4A7C15)
-        bits = np.uint64(1) << (np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)).astype(np.uint64)
-        limit, masks = np.uint64(int(self.rate * (2**64 - 1))), np.where(fits[codes], np.uint64(0), keys)
-        some = np.flatnonzero(lens[codes] > 0)
-        for at in range(0, len(some), BLOCK):
-            mine = some[at : at + BLOCK]
-            row, per = codes[mine], lens[codes[mine]]
-            hit = mix(np.repeat(keys[mine], per) ^ ragged(flat, lens, row)) < limit
-            masks[mine] = np.add.reduceat(np.where(hit, ragged(bits, lens, row), np.uint64(0)), np.cumsum(per) - per)
-        return masks, fits
-
-    def _merge(self, units: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all units end to end, and how many each has: symbols outside
-        the vocabulary become the ids of their bytes."""
-        flat, lens = merge_units(self.vocabulary, units, keys, self.rate)
+
+    def _merge(self, names: list[str], codes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all occurrences end to end, and how many each has: symbols
+        outside the vocabulary become the ids of their bytes."""
+        flat, lens = merge_occurrences(self.vocabulary, names, codes, keys, self.rate)
         n = len(self.vocabulary.pieces)
         if not (outside := np.flatnonzero(flat >= n)).size:
             return flat.astype(np.int32), lens
@@ -292,33 +288,8 @@ class Encoder:
             row = mix(np.array([k & 0xFFFFFFFFFFFFFFFF for k in row_keys], np.uint64) ^ np.uint64(self.seed))
             place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             keys = mix(np.repeat(row, sizes) + place.astype(np.uint64))
-            masks, fits = self._masks(names, codes, keys)
-        order = np.lexsort((masks, codes))
-        code, mask = codes[order], masks[order]
-        new = np.concatenate([[True], (code[1:] != code[:-1]) | (mask[1:] != mask[:-1])])
-        at = np.empty(len(codes), np.int64)
-        at[order] = np.cumsum(new) - 1
-        # Any occurrence stands for all with the same unit and the same drops.
-        code, mask, keys = code[new], mask[new], keys[order[new]]
-        unit = [names[i] for i in code.tolist()]
-        entry = list(zip(unit, mask.tolist(), strict=True))
-        slot = np.fromiter(map(self.known.get, entry, repeat(-1)), np.int64, len(entry))
-        flat, lens = self.flat, self.lens
-        missing = np.flatnonzero(slot < 0)
-        if len(missing):
-            missing = missing[np.argsort(~fits[code[missing]], kind="stable")]
-            more, sizes_of = self._merge([unit[i] for i in missing], keys[missing])
-            slot[missing] = len(lens) + np.arange(len(missing))
-            flat, lens = np.concatenate([flat, more]), np.concatenate([lens, sizes_of])
-            # Those that fit stand first; the others would not be met again.
-            keep = min(int(fits[code[missing]].sum()), self.room - len(self.lens))
-            if keep > 0:
-                self.known.update(zip((entry[i] for i in missing[:keep]), slot[missing[:keep]].tolist(), strict=True))
-                self.lens = lens[: len(self.lens) + keep].copy()
-                self.flat = flat[: int(self.lens.sum())].copy()
-        chosen = slot[at]
-        stream, stop = ragged(flat, lens, chosen), np.cumsum(lens[chosen])
-        bounds = np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(sizes)])]
+        stream, lens = self._merge(names, codes, keys)
+        bounds = np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], np.cumsum(sizes)])]
         return [stream[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
     def decode(self, ids: np.ndarray) -> str:
@@ -331,7 +302,7 @@ _loaded: dict[tuple, Encoder] = {}
 
 
 def _encoder(path: str, rate: float, seed: int) -> Encoder:
-    """One encoder, with its cache, for each Python worker."""
+    """One encoder for each Python worker."""
     if (path, rate, seed) not in _loaded:
         _loaded[path, rate, seed] = Encoder(path, rate, seed)
     return _loaded[path, rate, seed]
@@ -348,7 +319,7 @@ def encode(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 17) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model, rate, seed)
-        for keys, texts in text_slices(batches, 4_000_000):
+        for keys, texts in text_slices(batches, 2_000_000):
             ids = encoder.encode(texts, [-1 if k is None else k for k in keys])
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -376,7 +347,7 @@ def round_trip(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 17) -
         encoder = _encoder(model, rate, seed)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
         names = ["doc_id", "n_ids", "ids_crc32", "n_bytes", "decoded_sha256", "lossless"]
-        for keys, texts in text_slices(batches, 4_000_000):
+        for keys, texts in text_slices(batches, 2_000_000):
             rows = []
             for key, text, ids in zip(keys, texts, encoder.encode(texts, [-1 if k is None else k for k in keys]), strict=True):
                 back = encoder.decode(ids)
