@@ -92,6 +92,9 @@ def test_content_probe(spark):
     found = detect.detect_columns(spark.createDataFrame(rows, "x0 string, x1 string, x2 string, x3 string, x4 string, x5 string, x6 string"), "content")
     assert {r.column: r.slot for r in found} == {"x0": "timestamp", "x1": "amount", "x2": "counterparty", "x3": "location", "x4": "actor_name", "x6": "actor_id"}
     assert detect.classify_source(found) == "bank"
+    ids = [(f"T{100 + i}", f"ACCT{1_000_000 + i}", f"BRANCH{10 + i % 7}", f"2024-01-{1 + i % 28:02d}", f"{i % 90 + 10},{i % 90 + 10} EUR") for i in range(120)]
+    found = detect.detect_columns(spark.createDataFrame(ids, "x0 string, x1 string, x2 string, x3 string, x4 string"), "content")
+    assert {r.column: r.slot for r in found} == {"x0": "location", "x1": "counterparty", "x2": "location", "x3": "timestamp", "x4": "amount"}
 
 
 def test_similar_names_against_brute_force(spark):

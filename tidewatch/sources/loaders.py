@@ -86,6 +86,10 @@ def load_ndjson(spark: SparkSession, path: str) -> Loaded:
     return Loaded(spark.read.json(path, mode="DROPMALFORMED", primitivesAsString=True), path, "ndjson")
 
 
+#: Columns that key=value lines may make.
+MAX_KEYS = 2_000
+
+
 def key_values(line: Column) -> Column:
     """Pairs key=value of a line as an array of structs, quotes taken off."""
     pairs = F.arrays_zip(F.regexp_extract_all(line, F.lit(KEY_VALUE), F.lit(1)).alias("k"), F.regexp_extract_all(line, F.lit(KEY_VALUE), F.lit(2)).alias("v"))
@@ -94,9 +98,12 @@ def key_values(line: Column) -> Column:
 
 def from_key_values(lines: DataFrame) -> DataFrame:
     """Lines of ``value`` as a table, one column for each key; the last of
-    repeated keys counts, lines without a pair are left out."""
+    repeated keys counts, lines without a pair are left out. More than
+    ``MAX_KEYS`` distinct keys are an error: such lines are no table."""
     pairs = lines.select(key_values(F.col("value")).alias("pairs")).where(F.size("pairs") > 0)
-    keys = [r[0] for r in pairs.select(F.explode("pairs.k").alias("k")).distinct().orderBy("k").collect()]
+    keys = [r[0] for r in pairs.select(F.explode("pairs.k").alias("k")).distinct().orderBy("k").limit(MAX_KEYS + 1).collect()]
+    if len(keys) > MAX_KEYS:
+        raise ValueError(f"over {MAX_KEYS} distinct keys")
     value = lambda name: F.try_element_at(F.filter("pairs", lambda p: p["k"] == name), F.lit(-1))["v"]
     return pairs.select(*(value(k).alias(k) for k in keys))
 

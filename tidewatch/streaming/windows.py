@@ -1,6 +1,6 @@
 """Windowed counts that run the same on a batch and on a stream.
 
-The reference has no streaming; this is an extension. On a stream the watermark
+On a stream the watermark
 bounds the state, and late rows beyond it are dropped.
 """
 
