@@ -4,18 +4,24 @@ import glob
 import pathlib
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from tidewatch.functions import scaling
 from tidewatch.functions.amounts import parse_amount
+from tidewatch.operators import outliers
 from tidewatch.plans.catalog import ORACLE, QUERIES
 from tidewatch.plans.sufficiency import BLOCKED, DEGRADED, SUPPORTED, Holdings, verdicts
-from tidewatch.sinks import archive
+from tidewatch.sinks import archive, runs
+from tidewatch.sources import views
 
 SF = "/root/testdata/sf0.001"
 QUICK = ["structuring", "structuring_banded", "benford", "benford_ks", "reciprocity", "scatter_gather", "degree_deviation", "network_oddball", "time_velocity",
          "burst", "time_correlation", "time_correlation_anypair", "parse_amounts", "source_counts", "distinct_events", "window_tumbling", "window_sliding",
-         "parse_dates", "prose_fields", "key_value_lines", "json_field", "normalized_orders", "entity_resolution", "window_session"]
+         "parse_dates", "prose_fields", "key_value_lines", "json_field", "normalized_orders", "entity_resolution", "window_session",
+         "chain", "chain_deep", "insights_worded", "largest_per_party", "statml_kde", "statml_lof"]
 
 
 @pytest.fixture(scope="module")
@@ -36,11 +42,45 @@ def test_oracle(spark, duck, name):
 
 
 def test_amount_styles(spark):
-    cases = {"$1,234.50": 1234.5, "(99.10)": -99.1, "1.234,56 EUR": 1234.56, "12,50": 12.5, "1,234,567.89": 1234567.89, "12.345": 12345.0, "-7": -7.0, "n/a": None, "x": None, "": None}
+    cases = {"ACCT-1001": None, "T512": None, "12abc34": None, "2024-01-09": None, "Rs 1,200": 1200.0, "₹ 99.5": 99.5, "(USD 5)": -5.0, "+3": 3.0, "-$4.20": -4.2, "1.5e3": 1500.0, "130.85000000000002": 130.85000000000002, "nil": None, "1,2345": 12345.0, "()": None, "$": None, "$1,234.50": 1234.5, "(99.10)": -99.1, "1.234,56 EUR": 1234.56, "12,50": 12.5, "1,234,567.89": 1234567.89, "12.345": 12345.0, "-7": -7.0, "n/a": None, "x": None, "": None}
     rows = spark.createDataFrame([(k,) for k in cases], "t string")
     assert {r["t"]: r["v"] for r in rows.select("t", parse_amount(rows.t).alias("v")).collect()} == cases
 
 
+def test_quantile_against_numpy(spark):
+    rng = np.random.default_rng(1)
+    for values in (rng.lognormal(3, 3, 3000), np.repeat([1.0, 5.0], [2500, 500]), np.array([7.0]), np.concatenate([rng.normal(0, 1e-9, 2000), [1e12]]), np.array([1.0, 9.0] * 50)):
+        rows = spark.createDataFrame(pd.DataFrame({"v": values}))
+        for q in (0.0, 0.1, 0.5, 0.9, 0.99, 1.0):
+            assert scaling.quantile(rows, "v", q, 16, 40) == pytest.approx(np.quantile(values, q), rel=1e-12)
+    assert scaling.quantile(rows.where("v > 100"), "v", 0.5) is None
+
+
+def test_density_models_in_blocks(spark):
+    """The same scores in one block and in many; neighbours against brute force."""
+    events = views.events_view(spark, "/root/testdata/sf0.01")
+    matrix = outliers.feature_matrix(events).cache()
+    table = matrix.toPandas()
+    x = table[outliers.FEATURES].to_numpy(float)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    got = outliers.nearest(matrix, 5, block=40).toPandas().set_index("entity_id")["dists"]
+    for i, entity in enumerate(table["entity_id"]):
+        assert np.allclose(got[entity], np.sort(d[i])[:5], atol=1e-6)
+    one, many = ({r["entity_id"]: r["score"] for r in outliers.kernel_density(events, block).collect()} for block in (20_000, 40))
+    assert one.keys() == many.keys() and all(abs(one[k] - many[k]) < 1e-9 for k in one)
+
+
+def test_changed_manifest_breaks_the_chain(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    for run in ("r1", "r2"):
+        runs.save_run(spark, root, run, {"t": spark.range(3)})
+    assert {r["run_id"]: r["ok"] for r in runs.verify_chain(spark, root).collect()} == {"r1": True, "r2": True}
+    changed = spark.read.parquet(f"{root}/manifest/run_id=r1").withColumn("sha256", F.sha2(F.col("sha256").cast("binary"), 256)).collect()
+    spark.createDataFrame(changed, "path string, sha256 string").write.mode("overwrite").parquet(f"{root}/manifest/run_id=r1")
+    assert {r["run_id"]: r["ok"] for r in runs.verify_chain(spark, root).collect()} == {"r1": False, "r2": True}
+
+
 def test_verdicts():
     full = Holdings(10_000, 100, frozenset({"bank", "cdr"}), True, True, True)
     assert set(verdicts(full).values()) == {SUPPORTED}

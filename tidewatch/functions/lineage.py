@@ -4,14 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``. Where none is set, a private folder
+    is taken on a single machine; on a cluster that is an error, as executors
+    would each write to a disk of their own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="tidewatch-")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed under ``spark.checkpoint.dir``; a private folder is
-    set only where the session names none."""
+    """``df`` checkpointed under ``checkpoint_dir``."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="tidewatch-"))
+        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
     return df.checkpoint()

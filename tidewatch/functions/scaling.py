@@ -6,6 +6,8 @@ window would pull every row into one task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,39 @@ def minmax(df: DataFrame, column: str, out: str = "score", power: int = 1) -> Da
     return rows.withColumn(out, F.pow(scaled, power) if power != 1 else scaled).drop("_low", "_high")
 
 
+def quantile(df: DataFrame, column: str, q: float, cells: int = 4096, few: int = 100_000) -> float | None:
+    """The exact ``q`` quantile of a column, linear between neighbours; null where
+    there is no value.
+
+    Counts of equal cells narrow the range down to the values around the rank,
+    of which at most ``few`` rows, or a single repeated value, are looked at: no
+    task holds all distinct values."""
+    x = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
+    n, low, high = x.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    if not n:
+        return None
+    rank = q * (n - 1)
+    want, share, below = (math.floor(rank), math.ceil(rank)), rank - math.floor(rank), 0
+    while n > few and low < high:
+        width = (high - low) / cells
+        cell = F.least(F.floor((F.col("x") - low) / width), F.lit(cells - 1)).alias("cell")
+        rows = x.where(F.col("x").between(low, high)).groupBy(cell).agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).orderBy("cell").collect()
+        held, at = [], below
+        for r in rows:
+            held += [(at, r)] * any(at <= w < at + r["n"] for w in want)
+            at += r["n"]
+        if len(held) == 2:  # the ranks stand on either side of a gap
+            return held[0][1]["b"] + (held[1][1]["a"] - held[0][1]["b"]) * share
+        below, (n, low, high) = held[0][0], (held[0][1][c] for c in ("n", "a", "b"))
+    if low == high:
+        return low
+    found, at = [], below
+    for r in x.where(F.col("x").between(low, high)).groupBy("x").count().orderBy("x").collect():
+        found += [r["x"] for w in want if at <= w < at + r["count"]]
+        at += r["count"]
+    return found[0] + (found[1] - found[0]) * share
+
+
 def scoremin(df: DataFrame, column: str) -> DataFrame:
     """(entity_id, score): squared min-max of a raw anomaly value."""
     return minmax(df, column, power=2).select("entity_id", "score")

@@ -24,14 +24,14 @@ def model_peaks(scores: DataFrame) -> DataFrame:
 
 def shared_counterparties(events: DataFrame, hubs: DataFrame, least: int = 2) -> DataFrame:
     """(counterparty_id, hubs, w): parties that several hub entities meet."""
-    e = edges(events).join(F.broadcast(hubs.select(F.col("entity_id").alias("src"))), "src", "left_semi")
+    e = edges(events).join(hubs.select(F.col("entity_id").alias("src")), "src", "left_semi")
     return e.groupBy(F.col("dst").alias("counterparty_id")).agg(F.count_distinct("src").alias("hubs"), F.sum("w").alias("w")).where(F.col("hubs") >= least)
 
 
 def location_volume(events: DataFrame, flagged: DataFrame, location: str, k: int = 200) -> DataFrame:
     """(location, n, flagged, pct): the busiest places, whether a flagged entity
     was there, and the average percentile rank of the volume."""
-    marked = events.join(F.broadcast(flagged.select("entity_id", F.lit(True).alias("f"))), "entity_id", "left")
+    marked = events.join(flagged.select("entity_id", F.lit(True).alias("f")).distinct(), "entity_id", "left")
     per = marked.where(F.col(location).isNotNull()).groupBy(F.col(location).alias("location")).agg(
         F.count("*").alias("n"), F.coalesce(F.bool_or(F.col("f")), F.lit(False)).alias("flagged")
     )

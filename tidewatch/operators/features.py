@@ -15,30 +15,34 @@ LOGGED = [*COUNTS, "amt_total", "amt_mean", "amt_max", "amt_std", "fan_out", "fa
 
 
 def build_features(events: DataFrame) -> DataFrame:
-    """(entity_id, the 18 features); whatever an entity lacks is 0."""
+    """(entity_id, the 18 features); whatever an entity lacks is 0.
+
+    Hours and parties are counted in tables of their own, grouped before they
+    meet the entity: no row is repeated for a distinct count."""
     rows = events.where("entity_id is not null")
     by_time = Window.partitionBy("entity_id").orderBy("timestamp", "event_id")
     seconds = lambda c: F.expr(f"timestampdiff(MICROSECOND, {c}, timestamp)") / 1e6
-    rows = rows.withColumn("before", F.lag("timestamp").over(by_time)).withColumn("gap", seconds("before"))
+    seq = rows.withColumn("before", F.lag("timestamp").over(by_time)).withColumn("gap", seconds("before"))
     hour, n = F.hour("timestamp"), F.count("*")
     positive = F.when(F.col("amount") > 0, F.col("amount"))
     kind = lambda k: F.count_if(F.col("event_type") == k)
-    out = F.coalesce("direction", F.lit("")) != "credit"
-    hours = [F.count_if(hour == h).alias(f"h{h}") for h in range(24)]
-    wide = rows.groupBy("entity_id").agg(
+    wide = seq.groupBy("entity_id").agg(
         n.alias("n_events"), kind("call").alias("n_calls"), kind("transaction").alias("n_txns"), kind("post").alias("n_posts"),
         kind("credit").alias("n_credit"), kind("debit").alias("n_debit"),
         F.sum(positive).alias("amt_total"), F.avg(positive).alias("amt_mean"), F.max(positive).alias("amt_max"), F.stddev_samp(positive).alias("amt_std"),
-        F.count_distinct(F.when(out, F.col("counterparty_id"))).alias("fan_out"),
-        F.count_distinct(F.when(~out, F.col("counterparty_id"))).alias("fan_in"),
         F.max("gap").alias("gap_max"), F.min("gap").alias("gap_min"), F.stddev_samp("gap").alias("gap_std"),
-        (F.count_if((hour >= 22) | (hour <= 5)) / n).alias("night_ratio"), (F.count_if(F.weekday("timestamp") >= 5) / n).alias("weekend_ratio"), *hours,
+        (F.count_if((hour >= 22) | (hour <= 5)) / n).alias("night_ratio"), (F.count_if(F.weekday("timestamp") >= 5) / n).alias("weekend_ratio"),
     )
-    dated = sum((F.col(f"h{h}") for h in range(24)), F.lit(0))
-    # 0 * ln(EPS) is 0: hours without events add nothing.
-    shares = F.transform(F.array(*(F.col(f"h{h}") for h in range(24))), lambda k: k / dated)
-    entropy = F.lit(0.0) - F.aggregate(shares, F.lit(0.0), lambda acc, p: acc + p * F.log(p + 1e-9))
-    return wide.withColumn("hour_entropy", entropy).select("entity_id", *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in FEATURES))
+    credit = F.coalesce("direction", F.lit("")) == "credit"
+    pairs = rows.where("counterparty_id is not null").groupBy("entity_id", "counterparty_id").agg(F.bool_or(credit).alias("c"), F.bool_or(~credit).alias("d"))
+    fans = pairs.groupBy("entity_id").agg(F.count_if("d").alias("fan_out"), F.count_if("c").alias("fan_in"))
+    hours = rows.where("timestamp is not null").groupBy("entity_id", hour.alias("h")).agg(F.count("*").alias("k"))
+    # -sum(p ln(p + EPS)) over the at most 24 hours of an entity.
+    total = F.aggregate("ks", F.lit(0).cast("long"), lambda acc, k: acc + k)
+    entropy = F.aggregate(F.transform("ks", lambda k: k / F.col("total")), F.lit(0.0), lambda acc, p: acc - p * F.log(p + 1e-9))
+    spread = hours.groupBy("entity_id").agg(F.array_sort(F.collect_list("k")).alias("ks")).withColumn("total", total).select("entity_id", entropy.alias("hour_entropy"))
+    met = wide.join(fans, "entity_id", "left").join(spread, "entity_id", "left")
+    return met.select("entity_id", *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in FEATURES))
 
 
 def feature_matrix(events: DataFrame) -> DataFrame:

@@ -26,23 +26,22 @@ def call_then_transfer(events: DataFrame, tolerance_minutes: int = 30) -> DataFr
 
 
 def under_threshold(events: DataFrame, threshold: float = 10_000.0, band: float = 0.88, least: int = 3) -> DataFrame:
-    inside = events.where((F.col("source") == "bank") & (F.col("amount") >= band * threshold) & (F.col("amount") < threshold))
+    inside = events.where("entity_id is not null and amount > 0").where((F.col("amount") >= band * threshold) & (F.col("amount") < threshold))
     return _evidence(inside.groupBy("entity_id").agg(F.count("*").alias("n")).where(F.col("n") >= least), "under_threshold", "n")
 
 
 def hub(events: DataFrame) -> DataFrame:
-    """Many parties in and out: in >= 5 and out >= 8, or either >= 10."""
-    cp = F.col("counterparty_id")
-    credit = F.coalesce("direction", F.lit("")) == "credit"
-    per = events.where("entity_id is not null").groupBy("entity_id").agg(
-        F.count_distinct(F.when(credit, cp)).alias("i"), F.count_distinct(F.when(~credit, cp)).alias("o")
-    )
-    met = per.where("(i >= 5 and o >= 8) or i >= 10 or o >= 10").withColumn("n", F.col("i") + F.col("o"))
-    return _evidence(met, "hub", "n")
+    """Many parties of credits and debits with an amount: 5 in and 8 out, which
+    counts both sides, else 10 on one side, which counts that side."""
+    sides = events.where("entity_id is not null and counterparty_id is not null and amount is not null and direction in ('credit', 'debit')")
+    per = sides.groupBy("entity_id", "counterparty_id").agg(F.bool_or(F.col("direction") == "credit").alias("c"), F.bool_or(F.col("direction") == "debit").alias("d"))
+    per = per.groupBy("entity_id").agg(F.count_if("c").alias("i"), F.count_if("d").alias("o"))
+    n = F.when((F.col("i") >= 5) & (F.col("o") >= 8), F.col("i") + F.col("o")).when(F.col("i") >= 10, F.col("i")).when(F.col("o") >= 10, F.col("o"))
+    return _evidence(per.withColumn("n", n).where("n is not null"), "hub", "n")
 
 
 def burst_of_parties(events: DataFrame, hours: int = 48, parties: int = 12, least: int = 10) -> DataFrame:
-    busy = events.where("entity_id is not null").groupBy("entity_id").agg(F.count("*").alias("all")).where(F.col("all") >= least)
+    busy = events.where("entity_id is not null and counterparty_id is not null and timestamp is not null").groupBy("entity_id").agg(F.count("*").alias("all")).where(F.col("all") >= least)
     met = burst_sizes(events, hours).where(F.col("burst") >= parties).join(busy, "entity_id", "left_semi")
     return _evidence(met, "burst", "burst")
 
@@ -55,23 +54,22 @@ def dormancy(events: DataFrame, days: float = 30, least: int = 10) -> DataFrame:
     return _evidence(per.withColumn("n", F.floor("gap")), "dormancy", "n")
 
 
-def lump_then_silence(events: DataFrame, quantile: float = 0.95, days: float = 14) -> DataFrame:
-    """The last amount at or above the entity's own quantile, then days without
-    any event up to the end of the data."""
-    rows = events.where("entity_id is not null and timestamp is not null")
-    end = rows.agg(F.max("timestamp").alias("end"))
-    q = rows.where("amount > 0").groupBy("entity_id").agg(F.percentile("amount", F.lit(quantile)).alias("q"))
+def lump_then_silence(events: DataFrame, quantile: float = 0.95, days: float = 14, least: int = 5) -> DataFrame:
+    """The last amount at or above the entity's own quantile, then days until its
+    last row with an amount; ``least`` such rows at least."""
+    rows = events.where("entity_id is not null and timestamp is not null and amount is not null")
+    q = rows.groupBy("entity_id").agg(F.percentile("amount", F.lit(quantile)).alias("q"), F.count("*").alias("all"))
+    q = q.where((F.col("all") >= least) & (F.col("q") > 0))
     met = rows.join(q, "entity_id").groupBy("entity_id").agg(
         F.max(F.when(F.col("amount") >= F.col("q"), F.col("timestamp"))).alias("lump"), F.max("timestamp").alias("last")
     )
-    quiet = F.expr("timestampdiff(MICROSECOND, lump, end)") / 86_400_000_000.0
-    per = met.join(F.broadcast(end)).withColumn("n", F.floor(quiet)).where((F.col("n") >= days) & (F.col("lump") == F.col("last")))
-    return _evidence(per, "lump_then_silence", "n")
+    quiet = F.expr("timestampdiff(MICROSECOND, lump, last)") / 86_400_000_000.0
+    return _evidence(met.withColumn("quiet", quiet).where(F.col("quiet") >= days).withColumn("n", F.floor("quiet")), "lump_then_silence", "n")
 
 
 def round_amounts(events: DataFrame, share: float = 0.5, least: int = 15) -> DataFrame:
-    rows = events.where("entity_id is not null and amount > 0")
-    per = rows.groupBy("entity_id").agg(F.count_if(F.abs(F.col("amount") % 1) < 0.01).alias("n"), F.count("*").alias("all"))
+    rows = events.where("entity_id is not null and amount is not null")
+    per = rows.groupBy("entity_id").agg(F.count_if(F.pmod("amount", F.lit(1.0)) < 0.01).alias("n"), F.count("*").alias("all"))
     return _evidence(per.where((F.col("all") >= least) & (F.col("n") / F.col("all") >= share)), "round_amounts", "n")
 
 
@@ -84,6 +82,34 @@ def build_insights(events: DataFrame, tolerance_minutes: int = 30, threshold: fl
     return reduce(DataFrame.unionByName, found)
 
 
+def worded(found: DataFrame, tolerance_minutes: int = 30, threshold: float = 10_000.0, hours: int = 48) -> DataFrame:
+    """``build_insights``'s rows with ``sentence``, which says what was met."""
+    n = F.format_string("%,d", "detail")
+    said = {
+        "call_then_transfer": [n, f" transfers to a party called or posted to within {tolerance_minutes} minutes"],
+        "under_threshold": [n, f" amounts just under the limit of {threshold:,.0f}"],
+        "hub": ["money moved with ", n, " different parties"],
+        "burst": ["dealt with ", n, f" different parties within {hours} hours"],
+        "dormancy": ["silent for ", n, " days, then active again"],
+        "lump_then_silence": ["a large amount, then quiet for ", n, " days"],
+        "round_amounts": [n, " amounts without cents, half of all or more"],
+    }
+    text = F.lit(None).cast("string")
+    for kind, parts in said.items():
+        text = F.when(F.col("kind") == kind, F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))).otherwise(text)
+    return found.withColumn("sentence", text)
+
+
+def largest_per_party(events: DataFrame, k: int = 20) -> DataFrame:
+    """An entity's evidence by party: of each counterparty the row of the largest
+    amount (ties: the earliest event_id), the ``k`` largest of them."""
+    rows = events.where("entity_id is not null and counterparty_id is not null and amount is not null")
+    best = rows.groupBy("entity_id", "counterparty_id").agg(F.max(F.struct("amount", (-F.col("event_id")).alias("id"))).alias("x"))
+    best = best.select("entity_id", "counterparty_id", F.col("x.amount").alias("amount"), (-F.col("x.id")).alias("event_id"))
+    place = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("amount"), "event_id"))
+    return best.withColumn("place", place).where(F.col("place") <= k)
+
+
 def display_names(named: DataFrame) -> DataFrame:
     """(entity_id, name): the first name in order, else the id as text."""
     per = named.where("entity_id is not null").groupBy("entity_id").agg(F.min("name").alias("name"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions import scaling
+from tidewatch.functions.lineage import cut
 from tidewatch.functions.scaling import minmax, over_max
 
 
@@ -33,15 +35,15 @@ def behavioral(
     rows = events.where("entity_id is not null and timestamp is not null")
     bank = F.col("source") == "bank"
     span = rows.agg(
-        F.min(F.when(bank, F.col("timestamp"))).alias("ws"), F.max(F.when(bank, F.col("timestamp"))).alias("we"),
-        F.coalesce(F.percentile(F.when(F.col("amount") > 0, F.col("amount")), F.lit(quantile)), F.lit(1e12)).alias("q"),
+        F.min(F.when(bank, F.col("timestamp"))).alias("ws"), F.max(F.when(bank, F.col("timestamp"))).alias("we")
     )
+    q = scaling.quantile(rows.where("amount > 0"), "amount", quantile)
     by_time = Window.partitionBy("entity_id").orderBy("timestamp", "event_id")
     seq = rows.withColumn("before", F.lag("timestamp").over(by_time)).withColumn("i", F.row_number().over(by_time))
     seq = seq.withColumn("gap", days("before", "timestamp"))
     own = rows.where(bank & (F.col("amount") > 0)).groupBy("entity_id").agg(F.median("amount").alias("mid"))
     met = seq.join(F.broadcast(span)).join(own, "entity_id", "left")
-    big = bank & (F.col("amount") >= F.greatest(F.col("q"), median_factor * F.col("mid")))
+    big = bank & (F.col("amount") >= F.greatest(F.lit(1e12 if q is None else q), median_factor * F.col("mid")))
     late = bank & (F.col("amount") > 0) & (days("timestamp", "we") <= cold_days)
     per = met.groupBy("entity_id").agg(
         F.count("*").alias("n"), F.first("ws").alias("ws"), F.first("we").alias("we"), F.min(F.when(bank, F.col("timestamp"))).alias("first_bank"),
@@ -61,36 +63,40 @@ def behavioral(
 
 
 def chain(
-    events: DataFrame, min_amount: float = 10_000.0, hop_days: float = 7, min_nodes: int = 3, quantile: float = 0.9, factor: float = 10, max_hops: int = 5
+    events: DataFrame, min_amount: float = 10_000.0, hop_days: float = 7, min_nodes: int = 3, quantile: float = 0.9, factor: float = 10
 ) -> DataFrame:
     """Layering chains of unusually large bank rows: the next hop leaves the
     party the last one reached, within ``hop_days`` either way, to a party not
     yet on the path. Paths that cannot grow are chains; all their nodes but the
-    last are scored. ``max_hops`` bounds the depth on dense graphs."""
+    last are scored. Paths grow hop by hop until none can; each hop meets only
+    rows of its party in the time buckets around it."""
     bank = events.where("source = 'bank' and amount > 0 and entity_id is not null and counterparty_id is not null and timestamp is not null")
-    q = bank.agg(F.percentile("amount", F.lit(quantile)).alias("q"))
+    q = scaling.quantile(bank, "amount", quantile) or 0.0
     own = bank.groupBy("entity_id").agg(F.median("amount").alias("mid"))
-    limit = F.greatest(F.lit(min_amount), F.col("q"), factor * F.col("mid"))
-    big = bank.join(own, "entity_id").join(F.broadcast(q)).where(F.col("amount") >= limit)
-    big = big.select(F.col("entity_id").alias("src"), F.col("counterparty_id").alias("dst"), "amount", F.col("timestamp").alias("at"))
-    enough = big.agg(F.count("*").alias("k")).where("k >= 3").select(F.lit(True).alias("ok"))
-    big = big.join(F.broadcast(enough)).drop("ok")
+    limit = F.greatest(F.lit(max(min_amount, q)), factor * F.col("mid"))
+    big = bank.join(own, "entity_id").where(F.col("amount") >= limit)
+    width = int(hop_days * 86_400_000_000)
+    at = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', timestamp)")
+    big = cut(big.select(F.col("entity_id").alias("src"), F.col("counterparty_id").alias("dst"), "amount", at.alias("at")))
+    bucket = lambda c: F.floor(F.col(c) / width).cast("long")
+    hop = big.select(F.col("src").alias("tip"), F.col("dst").alias("to"), F.col("amount").alias("more"), F.col("at").alias("then"), bucket("at").alias("bucket"))
     paths = big.select(F.array("src", "dst").alias("nodes"), F.array("amount").alias("amounts"), F.col("dst").alias("tip"), "at")
     done = None
-    hop = big.select(F.col("src").alias("tip"), F.col("dst").alias("to"), F.col("amount").alias("more"), F.col("at").alias("then"))
-    for depth in range(1, max_hops + 1):
-        near = F.abs(F.expr("timestampdiff(MICROSECOND, at, then)")) <= hop_days * 86_400_000_000
-        grown = paths.join(hop, "tip", "left").withColumn("ok", F.coalesce(near & ~F.array_contains("nodes", F.col("to")), F.lit(False)))
-        if depth >= min_nodes - 1:
-            id_ = ["nodes", "amounts", "at"]
-            ended = grown.groupBy(*id_).agg(F.max("ok").alias("grows"))
-            ended = (ended if depth == max_hops else ended.where("not grows")).select("nodes", "amounts")
-            done = ended if done is None else done.unionByName(ended)
-        if depth < max_hops:
-            paths = grown.where("ok").select(
-                F.concat("nodes", F.array("to")).alias("nodes"), F.concat("amounts", F.array("more")).alias("amounts"), F.col("to").alias("tip"), F.col("then").alias("at")
-            )
-    depth_score = F.least(F.lit(1.0), 0.5 + F.size("amounts") / 6)
+    if big.limit(min_nodes).count() < min_nodes:
+        paths = paths.limit(0)
+    while True:
+        paths = cut(paths.withColumn("id", F.monotonically_increasing_id()))
+        around = F.explode(F.array(*(bucket("at") + i for i in (-1, 0, 1)))).alias("bucket")
+        near = (F.abs(F.col("then") - F.col("at")) <= width) & ~F.array_contains("nodes", F.col("to"))
+        grown = cut(paths.select("*", around).join(hop, ["tip", "bucket"]).where(near))
+        ended = paths.join(grown.select("id").distinct(), "id", "left_anti").where(F.size("nodes") >= min_nodes).select("nodes", "amounts")
+        done = ended if done is None else done.unionByName(ended)
+        if grown.isEmpty():
+            break
+        paths = grown.select(
+            F.concat("nodes", F.array("to")).alias("nodes"), F.concat("amounts", F.array("more")).alias("amounts"), F.col("to").alias("tip"), F.col("then").alias("at")
+        )
+    depth_score = F.least(F.lit(1.0), 0.5 + F.size("amounts") / (2 * min_nodes))
     scored = done.select(depth_score.alias("ds"), F.explode(F.arrays_zip(F.slice("nodes", 1, F.size("amounts")).alias("node"), "amounts")).alias("x"))
-    raw = F.col("ds") * (0.6 + 0.4 * F.least(F.lit(1.0), F.col("x.amounts") / 200_000))
+    raw = F.col("ds") * (0.6 + 0.4 * F.least(F.lit(1.0), F.col("x.amounts") / (20 * min_amount)))
     return minmax(scored.groupBy(F.col("x.node").alias("entity_id")).agg(F.max(raw).alias("raw")), "raw").select("entity_id", "score")

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.functions.lineage import cut
 from tidewatch.functions.scaling import rounded
 from tidewatch.operators import charts, digits, evaluation, features, fusion, graph, insights, outliers, rules, temporal
 from tidewatch.sources.views import EVENTS_SQL, LEDGER_SQL, ORDERS_SQL, events_view, ledger_view, orders_view
@@ -51,14 +52,18 @@ feat AS (SELECT g.entity_id, count(*)::DOUBLE AS n_events, count(*) FILTER (even
   FROM gaps g JOIN ent USING (entity_id) GROUP BY g.entity_id)"""
 
 
+#: Means of cents often end in a 5 that rounds either way after a sum in another order.
+_DIGITS = dict.fromkeys(features.FEATURES, 3) | {"amt_mean": 8}
+
+
 def _features(view: Query) -> Query:
-    return lambda spark, sf: features.build_features(view(spark, sf)).select("entity_id", *((F.round(c, 3) + 0.0).alias(c) for c in features.FEATURES))
+    return lambda spark, sf: features.build_features(view(spark, sf)).select("entity_id", *((F.round(c, k) + 0.0).alias(c) for c, k in _DIGITS.items()))
 
 
 for _name, _view, _sql_view, _alias in (("features_events", events_view, EVENTS_SQL, "ev"), ("features_ledger", ledger_view, LEDGER_SQL, "lg")):
     QUERIES[_name] = _features(_view)
     ORACLE[_name] = f"WITH {_sql_view}, {_FEATURE_SQL.format(v=_alias)} SELECT entity_id, " + ", ".join(
-        f"round({c}, 3) + 0.0 AS {c}" for c in features.FEATURES
+        f"round({c}, {k}) + 0.0 AS {c}" for c, k in _DIGITS.items()
     ) + " FROM feat"
 
 # --- time -----------------------------------------------------------------
@@ -118,7 +123,7 @@ ORACLE["reciprocity"] = _sql(LEDGER_SQL, _IN_OUT.format(out="coalesce(direction,
 _model("scatter_gather", ledger_view, graph.scatter_gather)
 ORACLE["scatter_gather"] = _sql(LEDGER_SQL, _IN_OUT.format(out="direction = 'debit'", v="lg") + f", raws AS (SELECT entity_id, o * i / (d + 1e-9) AS raw FROM io WHERE sided > 0), {OVER_MAX}")
 
-_ROUNDS = 5
+_ROUNDS = 20
 _model("pagerank_deviation", events_view, lambda e: graph.pagerank_deviation(e, _ROUNDS), 4)
 
 
@@ -134,7 +139,7 @@ raws AS (SELECT node AS entity_id, greatest(0.0::DOUBLE, rank - (deg + 1) / (m +
 
 
 ORACLE["pagerank_deviation"] = _sql(EVENTS_SQL, _pagerank_sql(_ROUNDS), 4)
-_model("community_motif", events_view, lambda e: graph.community_motif(e, 2))
+_model("community_motif", events_view, lambda e: graph.community_motif(e))
 
 # --- digits ---------------------------------------------------------------
 _DIGIT = "d AS (SELECT entity_id, {digit} AS g FROM lg WHERE amount > 0 {and_})"
@@ -182,20 +187,26 @@ scored AS (SELECT * FROM (SELECT entity_id, greatest(
   CASE WHEN n >= 5 AND lag_ >= 2 AND late >= 3 THEN least(0.5 + lag_ / 200, 1.0) ELSE 0.0 END,
   CASE WHEN n >= 15 AND g >= 1.5 AND g >= 4 * gm AND p >= 2 AND p < n - 2 THEN least(0.4 + g / 90, 1.0) ELSE 0.0 END,
   CASE WHEN n >= 10 AND aft <= 2 AND tail >= 0.2 THEN least(0.4 + tail / 45, 1.0) ELSE 0.0 END) AS score FROM z) WHERE score > 0)""")
-_model("chain", events_view, lambda e: rules.chain(e, EV["chain_amount"], 2, factor=1.2, max_hops=4))
-ORACLE["chain"] = _sql(EVENTS_SQL, """bk AS (SELECT * FROM ev WHERE source = 'bank' AND amount > 0 AND counterparty_id IS NOT NULL),
+
+
+def _chain_sql(min_amount: float, hop_days: float, min_nodes: int, factor: float) -> str:
+    near = f'bg.src = p.tip AND abs(bg."at" - p."at") <= {int(hop_days * 86_400_000_000)} AND NOT list_contains(p.nodes, bg.dst)'
+    rows = f"""WITH RECURSIVE {EVENTS_SQL}, bk AS (SELECT * FROM ev WHERE source = 'bank' AND amount > 0 AND counterparty_id IS NOT NULL),
 q AS (SELECT quantile_cont(amount, 0.9) AS q FROM bk), md AS (SELECT entity_id, median(amount) AS mid FROM bk GROUP BY 1),
-bg AS (SELECT entity_id AS src, counterparty_id AS dst, amount, timestamp AS "at" FROM bk JOIN md USING (entity_id), q WHERE amount >= greatest(50.0, q, 1.2 * mid)),
-p1 AS (SELECT [src, dst] AS nodes, [amount] AS am, dst AS tip, bg."at" FROM bg WHERE (SELECT count(*) FROM bg) >= 3),
-p2 AS (SELECT list_append(nodes, dst) AS nodes, list_append(am, amount) AS am, dst AS tip, bg."at" FROM p1 JOIN bg ON bg.src = tip AND abs(epoch_us(bg."at") - epoch_us(p1."at")) <= 172800000000 AND NOT list_contains(nodes, dst)),
-p3 AS (SELECT list_append(nodes, dst) AS nodes, list_append(am, amount) AS am, dst AS tip, bg."at" FROM p2 JOIN bg ON bg.src = tip AND abs(epoch_us(bg."at") - epoch_us(p2."at")) <= 172800000000 AND NOT list_contains(nodes, dst)),
-p4 AS (SELECT list_append(nodes, dst) AS nodes, list_append(am, amount) AS am, dst AS tip, bg."at" FROM p3 JOIN bg ON bg.src = tip AND abs(epoch_us(bg."at") - epoch_us(p3."at")) <= 172800000000 AND NOT list_contains(nodes, dst)),
-dn AS (SELECT nodes, am FROM p2 WHERE NOT EXISTS (SELECT 1 FROM bg WHERE bg.src = p2.tip AND abs(epoch_us(bg."at") - epoch_us(p2."at")) <= 172800000000 AND NOT list_contains(p2.nodes, bg.dst))
-  UNION ALL SELECT nodes, am FROM p3 WHERE NOT EXISTS (SELECT 1 FROM bg WHERE bg.src = p3.tip AND abs(epoch_us(bg."at") - epoch_us(p3."at")) <= 172800000000 AND NOT list_contains(p3.nodes, bg.dst))
-  UNION ALL SELECT nodes, am FROM p4),
+bg AS (SELECT entity_id AS src, counterparty_id AS dst, amount, epoch_us(timestamp) AS "at" FROM bk JOIN md USING (entity_id), q
+  WHERE amount >= {min_amount} AND amount >= q AND amount >= {factor} * mid),
+p AS (SELECT [src, dst] AS nodes, [amount] AS am, dst AS tip, "at" FROM bg WHERE (SELECT count(*) FROM bg) >= {min_nodes}
+  UNION ALL SELECT list_append(p.nodes, bg.dst), list_append(p.am, bg.amount), bg.dst, bg."at" FROM p JOIN bg ON {near}),
+dn AS (SELECT nodes, am FROM p WHERE len(nodes) >= {min_nodes} AND NOT EXISTS (SELECT 1 FROM bg WHERE {near})),
 ex AS (SELECT nodes, am, unnest(range(1, len(am) + 1)) AS i FROM dn),
-rw AS (SELECT nodes[i] AS entity_id, max(least(1.0, 0.5 + len(am) / 6.0::DOUBLE) * (0.6 + 0.4 * least(1.0, am[i] / 200000))) AS raw FROM ex GROUP BY 1),
-scored AS (SELECT entity_id, (raw - min(raw) OVER ()) / (max(raw) OVER () - min(raw) OVER () + 1e-9) AS score FROM rw)""")
+rw AS (SELECT nodes[i] AS entity_id, max(least(1.0, 0.5 + len(am) / (2.0::DOUBLE * {min_nodes})) * (0.6 + 0.4 * least(1.0, am[i] / (20 * {min_amount})))) AS raw FROM ex GROUP BY 1)
+SELECT entity_id, round((raw - min(raw) OVER ()) / (max(raw) OVER () - min(raw) OVER () + 1e-9), 6) AS score FROM rw"""
+    return rows
+
+
+for _name, _args in (("chain", (EV["chain_amount"], 2, 3, 1.2)), ("chain_deep", (20.0, 4, 4, 1.1))):
+    _model(_name, events_view, lambda e, a=_args: rules.chain(e, a[0], a[1], a[2], factor=a[3]))
+    ORACLE[_name] = _chain_sql(*_args)
 
 # --- outliers -------------------------------------------------------------
 _LOGGED = set(features.LOGGED)
@@ -212,19 +223,27 @@ eg AS (SELECT f, min(x) - 1e-9 AS lo, max(x) + 1e-9 AS hi, count(*) AS n FROM ln
 pl AS (SELECT entity_id, f, n, least(9, floor((x - lo) / (hi - lo) * 10)) AS b FROM lng JOIN eg USING (f)),
 raws AS (SELECT entity_id, sum(-ln(greatest(k / n::DOUBLE, 1e-9))) AS raw FROM pl JOIN (SELECT f, b, count(*) AS k FROM pl GROUP BY 1, 2) USING (f, b) GROUP BY 1), {SCOREMIN}""", 4)
 for _name, _op in {
-    "statml_isolation_forest": lambda e: outliers.isolation_forest(e, 100),
-    "statml_extended_forest": lambda e: outliers.extended_isolation_forest(e, 60),
+    "statml_isolation_forest": outliers.isolation_forest, "statml_extended_forest": outliers.extended_isolation_forest,
     "statml_lof": outliers.local_outlier_factor, "statml_mahalanobis": outliers.mahalanobis, "statml_pca": outliers.pca_error,
     "statml_ocsvm": outliers.one_class_svm, "statml_autoencoder": outliers.autoencoder, "statml_gmm": outliers.gaussian_mixture, "statml_kde": outliers.kernel_density,
 }.items():
     _model(_name, events_view, _op)
 
+_SQUARES = " + ".join(f"pow(a.{c} - b.{c}, 2)" for c in features.FEATURES)
+ORACLE["statml_kde"] = _sql(EVENTS_SQL, _MATRIX + f""", nn AS (SELECT count(*)::DOUBLE AS n FROM mx), ex AS (SELECT a.entity_id, n, -({_SQUARES}) / (2 * pow(n, -2.0 / {len(features.FEATURES) + 4})) AS e FROM mx a, mx b, nn WHERE n >= 16),
+tp AS (SELECT *, max(e) OVER (PARTITION BY entity_id) AS top FROM ex), raws AS (SELECT entity_id, -(any_value(top) + ln(sum(exp(e - top)) / any_value(n))) AS raw FROM tp GROUP BY 1), {SCOREMIN}""")
+ORACLE["statml_lof"] = _sql(EVENTS_SQL, _MATRIX + f""", pr AS (SELECT a.entity_id, b.entity_id AS id, sqrt({_SQUARES}) AS d FROM mx a JOIN mx b ON a.entity_id <> b.entity_id
+  QUALIFY row_number() OVER (PARTITION BY a.entity_id ORDER BY sqrt({_SQUARES}), b.entity_id) <= 20),
+rc AS (SELECT entity_id AS id, max(d) AS reach FROM pr GROUP BY 1), ds AS (SELECT entity_id, 1 / (avg(greatest(d, reach)) + 1e-10) AS density FROM pr JOIN rc USING (id) GROUP BY 1),
+ot AS (SELECT pr.entity_id, avg(density) AS other FROM pr JOIN ds ON ds.entity_id = pr.id GROUP BY 1), raws AS (SELECT entity_id, other / density AS raw FROM ds JOIN ot USING (entity_id)), {SCOREMIN}""")
+
 # --- fusion ---------------------------------------------------------------
 _FUSED = ["time_correlation", "network_oddball", "structuring_events", "behavioral", "statml_zscore"]
 
 
 def _scores(spark: SparkSession, sf: str) -> DataFrame:
-    return fusion.stack({name: QUERIES[name](spark, sf) for name in _FUSED})
+    """Each model is run once, however often its scores are read."""
+    return cut(fusion.stack({name: QUERIES[name](spark, sf) for name in _FUSED}))
 
 
 _SCORES_SQL = "sc AS (" + " UNION ALL ".join(f"SELECT '{m}' AS model, * FROM ({ORACLE[m]})" for m in _FUSED) + ")"
@@ -287,21 +306,31 @@ ORACLE["evaluation_ablation"] = f"WITH {_SCORES_SQL}, {EVENTS_SQL}, {_TRUTH_SQL}
 # --- insights -------------------------------------------------------------
 QUERIES["insights"] = lambda spark, sf: insights.build_insights(events_view(spark, sf), 1440, EV["threshold"], 1.2, 0.2)
 ORACLE["insights"] = f"""WITH {EVENTS_SQL}, {_BURST.format(h=48)}, al AS (SELECT entity_id, count(*) AS n FROM ev GROUP BY 1),
-io AS (SELECT entity_id, count(DISTINCT CASE WHEN coalesce(direction, '') = 'credit' THEN counterparty_id END) AS i, count(DISTINCT CASE WHEN coalesce(direction, '') <> 'credit' THEN counterparty_id END) AS o FROM ev GROUP BY 1),
+cp AS (SELECT entity_id, count(*) AS n FROM ev WHERE counterparty_id IS NOT NULL GROUP BY 1),
+io AS (SELECT entity_id, count(DISTINCT counterparty_id) FILTER (direction = 'credit') AS i, count(DISTINCT counterparty_id) FILTER (direction = 'debit') AS o FROM ev WHERE amount IS NOT NULL GROUP BY 1),
 gp AS (SELECT entity_id, (epoch_us(timestamp) - lag(epoch_us(timestamp)) OVER (PARTITION BY entity_id ORDER BY timestamp, event_id)) / 86400e6 AS gap FROM ev),
-lq AS (SELECT entity_id, quantile_cont(amount, 0.95) AS q FROM ev WHERE amount > 0 GROUP BY 1),
-ls AS (SELECT e.entity_id, max(timestamp) FILTER (amount >= q) AS lump, max(timestamp) AS last FROM ev e JOIN lq USING (entity_id) GROUP BY 1)
+lq AS (SELECT entity_id, quantile_cont(amount, 0.95) AS q FROM ev WHERE amount IS NOT NULL GROUP BY 1 HAVING count(*) >= 5),
+ls AS (SELECT e.entity_id, (epoch_us(max(timestamp)) - epoch_us(max(timestamp) FILTER (amount >= q))) / 86400e6 AS quiet FROM ev e JOIN lq USING (entity_id) WHERE q > 0 AND amount IS NOT NULL GROUP BY 1)
 SELECT entity_id, 'call_then_transfer' AS kind, count(*) AS detail FROM ev b WHERE source = 'bank' AND EXISTS (SELECT 1 FROM ev c WHERE c.source <> 'bank' AND c.entity_id = b.entity_id AND c.counterparty_id = b.counterparty_id
   AND abs(epoch_us(c.timestamp) - epoch_us(b.timestamp)) <= 86400000000) GROUP BY 1
-UNION ALL SELECT entity_id, 'under_threshold', count(*) FROM ev WHERE source = 'bank' AND amount >= 352 AND amount < 400 GROUP BY 1 HAVING count(*) >= 3
-UNION ALL SELECT entity_id, 'hub', i + o FROM io WHERE (i >= 5 AND o >= 8) OR i >= 10 OR o >= 10
-UNION ALL SELECT entity_id, 'burst', burst FROM b JOIN al USING (entity_id) WHERE al.n >= 10 AND burst >= 12
+UNION ALL SELECT entity_id, 'under_threshold', count(*) FROM ev WHERE amount >= 352 AND amount < 400 GROUP BY 1 HAVING count(*) >= 3
+UNION ALL SELECT entity_id, 'hub', CASE WHEN i >= 5 AND o >= 8 THEN i + o WHEN i >= 10 THEN i ELSE o END FROM io WHERE (i >= 5 AND o >= 8) OR i >= 10 OR o >= 10
+UNION ALL SELECT entity_id, 'burst', burst FROM b JOIN cp USING (entity_id) WHERE cp.n >= 10 AND burst >= 12
 UNION ALL SELECT entity_id, 'dormancy', floor(max(gap))::BIGINT FROM gp JOIN al USING (entity_id) GROUP BY entity_id, al.n HAVING al.n >= 10 AND max(gap) >= 1.2
-UNION ALL SELECT entity_id, 'lump_then_silence', floor((epoch_us((SELECT max(timestamp) FROM ev)) - epoch_us(lump)) / 86400e6)::BIGINT FROM ls
-  WHERE lump = last AND floor((epoch_us((SELECT max(timestamp) FROM ev)) - epoch_us(lump)) / 86400e6) >= 0.2
-UNION ALL SELECT entity_id, 'round_amounts', count(*) FILTER (abs(amount % 1) < 0.01) FROM ev WHERE amount > 0 GROUP BY 1
+UNION ALL SELECT entity_id, 'lump_then_silence', floor(quiet)::BIGINT FROM ls WHERE quiet >= 0.2
+UNION ALL SELECT entity_id, 'round_amounts', count(*) FILTER (abs(amount % 1) < 0.01) FROM ev WHERE amount IS NOT NULL GROUP BY 1
   HAVING count(*) >= 15 AND count(*) FILTER (abs(amount % 1) < 0.01) / count(*)::DOUBLE >= 0.5"""
 
+QUERIES["insights_worded"] = lambda spark, sf: insights.worded(insights.build_insights(events_view(spark, sf), 1440, EV["threshold"], 1.2, 0.2), 1440, EV["threshold"])
+ORACLE["insights_worded"] = f"""SELECT * EXCLUDE (n), CASE kind WHEN 'call_then_transfer' THEN n || ' transfers to a party called or posted to within 1440 minutes' WHEN 'under_threshold' THEN n || ' amounts just under the limit of 400'
+  WHEN 'hub' THEN 'money moved with ' || n || ' different parties' WHEN 'burst' THEN 'dealt with ' || n || ' different parties within 48 hours'
+  WHEN 'dormancy' THEN 'silent for ' || n || ' days, then active again' WHEN 'lump_then_silence' THEN 'a large amount, then quiet for ' || n || ' days'
+  WHEN 'round_amounts' THEN n || ' amounts without cents, half of all or more' END AS sentence FROM (SELECT * FROM ({ORACLE["insights"]})) t, LATERAL (SELECT format('{{:,}}', t.detail) AS n) x"""
+QUERIES["largest_per_party"] = lambda spark, sf: insights.largest_per_party(ledger_view(spark, sf), 5)
+ORACLE["largest_per_party"] = f"""WITH {LEDGER_SQL}, b AS (SELECT entity_id, counterparty_id, amount, event_id FROM lg WHERE amount IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY entity_id, counterparty_id ORDER BY amount DESC, event_id) = 1)
+SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY amount DESC, event_id)::INT AS place FROM b QUALIFY place <= 5"""
+
 # --- chart aggregates -----------------------------------------------------
 QUERIES["chart_daily_by_source"] = lambda spark, sf: charts.daily_by_source(events_view(spark, sf))
 ORACLE["chart_daily_by_source"] = f"""WITH {EVENTS_SQL}, dy AS (SELECT unnest(generate_series(min(timestamp)::DATE::TIMESTAMP, max(timestamp)::DATE::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM ev)
