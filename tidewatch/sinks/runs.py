@@ -34,6 +34,13 @@ def _index(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(INDEX).json(f"{root}/index") if _exists(spark, f"{root}/index") else spark.createDataFrame([], INDEX)
 
 
+def _manifest_digests(spark: SparkSession, root: str) -> DataFrame:
+    """(run_id, files_sha256): the digest of each run's manifest lines, of which a
+    run has as many as files."""
+    lines = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "path", "sha256"))), "\n")
+    return spark.read.parquet(f"{root}/manifest").groupBy(F.col("run_id").cast("string").alias("run_id")).agg(F.sha2(lines, 256).alias("files_sha256"))
+
+
 def save_run(spark: SparkSession, root: str, run_id: str, tables: dict[str, DataFrame], note: str = "", saved_at: str = "") -> str:
     """Write and seal a run, and link it to the latest; returns its chain hash.
     Ids must be new and in order: the chain follows them."""
@@ -44,9 +51,7 @@ def save_run(spark: SparkSession, root: str, run_id: str, tables: dict[str, Data
         rows.write.mode("errorifexists").json(f"{root}/files/{run_id}/{name}")
     sealed = archive.seal(_files(spark, root, run_id)).withColumn("run_id", F.lit(run_id))
     sealed.write.mode("append").partitionBy("run_id").parquet(f"{root}/manifest")
-    lines = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "path", "sha256"))), "\n")
-    # As many lines as a run has files.
-    whole = spark.read.parquet(f"{root}/manifest").where(F.col("run_id") == run_id).agg(F.sha2(lines, 256).alias("files_sha256"))
+    whole = _manifest_digests(spark, root).where(F.col("run_id") == run_id).select("files_sha256")
     row = whole.select(F.lit(run_id).alias("run_id"), F.lit(saved_at).alias("saved_at"), F.lit(note).alias("note"), "files_sha256",
                        F.sha2(F.concat(F.lit(latest[0] or ""), "files_sha256"), 256).alias("chain_hash")).persist()
     row.coalesce(1).write.mode("append").json(f"{root}/index")
@@ -72,7 +77,12 @@ def verify_run(spark: SparkSession, root: str, run_id: str) -> DataFrame:
 
 
 def verify_chain(spark: SparkSession, root: str) -> DataFrame:
-    return archive.verify_chain(_index(spark, root))
+    """(run_id, ok): whether a run links to the one before and its manifest is
+    still the one that was sealed."""
+    index = _index(spark, root)
+    linked = archive.verify_chain(index).join(index.select("run_id", "files_sha256"), "run_id")
+    now = _manifest_digests(spark, root).withColumnRenamed("files_sha256", "now") if _exists(spark, f"{root}/manifest") else index.select("run_id", F.lit(None).cast("string").alias("now")).limit(0)
+    return linked.join(now, "run_id", "left").select("run_id", (F.col("ok") & F.coalesce(F.col("now") == F.col("files_sha256"), F.lit(False))).alias("ok"))
 
 
 def delete_run(spark: SparkSession, root: str, run_id: str) -> bool:
