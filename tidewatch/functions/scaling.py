@@ -11,11 +11,15 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.lineage import cut
+
 EPS = 1e-9
 
 
 def with_totals(df: DataFrame, **totals: Column) -> DataFrame:
-    """``df`` with global aggregates as columns (one broadcast row)."""
+    """``df`` with global aggregates as columns (one broadcast row). ``df`` has a
+    row an entity; it is stored, so that what made it is not run twice."""
+    df = cut(df)
     row = df.agg(*(c.alias(name) for name, c in totals.items()))
     return df.join(F.broadcast(row))
 

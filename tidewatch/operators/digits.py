@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.lineage import cut
 from tidewatch.functions.scaling import EPS, chi2_sf_even8, chi2_sf_odd9
 
 
@@ -27,7 +28,7 @@ def _table(events: DataFrame, second: bool, least: int) -> DataFrame:
     wanted = list(range(low, high + 1))
     d = _digits(events, second)
     one = lambda k: F.count_if(F.col("digit") == k).alias(f"c{k}")
-    per = d.groupBy("entity_id").agg(F.count("*").alias("n"), *(one(k) for k in wanted))
+    per = cut(d.groupBy("entity_id").agg(F.count("*").alias("n"), *(one(k) for k in wanted)))
     every = per.agg(F.sum("n").alias("all"), *(F.sum(f"c{k}").alias(f"t{k}") for k in wanted))
     cells = F.array(*(F.struct(F.lit(k).alias("digit"), (F.col(f"c{k}") / F.col("n")).alias("p"), (F.col(f"t{k}") / F.col("all")).alias("q")) for k in wanted))
     return per.where(F.col("n") >= least).join(F.broadcast(every)).select("entity_id", "n", F.col("all"), cells.alias("cells"))

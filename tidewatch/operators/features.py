@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions.lineage import cut
+
 COUNTS = ["n_events", "n_calls", "n_txns", "n_posts", "n_credit", "n_debit"]
 FEATURES = [
     *COUNTS, "amt_total", "amt_mean", "amt_max", "amt_std", "fan_out", "fan_in",
@@ -48,7 +50,7 @@ def build_features(events: DataFrame) -> DataFrame:
 def feature_matrix(events: DataFrame) -> DataFrame:
     """(entity_id, features standardised): logs, then (x - mean) / (std + EPS)."""
     f = build_features(events)
-    f = f.select("entity_id", *(F.log1p(F.greatest(F.col(c), F.lit(0.0))).alias(c) if c in LOGGED else F.col(c) for c in FEATURES))
+    f = cut(f.select("entity_id", *(F.log1p(F.greatest(F.col(c), F.lit(0.0))).alias(c) if c in LOGGED else F.col(c) for c in FEATURES)))
     stats = f.agg(*(g(c).alias(f"_{tag}_{c}") for c in FEATURES for tag, g in (("m", F.avg), ("s", F.stddev_samp))))
     met = f.join(F.broadcast(stats))
     scaled = [F.coalesce((F.col(c) - F.col(f"_m_{c}")) / (F.col(f"_s_{c}") + 1e-9), F.lit(0.0)).alias(c) for c in FEATURES]

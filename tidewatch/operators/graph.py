@@ -18,7 +18,9 @@ def edges(events: DataFrame) -> DataFrame:
 def _residuals(events: DataFrame) -> DataFrame:
     """Distance of log volume from its fit on log degree; eight entities least."""
     per = edges(events).groupBy(F.col("src").alias("entity_id")).agg(F.count("*").alias("d"), F.sum("w").alias("w"))
+    # A row an entity, read for the fit and for the residuals.
     xy = per.select("entity_id", F.log(F.col("d").cast("double")).alias("x"), F.log1p(F.col("w").cast("double")).alias("y"))
+    xy = cut(xy)
     fit = xy.agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("base"), F.count("*").alias("n")).where("n >= 8")
     return xy.join(F.broadcast(fit)).select("entity_id", (F.col("y") - (F.col("slope") * F.col("x") + F.col("base"))).alias("resid"))
 
@@ -37,7 +39,7 @@ def oddball_signed(events: DataFrame) -> DataFrame:
 
 def degrees(events: DataFrame) -> DataFrame:
     known = events.where("entity_id is not null and counterparty_id is not null")
-    return known.groupBy("entity_id").agg(F.count_distinct("counterparty_id").alias("d"))
+    return known.select("entity_id", "counterparty_id").distinct().groupBy("entity_id").agg(F.count("*").alias("d"))
 
 
 def degree_deviation(events: DataFrame) -> DataFrame:
@@ -47,12 +49,15 @@ def degree_deviation(events: DataFrame) -> DataFrame:
 
 
 def _in_out(events: DataFrame, out) -> DataFrame:
-    cp = F.col("counterparty_id")
+    """(entity_id, out, in, deg, sided), counted over pairs of parties."""
     known = events.where("entity_id is not null and counterparty_id is not null")
-    return known.groupBy("entity_id").agg(
-        F.count_distinct(F.when(out, cp)).alias("out"), F.count_distinct(F.when(F.col("direction") == "credit", cp)).alias("in"),
-        F.count_distinct(cp).alias("deg"), F.count_if(F.col("direction").isin("credit", "debit")).alias("sided"),
+    pairs = known.groupBy("entity_id", "counterparty_id").agg(
+        F.coalesce(F.bool_or(out), F.lit(False)).alias("out"), F.coalesce(F.bool_or(F.col("direction") == "credit"), F.lit(False)).alias("in"),
+        F.count_if(F.col("direction").isin("credit", "debit")).alias("sided"),
     )
+    return pairs.groupBy("entity_id").agg(
+        F.count_if("out").alias("out"), F.count_if("in").alias("in"), F.count("*").alias("deg"), F.sum("sided").alias("sided")
+    )
 
 
 def reciprocity(events: DataFrame) -> DataFrame:

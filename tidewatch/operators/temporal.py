@@ -18,7 +18,8 @@ def asof_match(left: DataFrame, right: DataFrame, tolerance_minutes: int, by: li
 
     Time is cut into buckets one tolerance wide. A right row stands in its own
     bucket and the one before, so every answer lies in its left row's bucket and
-    one sort per bucket finds it; no pairs are made. Both sides have event_id,
+    one sort per bucket, latest first, and a running last find it; no pairs are
+    made. Both sides have event_id,
     timestamp and the columns ``by``, which must be equal.
     """
     by = by or []
@@ -29,8 +30,9 @@ def asof_match(left: DataFrame, right: DataFrame, tolerance_minutes: int, by: li
                       "timestamp", "event_id", F.lit(0).alias("side"), bucket.alias("bucket"), *by)
     two = right.select(F.lit(None).cast(left.select(F.struct(*left.columns).alias("l")).schema["l"].dataType).alias("l"), F.struct(*keep).alias("r"),
                        "timestamp", "event_id", F.lit(1).alias("side"), F.explode(F.array(bucket, bucket - 1)).alias("bucket"), *by)
-    ahead = Window.partitionBy("bucket", *by).orderBy("timestamp", "side", "event_id").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    found = one.unionByName(two).withColumn("match", F.first("r", ignorenulls=True).over(ahead)).where("side = 0 and match is not null")
+    latest = [F.desc(c) for c in ("timestamp", "side", "event_id")]
+    ahead = Window.partitionBy("bucket", *by).orderBy(*latest).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = one.unionByName(two).withColumn("match", F.last("r", ignorenulls=True).over(ahead)).where("side = 0 and match is not null")
     near = F.expr("timestampdiff(MICROSECOND, l.timestamp, match.timestamp)") <= width
     return found.where(near).select("l.*", "match")
 
