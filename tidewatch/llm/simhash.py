@@ -6,6 +6,10 @@ other agree on at least one of ``max_bits + 1`` bit segments; each segment value
 is a block, and inside a block a hierarchical index over the Gray-ordered values
 finds the links. A block emits a spanning forest, never all its pairs. Forests
 are merged by star contraction, which runs distributed to its fixed point.
+
+``near_copies`` links by shingle similarity instead: sketches of several
+fingerprints block texts by bands of bits, the same index finds candidates in a
+block, and every link that joins two groups is verified on the whole texts.
 """
 
 from __future__ import annotations
@@ -21,11 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm._common import fan_out, materialize, text_slices
+from tidewatch.llm.merges import mix
 
-#: Shingles whose bits are unpacked at a time, and leaves under one index node.
+#: Shingles whose bits are counted at a time, and leaves under one index node.
 BLOCK, FANOUT = 250_000, 16
-#: Distinct fingerprints in one block before it is divided by a second segment.
-MAX_BLOCK = 500_000
+#: Distinct fingerprints in one block before it is divided further.
+MAX_BLOCK = 100_000
+#: Blocks up to so many texts are compared side by side, without an index.
+SMALL = 64
+#: Each byte's bits, one to a byte of a long: sums of up to 255 don't carry.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
 def shingle_hashes(text: str, width: int) -> np.ndarray:
@@ -37,17 +46,30 @@ def shingle_hashes(text: str, width: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, grams), repeat(42)), np.uint64)
 
 
-def fingerprints(texts: list[str], width: int) -> np.ndarray:
-    """The majority bits of each text's shingle hashes; zero without words."""
-    counts, sizes = np.zeros((len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
+def bit_counts(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How often each of 64 bits is set in the hashes from each start on."""
+    sizes = np.diff(np.append(starts, len(hashes)))
+    pieces = -(-sizes // 255)
+    first = np.cumsum(pieces) - pieces
+    cuts = np.repeat(starts, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(first, pieces))
+    sums = np.add.reduceat(_LANES[hashes.view(np.uint8)].reshape(-1, 8), cuts, axis=0)
+    return np.add.reduceat(sums.view(np.uint8).reshape(-1, 64), first, axis=0, dtype=np.int64)
+
+
+def sketches(texts: list[str], width: int, words: int) -> np.ndarray:
+    """(texts, words): the majority bits of each text's shingle hashes, then of
+    the same hashes mixed anew for each further word; zero without words."""
+    counts, sizes = np.zeros((len(texts), words, 64), np.int64), np.zeros(len(texts), np.int64)
     pending: list[tuple[int, np.ndarray]] = []
 
     def flush() -> None:
         rows = [i for i, _ in pending]
         hashes = np.concatenate([h for _, h in pending])
         starts = np.cumsum([0, *(len(h) for _, h in pending)])[:-1]
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        np.add.at(counts, rows, np.add.reduceat(bits, starts, axis=0, dtype=np.int32))
+        for j in range(words):
+            with np.errstate(over="ignore"):
+                mine = mix(hashes + np.uint64(j * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if j else hashes
+            np.add.at(counts, (rows, j), bit_counts(mine, starts))
         pending.clear()
 
     held = 0
@@ -63,8 +85,13 @@ def fingerprints(texts: list[str], width: int) -> np.ndarray:
                 held = 0
     if pending:
         flush()
-    set_bits = (2 * counts > sizes[:, None]).astype(np.uint8)
-    return np.packbits(set_bits, axis=1, bitorder="little").view("<u8").ravel()
+    set_bits = (2 * counts > sizes[:, None, None]).astype(np.uint8)
+    return np.packbits(set_bits, axis=2, bitorder="little").view("<u8").reshape(len(texts), words)
+
+
+def fingerprints(texts: list[str], width: int) -> np.ndarray:
+    """One 64-bit fingerprint for each text."""
+    return sketches(texts, width, 1).ravel()
 
 
 def with_fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
@@ -92,7 +119,8 @@ class GrayIndex:
     children share. ``levels[0]`` is the fingerprints themselves."""
 
     def __init__(self, fps: np.ndarray):
-        self.fps = fps[np.argsort(gray_rank(fps), kind="stable")]
+        self.order = np.argsort(gray_rank(fps), kind="stable")
+        self.fps = fps[self.order]
         full = np.full(len(fps), ~np.uint64(0))
         self.levels = [(full, self.fps)]
         while len(self.levels[-1][0]) > 1:
@@ -109,10 +137,12 @@ class GrayIndex:
         mask, bits = self.levels[level]
         return np.bitwise_count((bits[a] ^ bits[b]) & mask[a] & mask[b])
 
-    def forest(self, max_bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Index pairs that span every component of pairs within ``max_bits``."""
+    def forest(self, *reaches: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Index pairs that span every component of pairs within each of the
+        rising ``reaches``: of two ways to join groups the nearer is taken."""
         n, edges = len(self.fps), []
         label = np.arange(n)
+        max_bits = reaches[0]
 
         def link(a: np.ndarray, b: np.ndarray) -> None:
             nonlocal label
@@ -129,10 +159,6 @@ class GrayIndex:
                 while not np.array_equal(up := label[label], label):
                     label = up
 
-        for step in (1, 2):
-            a = np.arange(n - step)
-            link(a[near := self.distance(0, a, a + step) <= max_bits], a[near] + step)
-
         def uniform(level: int) -> np.ndarray:
             """The single component below each node, or -1."""
             starts = np.arange(0, n, FANOUT**level)
@@ -157,8 +183,12 @@ class GrayIndex:
                 descend(level - 1, ca[keep], cb[keep])
 
         top = len(self.levels) - 1
-        if top:
-            descend(top, np.zeros(1, np.int64), np.zeros(1, np.int64))
+        for max_bits in reaches:
+            for step in (1, 2):
+                a = np.arange(n - step)
+                link(a[near := self.distance(0, a, a + step) <= max_bits], a[near] + step)
+            if top:
+                descend(top, np.zeros(1, np.int64), np.zeros(1, np.int64))
         return edges
 
 
@@ -291,12 +321,167 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, max_bloc
     )
 
 
+def _band_edges(reach: int):
+    """Candidates of blocks sorted by (k1, k2): all within ``reach`` where they
+    are few, a forest of the nearest in dense and in large blocks."""
+    reaches = (reach * 3 // 8, reach * 11 // 16, reach)
+
+    def found(k1: np.ndarray, k2: np.ndarray, node: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(node) < 2:
+            return
+        cuts = np.concatenate([[0], np.flatnonzero((k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])) + 1])
+        sizes = np.diff(np.append(cuts, len(node)))
+        block = np.repeat(np.arange(len(cuts)), sizes)
+        # Past a row, so many more of its block: none where the block is large.
+        left = np.where(sizes <= SMALL, sizes, 0)[block] - (np.arange(len(node)) - cuts[block]) - 1
+        pairs, at, lag = [], np.flatnonzero(left > 0), 1
+        while len(at):
+            near = at[np.bitwise_count(fp[at] ^ fp[at + lag]) <= reach]
+            pairs.append((near, near + lag))
+            lag += 1
+            at = at[left[at] >= lag]
+        a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in zip(*pairs, strict=True)) if pairs else (np.empty(0, np.int64),) * 2
+        dense = (np.bincount(block[a], minlength=len(cuts)) > 3 * sizes) | (sizes > SMALL)
+        keep = ~dense[block[a]]
+        a, b = [a[keep]], [b[keep]]
+        for i in np.flatnonzero(dense):
+            index = GrayIndex(fp[cuts[i] : cuts[i] + sizes[i]])
+            for x, y in index.forest(*reaches):
+                a.append(cuts[i] + index.order[x])
+                b.append(cuts[i] + index.order[y])
+        a, b = np.concatenate(a), np.concatenate(b)
+        bits = np.bitwise_count(fp[a] ^ fp[b]).astype(np.int32)
+        high, low = np.maximum(node[a], node[b]), np.minimum(node[a], node[b])
+        yield pa.RecordBatch.from_arrays([pa.array(high), pa.array(low), pa.array(bits)], ["a", "b", "bits"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)]
+        for batch in batches:
+            new = [batch.column(c).to_numpy() for c in ("k1", "k2", "node")] + [batch.column("fp").to_numpy().view(np.uint64)]
+            held = [np.concatenate(x) for x in zip(held, new, strict=True)]
+            k1, k2 = held[:2]
+            if not len(k1):
+                continue
+            # The last block may go on in the next batch.
+            done = int(np.searchsorted(k1, k1[-1]))
+            done += int(np.searchsorted(k2[done:], k2[-1]))
+            yield from found(*(x[:done] for x in held))
+            held = [x[done:] for x in held]
+        yield from found(*held)
+
+    return run
+
+
+def band_links(sketched: DataFrame, words: int, band_bits: int, reach: int, max_block: int = MAX_BLOCK) -> DataFrame:
+    """(a, b, bits): candidate pairs a > b among the distinct ``node`` of
+    ``sketched(node, sketch array<long>)``, with the bits in which one word of
+    their sketches differs.
+
+    Texts share a block if they agree on a band of ``band_bits``, four of which
+    are cut from each word; in a block the word half the sketch away decides. A
+    block over ``max_block`` is dealt by hash into groups, and every two groups
+    meet in a task of their own, so that no pair is lost.
+    """
+    spark = sketched.sparkSession
+    word = lambda j: F.col("sketch")[j]
+    bands = [
+        F.struct((F.lit(4 * j + i).cast("long") * (1 << band_bits) + _segment(word(j), 16 * i, band_bits)).alias("k1"), word((j + words // 2) % words).alias("fp"))
+        for j in range(words) for i in range(4)
+    ]
+    rows = sketched.select("node", F.explode(F.array(*bands)).alias("x")).select("node", "x.k1", "x.fp")
+    # Only the few large blocks are listed.
+    large = rows.groupBy("k1").count().where(F.col("count") > max_block).select("k1", F.ceil(F.col("count") * 2 / max_block).alias("groups"))
+    mine = F.pmod(F.xxhash64("node"), F.col("groups"))
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1), lambda t: F.least(mine, t) * F.col("groups") + F.greatest(mine, t))
+    keyed = rows.join(large, "k1", "left").select(
+        "k1", F.explode(F.when(F.col("groups").isNotNull(), cells).otherwise(F.array(F.lit(-1).cast("long")))).alias("k2"), "node", "fp"
+    )
+    dealt = keyed.repartition(fan_out(spark), "k1", "k2").sortWithinPartitions("k1", "k2")
+    return dealt.mapInArrow(_band_edges(reach), "a long, b long, bits int").groupBy("a", "b").agg(F.min("bits").alias("bits"))
+
+
+def similarity(a: str, b: str, width: int) -> float:
+    """Jaccard similarity of two texts' sets of shingles; 1 if both have none."""
+    x, y = (np.unique(shingle_hashes(t, width)) for t in (a, b))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """(a, b, near): whether the texts of two nodes reach ``least``. ``texts`` is
+    (node, text), each node once; a node met by very many others is a skewed
+    join, which is split at run time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [similarity(x.as_py(), y.as_py(), width) >= least for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near, pa.bool_())], ["a", "b", "near"])
+
+    one = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
+    two = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
+    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, near boolean")
+
+
+def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, words: int = 8, band_bits: int = 14, reach: int = 16, rounds: int = 2) -> DataFrame:
+    """(doc_id, node, root) for every row of ``docs``: its text's 64-bit hash and
+    the group of texts that links of shingle similarity ``least`` or more join.
+
+    Candidates come from ``band_links``. Each round verifies for every text its
+    nearest candidate that is not yet in its group; after ``rounds`` all that
+    remain are verified, so each candidate is verified or inside a group. Equal
+    texts are one node; null is the empty text, and texts without a word are
+    alike. An empty table returns no rows; other columns are ignored.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, at = batch.column("doc_id"), 0
+            for nodes, texts in text_slices(iter([batch]), 2_000_000, "node"):
+                sketch = sketches(texts, width, words).view(np.int64)
+                yield pa.RecordBatch.from_arrays([ids[at : at + len(nodes)], pa.array(nodes, pa.int64()), pa.array(list(sketch), pa.list_(pa.int64()))], ["doc_id", "node", "sketch"])
+                at += len(nodes)
+
+    seen = materialize(rows.mapInArrow(run, "doc_id long, node long, sketch array<long>"), "sketches")
+    nodes = seen.groupBy("node").agg(F.first("sketch").alias("sketch"))
+    edges = materialize(band_links(nodes, words, band_bits, reach), "candidates")
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = materialize(rows.select("node", "text").join(ends, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    good = None
+    for turn in range(rounds + 1):
+        nearest = F.min_by(F.struct("b"), F.struct("bits", F.xxhash64("a", "b")))
+        chosen = edges.groupBy("a").agg(nearest.alias("x")).select("a", "x.b") if turn < rounds else edges
+        judged = materialize(verified(chosen, texts, width, least), "judged")
+        good = judged if good is None else good.union(judged)
+        roots = materialize(components(good.where("near").select("a", "b")), "roots")
+        if turn == rounds:
+            break
+        of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+        apart = edges.join(judged.select("a", "b"), ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        apart = apart.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "bits")
+        edges = materialize(apart, "candidates")
+        if edges.isEmpty():
+            break
+    return seen.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
+
+
 def keep_first(docs: DataFrame, **params) -> DataFrame:
-    """One row of ``docs`` for each near-duplicate group: the least doc_id's.
+    """One row of ``docs`` for each group of ``near_copies``: the least doc_id's.
 
-    Rows without a doc_id can't be told apart and stay; of repeated rows with
-    the same doc_id one stays.
+    Rows without a doc_id can't be told apart and stay. Of repeated rows with
+    the same doc_id and text one stays; rows that share a doc_id but not their
+    text are told apart by it. An empty table stays empty; all columns of
+    ``docs`` stay, whatever their names.
     """
-    kept = near_duplicates(docs.where("doc_id is not null"), **params).where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    grouped = materialize(near_copies(docs.where("doc_id is not null"), **params), "grouped")
+    first = grouped.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("one")).select("one.*")
+    copies = grouped.groupBy("doc_id", "node").agg(F.count("*").alias("copies")).join(first, ["doc_id", "node"], "left_semi")
+    copies = materialize(copies, "first").select(F.col("doc_id").alias("_doc_id"), F.col("node").alias("_node"), "copies")
+    known = docs.where("doc_id is not null")
+    met = lambda these: (F.col("doc_id").cast("long") == these["_doc_id"]) & (F.xxhash64(F.coalesce("text", F.lit(""))) == these["_node"])
+    once, again = copies.where("copies = 1").drop("copies"), copies.where("copies > 1").drop("copies")
+    kept = known.join(once, met(once), "left_semi")
+    # Whole texts are shuffled for repeated rows alone.
+    repeated = known.join(again, met(again), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(repeated).unionByName(docs.where("doc_id is null"))
