@@ -3,12 +3,12 @@
 The network reads a text's UTF-8 bytes in both directions, labels every byte
 position with a distribution over the learned languages, and the document's
 distribution is the mean over all its positions. Training is backpropagation
-through time in numpy on a bounded sample; prediction streams over whole texts.
+through time in numpy on a bounded sample; prediction streams over whole texts,
+in windows whose states are warmed up on the bytes before and behind them.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,16 +20,21 @@ from pyspark.sql import functions as F
 from tidewatch.llm._common import text_slices
 
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 @dataclass(frozen=True)
 class Fit:
-    """How the network is fitted. ``per_lang`` bounds the labelled sample: about
-    so many texts of each label, ``max_langs`` labels (the most frequent)."""
+    """How the network is fitted. ``per_lang``, ``max_langs`` and ``reach`` bound
+    the labelled sample: about so many texts of each label, so many labels (the
+    most frequent), and so many characters of each text."""
 
     per_lang: int = 400
     max_langs: int = 64
+    reach: int = 2000
     hidden: int = 8
     window: int = 48
     batch: int = 256
@@ -53,13 +58,15 @@ class Direction:
     def __init__(self, table: np.ndarray, back: np.ndarray):
         self.table, self.back = table, back
 
-    def run(self, x: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        """States (T, H, N) for bytes ``x`` (T, N)."""
+    def run(self, x: np.ndarray, keep: dict | None = None, valid: np.ndarray | None = None) -> np.ndarray:
+        """States (T, H, N) for bytes ``x`` (T, N); zero where not ``valid``, so
+        that padding leaves no trace in the steps behind it."""
         steps, n = x.shape
         h3 = self.back.shape[0]
         h = h3 // 3
         out = np.empty((steps, h, n), np.float32)
         state = np.zeros((h, n), np.float32)
+        full = valid.all(axis=1) if valid is not None else None
         a, s2, s1 = np.empty((h3, n), np.float32), np.empty((2 * h, n), np.float32), np.empty((h, n), np.float32)
         for t in range(steps):
             np.matmul(self.back, state, out=a)
@@ -79,9 +86,11 @@ class Direction:
             np.subtract(cand, state, out=s1)
             s1 *= raw[:h]
             state = np.add(state, s1, out=out[t])
+            if valid is not None and not full[t]:
+                state *= valid[t]
         return out
 
-    def gradients(self, x: np.ndarray, keep: dict, d_out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def gradients(self, x: np.ndarray, keep: dict, d_out: np.ndarray, valid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Backpropagation through time: gradients of ``table`` and ``back``."""
         steps, n = x.shape
         h = self.back.shape[0] // 3
@@ -92,6 +101,8 @@ class Direction:
             soft, cand, prev, rec = (keep[k][t] for k in ("gate", "cand", "prev", "rec"))
             z, r = 0.5 + 0.5 * soft[:h], 0.5 + 0.5 * soft[h:]
             d_state = d_state + d_out[t]
+            if valid is not None:
+                d_state *= valid[t]
             slope = 0.5 * (1 - np.abs(soft)) ** 2
             d_n = d_state * z * (1 - np.abs(cand)) ** 2
             pre = d_pre[t]
@@ -114,38 +125,45 @@ class Model:
     out: np.ndarray
     bias: np.ndarray
 
-    def positions(self, x: np.ndarray) -> np.ndarray:
-        """Label probabilities (T, C, N) of every position of ``x`` (T, N)."""
-        states = np.concatenate([self.forward.run(x), self.backward.run(x[::-1])[::-1]], axis=1)
-        p = np.matmul(self.out, states)
+    def positions(self, forward: np.ndarray, backward: np.ndarray) -> np.ndarray:
+        """Label probabilities (T, C, N) from the states of both directions."""
+        p = np.matmul(self.out, np.concatenate([forward, backward], axis=1))
         p += self.bias[:, None]
         p -= p.max(axis=1, keepdims=True)
         np.exp(p, out=p)
         p /= p.sum(axis=1, keepdims=True)
         return p
 
-    def pooled(self, texts: list[bytes], window: int = 256, lanes: int = 1024) -> np.ndarray:
+    def pooled(self, texts: list[bytes], window: int = 256, lead: int = 64, lanes: int = 1024) -> np.ndarray:
         """Mean label probabilities over all bytes of each text. Texts are cut
-        into windows of equal reach that run side by side; none is left out."""
+        into windows that run side by side; none is left out. Either direction
+        starts up to ``lead`` bytes outside its window, within the text, and
+        what stands beside a window in its batch doesn't reach it."""
         total = np.zeros((len(texts), len(self.langs)))
         sizes = np.array([len(t) for t in texts], np.int64)
-        data = np.frombuffer(b"".join(texts) + bytes(window), np.uint8)
+        data = np.frombuffer(b"".join(texts) + b"\0", np.uint8)
         n_windows = -(-sizes // window)
         owner = np.repeat(np.arange(len(texts)), n_windows)
-        first = np.cumsum(n_windows) - n_windows
-        inside = (np.arange(len(owner)) - first[owner]) * window
-        start = (np.cumsum(sizes) - sizes)[owner] + inside
+        inside = (np.arange(len(owner)) - (np.cumsum(n_windows) - n_windows)[owner]) * window
+        opens = (np.cumsum(sizes) - sizes)[owner]
         length = np.minimum(window, sizes[owner] - inside)
-        order = np.argsort(length, kind="stable")
+        order = np.lexsort((inside > 0, length))
         for at in range(0, len(order), lanes):
             rows = order[at : at + lanes]
-            reach = int(length[rows].max())
+            first, size = opens[rows], sizes[owner[rows]]
+            start, reach = first + inside[rows], int(length[rows].max())
+            stop = start + length[rows]
+            ahead = int(np.minimum(lead, inside[rows]).max())
+            behind = int(np.minimum(lead, first + size - stop).max())
             # Windows end together, so that padding stands before the text.
-            place = start[rows] + length[rows] - reach + np.arange(reach)[:, None]
-            valid = np.arange(reach)[:, None] >= reach - length[rows]
-            x = np.where(valid, data[np.maximum(place, 0)], 0).astype(np.intp)
-            p = self.positions(x)
-            p *= valid[:, None, :]
+            place = stop - reach - ahead + np.arange(ahead + reach)[:, None]
+            ok = (place >= first) & (place >= start - lead)
+            forward = self.forward.run(np.where(ok, data.take(place, mode="clip"), 0).astype(np.intp), None, ok)[ahead:]
+            place = stop + behind - 1 - np.arange(behind + reach)[:, None]
+            ok = (place < first + size) & (place >= start)
+            backward = self.backward.run(np.where(ok, data.take(place, mode="clip"), 0).astype(np.intp), None, ok)[behind:][::-1]
+            p = self.positions(forward, backward)
+            p *= (np.arange(reach)[:, None] >= reach - length[rows])[:, None, :]
             np.add.at(total, owner[rows], p.sum(axis=0).T)
         return total / np.maximum(sizes, 1)[:, None]
 
@@ -183,17 +201,16 @@ def train(samples: list[tuple[bytes, str]], fit: Fit = Fit()) -> Model | None:
             {k: np.empty((fit.window, 2 * h, fit.batch) if k == "gate" else shape, np.float32) for k in ("gate", "cand", "prev", "rec")}
             for _ in range(2)
         ]
-        states = np.concatenate([model.forward.run(x, kept[0]), model.backward.run(x[::-1], kept[1])[::-1]], axis=1)
-        p = np.matmul(model.out, states) + model.bias[:, None]
-        p = np.exp(p - p.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        d = p
+        valid = weight > 0
+        forward, backward = model.forward.run(x, kept[0], valid), model.backward.run(x[::-1], kept[1], valid[::-1])[::-1]
+        states = np.concatenate([forward, backward], axis=1)
+        d = model.positions(forward, backward)
         d[:, label, np.arange(fit.batch)] -= 1
         d *= (weight / weight.sum())[:, None, :]
         d_states = np.matmul(model.out.T, d)
         grads = [
-            *model.forward.gradients(x, kept[0], d_states[:, :h]),
-            *model.backward.gradients(x[::-1], kept[1], d_states[::-1, h:]),
+            *model.forward.gradients(x, kept[0], d_states[:, :h], valid),
+            *model.backward.gradients(x[::-1], kept[1], d_states[::-1, h:], valid[::-1]),
             np.einsum("tcn,tkn->ck", d, states, optimize=True), d.sum(axis=(0, 2)),
         ]
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
@@ -214,7 +231,8 @@ def held_out(modulus: int, remainder: int) -> F.Column:
 def sample_texts(labelled: DataFrame, fit: Fit = Fit()) -> list[tuple[bytes, str]]:
     """A bounded sample of (text window, lang) for fitting: rows are taken by a
     hash of doc_id below a bound set from each label's count, and from each a
-    window of 2,000 characters at a hashed place."""
+    window of ``reach`` characters at a hashed place. Where repeated ids or chance
+    give over twice the asked, those of the least hashes are taken."""
     known = labelled.where("lang is not null and text is not null and doc_id is not null")
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(fit.max_langs).collect()
     if not counts:
@@ -225,10 +243,10 @@ def sample_texts(labelled: DataFrame, fit: Fit = Fit()) -> list[tuple[bytes, str
         share = min(space, space * fit.per_lang // r["count"] + 1)
         bound = F.when(F.col("lang") == r["lang"], F.lit(share).cast("long")).otherwise(bound)
     place = F.pmod(F.xxhash64("doc_id", F.lit(fit.seed)), F.lit(space).cast("long"))
-    room = F.greatest(F.length("text") - 2000, F.lit(0)) + 1
+    room = F.greatest(F.length("text") - fit.reach, F.lit(0)) + 1
     at = (F.pmod(F.xxhash64("doc_id", F.lit(fit.seed + 1)), room.cast("long")) + 1).cast("int")
-    chosen = known.where(place < bound).select(place.alias("place"), "lang", F.substring("text", at, F.lit(2000)).alias("text"))
-    rows = sorted(chosen.limit(2 * fit.per_lang * len(counts)).collect())
+    chosen = known.where(place < bound).select(place.alias("place"), "lang", F.substring("text", at, F.lit(fit.reach)).alias("text"))
+    rows = chosen.orderBy("place", "lang", "text").limit(2 * fit.per_lang * len(counts)).collect()
     return [(r["text"].encode(), r["lang"]) for r in rows]
 
 
@@ -242,7 +260,7 @@ def classify(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in text_slices(batches, 2_000_000):
             pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            rows = [i for i, t in enumerate(texts) if _LETTER.search(t)] if model else []
+            rows = [i for i, t in enumerate(texts) if has_letter(t)] if model else []
             if rows:
                 p = model.pooled([texts[i].encode() for i in rows])
                 for i, best, q in zip(rows, p.argmax(axis=1), p.max(axis=1), strict=True):
@@ -253,8 +271,16 @@ def classify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def identify(docs: DataFrame, fit: Fit = Fit(), modulus: int = 3, remainder: int = 1) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score): learn from labelled rows that are
-    not held out, then predict every row from its text alone."""
+    """(doc_id, held_out, lang_pred, score) for every row: learn from labelled
+    rows that are not held out, then predict every row from its text alone.
+
+    Equal texts get equal results, whatever stands beside them; of labels with
+    equal probability the first in order is taken. A null id is not held out and
+    never learned from; repeated rows each return a row and weigh as often in
+    the sample. Texts of any length are read whole. An empty table, or one
+    without labels, learns nothing: its rows, if any, are ``und``. Other columns
+    are ignored.
+    """
     model = train(sample_texts(docs.where(~held_out(modulus, remainder)), fit), fit)
     return classify(docs, model).select("doc_id", held_out(modulus, remainder).alias("held_out"), "lang_pred", "score")
 
@@ -263,21 +289,21 @@ def keep_identified(docs: DataFrame, fit: Fit = Fit(), least: float = 0.0) -> Da
     """``docs`` without the rows the network rejects: those it labels ``und``
     (no text or no letter) or whose pooled probability is under ``least``.
 
-    The judgement travels with the row, so repeated and null ids are no matter.
+    The judgement travels with the row, so repeated and null ids are no matter,
+    and all columns stay, whatever their names. Without any label to learn from
+    every row is rejected; an empty table stays empty.
     """
     model = train(sample_texts(docs.where(~held_out(3, 1)), fit), fit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column("text")]
-            keep = np.array([bool(_LETTER.search(t)) for t in texts], bool)
-            if model is None:
-                keep[:] = False
-            elif least > 0:
-                for at in range(0, len(texts), 512):
-                    rows = [i for i in range(at, min(at + 512, len(texts))) if keep[i]]
-                    if rows:
-                        keep[rows] = model.pooled([texts[i].encode() for i in rows]).max(axis=1) >= least
+            keep, place = np.zeros(batch.num_rows, bool), pa.array(range(batch.num_rows))
+            only = pa.RecordBatch.from_arrays([place, batch.column("text")], ["doc_id", "text"])
+            for at, texts in text_slices(iter([only]), 2_000_000):
+                rows = [i for i, t in enumerate(texts) if has_letter(t)] if model else []
+                if rows:
+                    best = model.pooled([texts[i].encode() for i in rows]).max(axis=1) if least > 0 else np.ones(len(rows))
+                    keep[np.array(at)[rows]] = best >= least
             if keep.any():
                 yield batch.filter(pa.array(keep))
 
