@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import scaling
 from tidewatch.functions.amounts import parse_amount
-from tidewatch.operators import outliers
+from tidewatch.operators import outliers, sequences, truth
+from tidewatch.plans import config
 from tidewatch.plans.catalog import ORACLE, QUERIES
 from tidewatch.plans.sufficiency import BLOCKED, DEGRADED, SUPPORTED, Holdings, verdicts
 from tidewatch.sinks import archive, runs
@@ -21,6 +22,7 @@ SF = "/root/testdata/sf0.001"
 QUICK = ["structuring", "structuring_banded", "benford", "benford_ks", "reciprocity", "scatter_gather", "degree_deviation", "network_oddball", "time_velocity",
          "burst", "time_correlation", "time_correlation_anypair", "parse_amounts", "source_counts", "distinct_events", "window_tumbling", "window_sliding",
          "parse_dates", "prose_fields", "key_value_lines", "json_field", "normalized_orders", "entity_resolution", "window_session",
+         "event_sequences", "cross_source_entities", "truth_entities", "archive_verify", "archive_chain", "chart_source_counts", "chart_entity_daily",
          "chain", "chain_deep", "insights_worded", "largest_per_party", "statml_kde", "statml_lof"]
 
 
@@ -71,6 +73,52 @@ def test_density_models_in_blocks(spark):
     assert one.keys() == many.keys() and all(abs(one[k] - many[k]) < 1e-9 for k in one)
 
 
+def test_sequence_gradients():
+    rng = np.random.default_rng(2)
+    model, x = sequences.Recurrent(5, 4, 1), rng.uniform(0, 1, (6, 5, len(sequences.SIGNALS)))
+    _, grads = model.gradients(x)
+    for p, g in zip(model.params, grads, strict=True):
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        old = p[at]
+        up, down = (model.gradients(x)[0] for p[at] in (old + 1e-5, old - 1e-5))
+        p[at] = old
+        assert (up - down) / 2e-5 == pytest.approx(g[at], rel=1e-4)
+
+
+def test_sequence_autoencoder_marks_the_odd_one(spark):
+    rng, rows = np.random.default_rng(4), []
+    for e in range(60):
+        at = pd.Timestamp("2024-01-01")
+        for i in range(12):
+            at += pd.Timedelta(hours=float(rng.uniform(1, 3)) if e else float(rng.choice([0.01, 95.0])))
+            rows.append((e * 100 + i, e, at, float(rng.uniform(90, 110)) if e else 9e6, "transaction"))
+    events = spark.createDataFrame(pd.DataFrame(rows, columns=["event_id", "entity_id", "timestamp", "amount", "event_type"])).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    scores = {r["entity_id"]: r["score"] for r in sequences.lstm_autoencoder(events, 16, 8).collect()}
+    assert max(scores, key=scores.get) == 0 and len(scores) == 60
+    assert sequences.lstm_autoencoder(events.limit(0)).count() == 0
+
+
+def test_answer_key_of_a_file(spark, tmp_path):
+    (tmp_path / "key.json").write_text('{"entities": {"p1": {"person_type": "storyline", "account": "A1", "phone": "555"}, "p2": {"name": "Cruz Maria"}, "p3": {"name": "maria cruzz", "handle": "@no"}, "p4": {}}, "meta": {}}')
+    key = truth.read_key(spark, f"file://{tmp_path}/key.json")
+    assert {r["person"]: r["person_type"] for r in key.collect()} == {"p1": "storyline", "p2": "background", "p3": "background", "p4": "background"}
+    mapping = spark.createDataFrame([("A1", "E:A1"), ("555", "E:555"), ("Z", "E:Z")], "identifier string, entity_id string")
+    named = spark.createDataFrame([("Maria Cruz", "E:Z"), (None, "E:A1")], "name string, entity_id string")
+    got = {tuple(r) for r in truth.to_entities(key, mapping, named).collect()}
+    assert got == {("p1", "E:A1"), ("p1", "E:555"), ("p2", "E:Z"), ("p3", "E:Z")}
+
+
+def test_config(tmp_path):
+    pytest.importorskip("yaml")
+    path = str(tmp_path / "c.yaml")
+    assert config.read(path) == config.Config()
+    (tmp_path / "c.yaml").write_text("pipeline: {top_k: 3, probe_id_ratio: 0.5, unknown: 1}")
+    got = config.read(path)
+    assert (got.top_k, got.thresholds().pattern) == (3, 0.5)
+    config.write(got, path)
+    assert config.read(path) == got
+
+
 def test_changed_manifest_breaks_the_chain(spark, tmp_path):
     root = f"file://{tmp_path}"
     for run in ("r1", "r2"):

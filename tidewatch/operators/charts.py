@@ -17,6 +17,18 @@ def daily_by_source(events: DataFrame) -> DataFrame:
     return days.join(counts, "day", "left").select(F.date_format("day", "yyyy-MM-dd").alias("day"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("bank", "cdr", "social")))
 
 
+def source_counts(events: DataFrame) -> DataFrame:
+    """(source, n, entities): events and entities of each source."""
+    per = events.groupBy("source", "entity_id").agg(F.count("*").alias("n"))
+    return per.groupBy("source").agg(F.sum("n").alias("n"), F.count("entity_id").alias("entities"))
+
+
+def entity_daily(events: DataFrame) -> DataFrame:
+    """(entity_id, day, n, total): an entity's events and amounts by day."""
+    rows = events.where("entity_id is not null and timestamp is not null")
+    return rows.groupBy("entity_id", F.date_format("timestamp", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("amount"), 2).alias("total"))
+
+
 def model_peaks(scores: DataFrame) -> DataFrame:
     """(model, peak, fired): the best score and how many exceed 0.6."""
     return scores.groupBy("model").agg(F.round(F.max("score"), 6).alias("peak"), F.count_if(F.col("score") > 0.6).alias("fired"))

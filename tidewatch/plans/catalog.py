@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import model_queries, research_queries, source_queries
+from tidewatch.plans import evidence_queries, model_queries, research_queries, source_queries
 
-QUERIES = model_queries.QUERIES | source_queries.QUERIES | research_queries.QUERIES
-ORACLE = model_queries.ORACLE | source_queries.ORACLE | research_queries.ORACLE
+QUERIES = model_queries.QUERIES | source_queries.QUERIES | research_queries.QUERIES | evidence_queries.QUERIES
+ORACLE = model_queries.ORACLE | source_queries.ORACLE | research_queries.ORACLE | evidence_queries.ORACLE

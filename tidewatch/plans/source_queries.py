@@ -78,13 +78,18 @@ def _normalized(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("actor_raw", F.date_format("timestamp", "yyyy-MM-dd").alias("day"), "source", "event_type", F.round("amount", 2).alias("amount"), "counterparty_id_raw")
 
 
-def _entities(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers and suppliers, named after their nation and number, as actors of
-    two sources; equal names of both sources make one entity."""
+def actors(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers and suppliers, named by hashes of their number, as actors of two
+    sources: equal numbers have equal names, others are far apart."""
     name = lambda key: F.concat(F.lit("n"), F.conv(F.sha2(F.col(key).cast("string"), 256).substr(1, 14), 16, 36), F.lit(" "), F.sha2(F.col(key).cast("string"), 256).substr(20, 24))
     c = table(spark, sf, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("actor_raw"), name("c_custkey").alias("actor_name"), F.lit("bank").alias("source"))
     s = table(spark, sf, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("actor_raw"), name("s_suppkey").alias("actor_name"), F.lit("cdr").alias("source"))
-    return resolution.resolve(c.union(s))
+    return c.union(s)
+
+
+def _entities(spark: SparkSession, sf: str) -> DataFrame:
+    """Equal names of both sources make one entity."""
+    return resolution.resolve(actors(spark, sf))
 
 
 _WINDOW_SQL = """SELECT entity_id, strftime(s, '%Y-%m-%d %H:%M:%S') AS start, strftime(s + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS "end", count(*) AS n, round(sum(amount), 3) AS total"""
