@@ -6,7 +6,9 @@ pieces' vectors modulo powers of two, so order doesn't matter, equal multisets
 have equal sums, and a piece is inserted or deleted by one addition.
 
 A vector has the piece count, ``DENSE`` lanes modulo 2^32 that decide equality,
-and 64 bit lanes modulo 2^32 that count set hash bits. Around half the count the
+and 64 bit lanes modulo 2^32 that count set hash bits. Every two dense lanes and
+the bit lanes are hashed from the piece's text under seeds of their own, so that
+pieces which collide in one hash differ in the others. Around half the count the
 bit lanes are sums of random signs, whose cosine estimates how much two
 multisets share.
 """
@@ -24,9 +26,12 @@ _PAIR = 0x0000000100000001
 
 
 def piece_hashes(text: Column) -> Column:
-    """64-bit hashes of a text's pieces, blanks at their ends left out."""
-    pieces = F.split(text, r"(?<=[.!?,;:])\s+|[\r\n]+")
-    return F.transform(F.filter(pieces, lambda p: F.trim(p) != ""), lambda p: F.xxhash64(F.trim(p)))
+    """For each of a text's pieces, blanks at their ends left out, 64-bit hashes
+    under seeds 0 (the bit lanes) and 1 to ``DENSE`` / 2 (two dense lanes each)."""
+    pieces = F.transform(F.split(text, r"(?<=[.!?,;:])\s+|[\r\n]+"), lambda p: F.trim(p))
+    # The seed goes first: the text is then hashed from another state each time.
+    seeded = [lambda p, i=i: F.xxhash64(F.lit(i), p).alias(f"h{i}") for i in range(DENSE // 2 + 1)]
+    return F.transform(F.filter(pieces, lambda p: p != ""), lambda p: F.struct(*(h(p) for h in seeded)))
 
 
 def vector(hashes: Column) -> Column:
@@ -37,7 +42,7 @@ def vector(hashes: Column) -> Column:
     def total(of) -> Column:
         return F.aggregate(hashes, zero, lambda acc, h: acc + of(h))
 
-    dense = [total(_dense(i)) for i in range(DENSE)]
+    dense = [total(half(f"h{i}")) for i in range(1, DENSE // 2 + 1) for half in (_low, _high)]
     # Two bit lanes to a long: neither reaches the other below 2^32 pieces.
     pairs = F.array(*(total(_bits(j)) for j in range(32)))
     lanes = F.concat(F.transform(pairs, lambda x: x.bitwiseAND(F.lit(_LOW))), F.transform(pairs, lambda x: F.shiftrightunsigned(x, 32)))
@@ -45,12 +50,16 @@ def vector(hashes: Column) -> Column:
     return F.concat(head, lanes)
 
 
-def _dense(i: int):
-    return lambda h: F.xxhash64(h, F.lit(i)).bitwiseAND(F.lit(_LOW))
+def _low(name: str):
+    return lambda x: x[name].bitwiseAND(F.lit(_LOW))
+
+
+def _high(name: str):
+    return lambda x: F.shiftrightunsigned(x[name], 32)
 
 
 def _bits(j: int):
-    return lambda h: F.shiftrightunsigned(h, j).bitwiseAND(F.lit(_PAIR))
+    return lambda x: F.shiftrightunsigned(x["h0"], j).bitwiseAND(F.lit(_PAIR))
 
 
 def add(a: Column, b: Column, sign: int = 1) -> Column:
@@ -76,7 +85,9 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint) for each row; a null text is the empty multiset."""
+    """(doc_id, fingerprint) for each row; a null, empty or blank text is the
+    empty multiset, all zeros. Repeated rows repeat, null ids stay null, other
+    columns are ignored, an empty table stays empty."""
     hashed = docs.select(F.col("doc_id").cast("long"), piece_hashes(F.coalesce("text", F.lit(""))).alias("hashes"))
     return hashed.select("doc_id", vector(F.col("hashes")).alias("v")).select("doc_id", as_text(F.col("v")).alias("fingerprint"))
 
