@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.functions.lineage import cut
 from tidewatch.operators import rules
 from tidewatch.plans import research
 from tidewatch.plans.model_queries import _SCORES_SQL, _TRUTH_SQL, EV, _scores, _truth
@@ -27,7 +26,7 @@ FROM (SELECT entity_id FROM (SELECT entity_id, round(raw / max(raw) OVER (), 6)
 
 
 QUERIES = {
-    "research_model_matrix": lambda spark, sf: research.model_matrix(cut(_scores(spark, sf)), _truth(spark, sf)),
+    "research_model_matrix": lambda spark, sf: research.model_matrix(_scores(spark, sf), _truth(spark, sf)),
     "research_sweep": _bands,
     "research_sample_accounts": lambda spark, sf: research.sample_accounts(ledger_view(spark, sf).select("event_id", "entity_id", "direction"), "entity_id", ["event_id"], F.col("direction") == "credit", 5),
     "research_overlap": lambda spark, sf: research.overlap(table(spark, sf, "orders").select(F.col("o_custkey").alias("k")), table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k")), "k"),
