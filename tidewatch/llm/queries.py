@@ -27,8 +27,7 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = media.media_columns(_docs(spark, sf_dir))
-    return rows.drop("shard", "offset", "length", "digest")
+    return media.media_columns(_docs(spark, sf_dir))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
