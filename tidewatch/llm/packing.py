@@ -200,7 +200,9 @@ def plan(histogram: np.ndarray, window: int, bins: int = 64, depth: int = 3) ->
     length with these ranks go one each to as many sequences in a row.
 
     ``histogram[l]`` counts pieces of length l, ``l`` up to ``window``. The
-    work depends on the lengths that occur, not on how many pieces there are.
+    work depends on the lengths that occur, not on how many pieces there are:
+    every step either uses up a length or ends a combination, so that there are
+    at most ``window`` steps more than combinations, of ``window`` rows at most.
     """
     rows: list[tuple[int, int, int, int, int]] = []
     stock, sequence = _Stock(histogram.astype(np.int64)), 0
