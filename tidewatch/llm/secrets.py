@@ -2,15 +2,14 @@
 
 Strong spans (assignments, access identifiers, long hex) are reported on sight.
 Weak candidates (opaque identifiers, mixed-alphabet secrets, endpoints) mean
-little alone: they are reported only where complementary parts stand in the same
-scope, found by an interval join over the sorted candidates of the scope.
-All offsets are code points, ends exclusive.
+little alone: they are reported only where a complementary part stands apart from
+them in the same scope, however far, found by an interval join over the scope's
+parts. A scope ends at a blank line. All offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
 import bisect
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -43,7 +42,7 @@ KINDS = ["assign", "access", "hex", *WEAK]
 ROLE = {"assign": "key", "access": "identifier", "hex": "key", "identifier": "identifier", "key": "key", "endpoint": "endpoint"}
 #: Which roles complete a weak candidate of a role.
 COMPLEMENT = {"identifier": ("key",), "key": ("identifier", "endpoint"), "endpoint": ("key",)}
-_SCOPE = re.compile(r"\n[ \t]*\n")
+_SCOPE = re.compile(r"(?:\r\n?|\n)[ \t]*(?:\r\n?|\n)")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
 
 Span = tuple[str, int, int]
@@ -64,40 +63,35 @@ def _mixed(value: str) -> bool:
     return any(c.isdigit() for c in value) and any(c.islower() for c in value) and any(c.isupper() for c in value)
 
 
-def linked_spans(text: str, strong: list[Span], reach: int = 240) -> list[Span]:
-    """Weak candidates completed by a complementary part whose interval starts
-    within ``reach`` code points, both in one blank-line scope."""
+def linked_spans(text: str, strong: list[Span]) -> list[Span]:
+    """Weak candidates completed by a complementary part of the same scope that
+    doesn't overlap them. Of each role in a scope the first end and the last
+    start tell whether some part stands before or behind a candidate."""
     weak = [(k, *m.span()) for k, rx in WEAK.items() for m in rx.finditer(text) if k != "key" or _mixed(m.group())]
     if not weak:
         return []
     taken = sorted((a, b) for _, a, b in strong)
     starts = [a for a, _ in taken]
     weak = [s for s in weak if not ((i := bisect.bisect_left(starts, s[2])) and taken[i - 1][1] > s[1])]
-    scopes = [m.start() for m in _SCOPE.finditer(text)]
-    parts: dict[str, list[tuple[int, int]]] = {"identifier": [], "key": [], "endpoint": []}
+    blank = [m.start() for m in _SCOPE.finditer(text)]
+    parts: dict[tuple[int, str], tuple[int, int]] = {}
     for kind, a, b in [*strong, *weak]:
-        parts[ROLE[kind]].append((a, b))
-    for p in parts.values():
-        p.sort()
+        place = bisect.bisect_right(blank, a), ROLE[kind]
+        first, last = parts.get(place, (b, a))
+        parts[place] = min(first, b), max(last, a)
     out = []
     for kind, a, b in weak:
-        scope = bisect.bisect_right(scopes, a)
-        for role in COMPLEMENT[ROLE[kind]]:
-            row = parts[role]
-            at = bisect.bisect_left(row, (a - reach, 0))
-            # The nearest part on either side decides: scopes are contiguous.
-            mid = bisect.bisect_left(row, (a, 0))
-            near = [row[i] for i in (mid - 1, mid) if at <= i < len(row) and row[i][0] <= b + reach and row[i] != (a, b)]
-            if any(bisect.bisect_right(scopes, x) == scope for x, _ in near):
-                out.append((kind, a, b))
-                break
+        scope = bisect.bisect_right(blank, a)
+        near = [parts[scope, role] for role in COMPLEMENT[ROLE[kind]] if (scope, role) in parts]
+        if any(first <= a or last >= b for first, last in near):
+            out.append((kind, a, b))
     return out
 
 
-def scan_text(text: str, reach: int = 240) -> list[Span]:
+def scan_text(text: str) -> list[Span]:
     """All spans of a text by start, then kind as listed."""
     strong = base_spans(text)
-    return sorted([*strong, *linked_spans(text, strong, reach)], key=lambda s: (s[1], _ORDER[s[0]]))
+    return sorted([*strong, *linked_spans(text, strong)], key=lambda s: (s[1], _ORDER[s[0]]))
 
 
 def joined(spans: list[Span]) -> str:
@@ -114,7 +108,7 @@ def redact(text: str, spans: list[Span], mask: str = "[SECRET]") -> str:
     return "".join([*out, text[done:]])
 
 
-def scan(docs: DataFrame, reach: int = 240) -> DataFrame:
+def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, spans array<struct<kind, start, end>>) for each row.
 
     A null or empty text has no spans. Rows are judged alone, so repeated rows
@@ -125,7 +119,7 @@ def scan(docs: DataFrame, reach: int = 240) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         struct = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            found = [scan_text(t.as_py() or "", reach) for t in batch.column("text")]
+            found = [scan_text(t.as_py() or "") for t in batch.column("text")]
             rows = [[{"kind": k, "start": a, "end": b} for k, a, b in spans] for spans in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, struct)], ["doc_id", "spans"])
 
@@ -133,7 +127,8 @@ def scan(docs: DataFrame, reach: int = 240) -> DataFrame:
 
 
 def digest(scanned: DataFrame) -> DataFrame:
-    """The counts and joined forms of ``scan``'s rows."""
+    """The counts and joined forms of ``scan``'s rows, one for each. Without
+    spans counts are 0 and the joined forms those of no text."""
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
     n = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long")
     base = F.filter("spans", lambda s: s.kind.isin(KINDS[:3]))
@@ -143,9 +138,11 @@ def digest(scanned: DataFrame) -> DataFrame:
     )
 
 
-def masked(docs: DataFrame, reach: int = 240) -> DataFrame:
+def masked(docs: DataFrame) -> DataFrame:
     """``docs`` with every reported span of ``text`` masked and ``n_chars``, if
-    there, brought up to date. Rows without spans are unchanged."""
+    there, brought up to date. Rows without spans, null and empty texts are
+    unchanged, repeated rows stay repeated, and all columns stay, whatever their
+    names; an empty table stays empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,7 +150,7 @@ def masked(docs: DataFrame, reach: int = 240) -> DataFrame:
             texts = batch.column("text").to_pylist()
             sizes = batch.column("n_chars").to_pylist() if "n_chars" in names else None
             for i, t in enumerate(texts):
-                if t and (spans := scan_text(t, reach)):
+                if t and (spans := scan_text(t)):
                     texts[i] = redact(t, spans)
                     if sizes:
                         sizes[i] = len(texts[i])
