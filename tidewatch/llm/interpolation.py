@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,17 +28,8 @@ from pyspark.sql import functions as F
 from tidewatch.llm._common import fan_out, materialize, text_slices
 from tidewatch.llm.langid import held_out
 
-_RNG = np.random.default_rng(0x5EED)
-#: A random odd or even 64-bit value for each byte, and the odd base of the hash.
-_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Key of the token that ends every text, and of the context before its first.
 END, START = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 #: Cells of a log2-count histogram: the deleted counts are exact up to 63, then
 #: two cells for each power of two, to the largest long.
 LEVELS = 64 + 2 * 58
@@ -47,7 +39,9 @@ LEVELS = 64 + 2 * 58
 class Params:
     """Training rows leave ``modulus`` with a remainder other than ``skip``;
     among them those with ``deleted`` give the held-out counts. ``slice_chars``
-    bounds the text that a task reduces at a time."""
+    bounds the text that a task reduces at a time. Of 2^``pair_bits`` pair keys a
+    share of the distinct pairs over that number meets another pair's: 4 in a
+    million at a billion distinct pairs."""
 
     modulus: int = 7
     skip: int = 2
@@ -64,45 +58,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def token_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit keys of all tokens of all texts in order, each text closed by the
-    end token, and the number of tokens of each text."""
-    keys, sizes = [], []
-    block: list[bytes] = []
-
-    def flush() -> None:
-        # A newline ends each text, so every word has a blank behind it.
-        data = _LOWER[np.frombuffer(b"".join(t + b"\n" for t in block), np.uint8)]
-        ends_text = np.cumsum([len(t) + 1 for t in block]) - 1
-        blank = _SPACE[data]
-        word = ~blank
-        start = np.flatnonzero(word & np.concatenate([[True], blank[:-1]]))
-        stop = np.flatnonzero(blank & np.concatenate([[False], word[:-1]]))
-        powers = np.full(len(data), _BASE)
-        powers[0] = 1
-        np.multiply.accumulate(powers, out=powers)
-        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * powers, dtype=np.uint64)])
-        undo = np.full(len(data), _INVERSE)
-        undo[0] = 1
-        np.multiply.accumulate(undo, out=undo)
-        words = _mix((prefix[stop] - prefix[start]) * undo[start] + (stop - start).astype(np.uint64))
-        owner = np.searchsorted(ends_text, start)
-        per_text = np.bincount(owner, minlength=len(block))
-        out = np.full(len(words) + len(block), END)
-        out[np.arange(len(words)) + owner] = words
-        keys.append(out)
-        sizes.extend((per_text + 1).tolist())
-        block.clear()
-
-    held = 0
+    """64-bit keys (XXH64) of all tokens of all texts in order, each text closed
+    by the end token, and the number of tokens of each text."""
+    keys, sizes = [np.empty(0, np.uint64)], []
     for text in texts:
-        block.append(text.encode())
-        held += len(block[-1])
-        if held > 500_000:
-            flush()
-            held = 0
-    if block:
-        flush()
-    return np.concatenate([*keys, np.empty(0, np.uint64)]), np.array(sizes, np.int64)
+        words = text.encode().lower().split()
+        own = np.empty(len(words) + 1, np.uint64)
+        own[:-1] = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        own[-1] = END
+        keys.append(own)
+        sizes.append(len(own))
+    return np.concatenate(keys), np.array(sizes, np.int64)
 
 
 def bigram_keys(tokens: np.ndarray, sizes: np.ndarray, bits: int) -> np.ndarray:
