@@ -8,19 +8,22 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     It is the session's ``spark.checkpoint.dir``; a private one is set only
-    where none is configured, which is the single-machine case of the tests.
+    where none is configured and the master is local, as in tests.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
         found = found.rpartition("/")[0] if found else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -59,6 +62,12 @@ def text_slices(
             yield keys, texts
 
 
+def sent(table: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A stored table of keys, to be broadcast if it has at most ``most`` rows;
+    beyond that its join is a shuffle."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
 def fan_out(spark: SparkSession) -> int:
     """Partitions of a hash shuffle, as the session sets them."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

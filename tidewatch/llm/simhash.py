@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm._common import fan_out, materialize, text_slices
+from tidewatch.llm._common import fan_out, materialize, sent, text_slices
 from tidewatch.llm.merges import mix
 
 #: Shingles whose bits are counted at a time, and leaves under one index node.
@@ -391,6 +391,7 @@ def band_links(sketched: DataFrame, words: int, band_bits: int, reach: int, max_
     rows = sketched.select("node", F.explode(F.array(*bands)).alias("x")).select("node", "x.k1", "x.fp")
     # Only the few large blocks are listed.
     large = rows.groupBy("k1").count().where(F.col("count") > max_block).select("k1", F.ceil(F.col("count") * 2 / max_block).alias("groups"))
+    large = sent(materialize(large, "large"))
     mine = F.pmod(F.xxhash64("node"), F.col("groups"))
     cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1), lambda t: F.least(mine, t) * F.col("groups") + F.greatest(mine, t))
     keyed = rows.join(large, "k1", "left").select(
@@ -444,9 +445,9 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, words: int
                 at += len(nodes)
 
     seen = materialize(rows.mapInArrow(run, "doc_id long, node long, sketch array<long>"), "sketches")
-    nodes = seen.groupBy("node").agg(F.first("sketch").alias("sketch"))
+    nodes = materialize(seen.groupBy("node").agg(F.first("sketch").alias("sketch")), "nodes")
     edges = materialize(band_links(nodes, words, band_bits, reach), "candidates")
-    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ends = sent(materialize(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends"))
     texts = materialize(rows.select("node", "text").join(ends, "node", "left_semi").dropDuplicates(["node"]), "texts")
     good = None
     for turn in range(rounds + 1):
@@ -480,7 +481,7 @@ def keep_first(docs: DataFrame, **params) -> DataFrame:
     copies = materialize(copies, "first").select(F.col("doc_id").alias("_doc_id"), F.col("node").alias("_node"), "copies")
     known = docs.where("doc_id is not null")
     met = lambda these: (F.col("doc_id").cast("long") == these["_doc_id"]) & (F.xxhash64(F.coalesce("text", F.lit(""))) == these["_node"])
-    once, again = copies.where("copies = 1").drop("copies"), copies.where("copies > 1").drop("copies")
+    once, again = (sent(copies.where(f"copies {many} 1").drop("copies")) for many in ("=", ">"))
     kept = known.join(once, met(once), "left_semi")
     # Whole texts are shuffled for repeated rows alone.
     repeated = known.join(again, met(again), "left_semi").dropDuplicates(["doc_id", "text"])
