@@ -4,6 +4,7 @@ DuckDB SQL that computes the same rows."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -256,8 +257,11 @@ _FUSED = ["time_correlation", "network_oddball", "structuring_events", "behavior
 
 
 def _scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Each model is run once, however often its scores are read."""
-    return cut(fusion.stack({name: QUERIES[name](spark, sf) for name in _FUSED}))
+    """Each model is run once, however often its scores are read; the jobs that
+    models need on the way to their plans share the cluster."""
+    with ThreadPoolExecutor(len(_FUSED)) as pool:
+        models = dict(zip(_FUSED, pool.map(lambda name: QUERIES[name](spark, sf), _FUSED), strict=True))
+    return cut(fusion.stack(models))
 
 
 _SCORES_SQL = "sc AS (" + " UNION ALL ".join(f"SELECT '{m}' AS model, * FROM ({ORACLE[m]})" for m in _FUSED) + ")"
