@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import interpolation, langid, licenses, media, merges, multiset, packing, secrets, sharding, simhash
+from tidewatch.llm import (
+    audit, interpolation, langid, licenses, media, merges, merkle, multiset, packing, secrets, sharding, simhash, token_counts
+)
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +56,18 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merges.round_trip(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_docs(spark, sf_dir))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_lm_scoring": op2_lm_scoring,
@@ -65,6 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_document_fingerprints": op8_document_fingerprints,
     "op9_packing": op9_packing,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_token_counts": op12_token_counts,
+    "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_merkle_manifest": merkle.sql(), "op13_filter_audit": audit.sql()}
