@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.lineage import cut
 from tidewatch.functions.scaling import EPS, over_max, scoremin, with_totals
+from tidewatch.operators.communities import modularity_communities
 
 
 def edges(events: DataFrame) -> DataFrame:
@@ -72,40 +76,60 @@ def scatter_gather(events: DataFrame) -> DataFrame:
     return over_max(per.select("entity_id", (F.col("out") * F.col("in") / (F.col("deg") + EPS)).alias("raw")), "raw")
 
 
-def pagerank(e: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-    """(node, rank) after ``rounds`` power iterations over weighted edges; rank
-    of nodes without outgoing edges is dealt evenly."""
-    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
-    total = e.groupBy("src").agg(F.sum("w").alias("all"))
-    share = e.join(total, "src").select("src", "dst", (F.col("w") / F.col("all")).alias("p"))
-    n = nodes.agg(F.count("*").alias("n"))
-    nodes = nodes.join(F.broadcast(n)).join(total.select(F.col("src").alias("node"), F.lit(1).alias("has_out")), "node", "left")
-    rank = nodes.select("node", "n", "has_out", (1.0 / F.col("n")).alias("rank"))
-    for _ in range(rounds):
-        sent = rank.join(share, rank.node == share.src).groupBy(F.col("dst").alias("target")).agg(F.sum(F.col("rank") * F.col("p")).alias("got"))
-        loose = rank.agg(F.coalesce(F.sum(F.when(F.col("has_out").isNull(), F.col("rank"))), F.lit(0.0)).alias("loose"))
-        new = (1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / F.col("n"))
-        rank = rank.join(sent, rank.node == sent.target, "left").join(F.broadcast(loose)).select("node", "n", "has_out", new.alias("rank"))
-        rank = cut(rank)  # each round reads the last one three times
-    return rank.select("node", "rank")
-
+def pagerank(e: DataFrame, tolerance: float = 1e-7, damping: float = 0.85, most: int = 200) -> DataFrame:
+    """(node, rank) over weighted edges, within ``tolerance`` of the exact ranks
+    (sum of differences) unless ``most`` rounds end first.
 
-def pagerank_deviation(events: DataFrame, rounds: int = 20) -> DataFrame:
+    Rank of nodes without outgoing edges is dealt evenly, as jumps are, so ranks
+    are those of the system without dealing, scaled to one. From even ranks on, a
+    round sends only how much ranks have changed, along edges that are stored and
+    dealt by their source once; nodes that did not change send nothing.
+    """
+    spark = e.sparkSession
+    total = e.groupBy("src").agg(F.sum("w").alias("all"))
+    stored = cut(e.join(total, "src").select("src", "dst", (F.col("w") / F.col("all")).alias("p")))
+    # On disk, so that a lost executor costs a read of the stored table.
+    share = stored.repartition(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), "src").persist(StorageLevel.DISK_ONLY)
+    nodes = cut(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
+    n = nodes.count()
+    if not n:
+        share.unpersist()
+        return nodes.withColumn("rank", F.lit(0.0))
+    even = (1 - damping) / n  # what a jump gives
+    sent = share.groupBy(F.col("dst").alias("node")).agg((F.sum("p") * damping / n).alias("got"))
+    change = cut(nodes.join(sent, "node", "left").select("node", (F.lit(even - 1 / n) + F.coalesce("got", F.lit(0.0))).alias("d")).where("d <> 0"))
+    changes = [nodes.select("node", F.lit(1 / n).alias("d")), change]
+    for _ in range(most):
+        left = change.agg(F.sum(F.abs("d"))).first()[0] or 0.0
+        # Of a change, at most damping / (1 - damping) is still to come; without
+        # dealing ranks add up to (1 - damping) at least.
+        if left * damping / (1 - damping) ** 2 <= tolerance:
+            break
+        passed = change.join(share, change.node == share.src).groupBy(F.col("dst").alias("node")).agg((F.sum(F.col("d") * F.col("p")) * damping).alias("d"))
+        change = cut(passed.where("d <> 0"))
+        changes.append(change)
+        if len(changes) > 12:
+            changes = [cut(reduce(DataFrame.union, changes).groupBy("node").agg(F.sum("d").alias("d")))]
+    share.unpersist()
+    rank = cut(reduce(DataFrame.union, changes).groupBy("node").agg(F.sum("d").alias("rank")))
+    return rank.select("node", (F.col("rank") / F.lit(rank.agg(F.sum("rank")).first()[0])).alias("rank"))
+
+
+def pagerank_deviation(events: DataFrame, tolerance: float = 1e-7) -> DataFrame:
     """Rank above what the degree explains, (deg + 1) / (E + 1), for actors."""
-    e = edges(events)
+    e = cut(edges(events))
     deg = e.select(F.col("src").alias("node")).union(e.select("dst")).groupBy("node").agg(F.count("*").alias("deg"))
     size = e.agg(F.count("*").alias("m"))
     actors = e.select(F.col("src").alias("node")).distinct()
-    rows = pagerank(e, rounds).join(deg, "node").join(actors, "node", "left_semi").join(F.broadcast(size))
+    rows = pagerank(e, tolerance).join(deg, "node").join(actors, "node", "left_semi").join(F.broadcast(size))
     raw = F.greatest(F.lit(0.0), F.col("rank") - (F.col("deg") + 1) / (F.col("m") + 1))
     return scoremin(rows.select(F.col("node").alias("entity_id"), raw.alias("raw")), "raw")
 
 
-def communities(e: DataFrame, rounds: int = 5) -> DataFrame:
+def spread_labels(e: DataFrame, rounds: int = 5) -> DataFrame:
     """(node, label) by synchronous label propagation on the undirected graph:
-    the most frequent label among neighbours, the lowest among equals. It stands
-    for modularity clustering, which has no distributed primitive here."""
-    both = e.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(e.select("dst", "src")).where("a <> b").distinct()
+    the most frequent label among neighbours, the lowest among equals."""
+    both = cut(e.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(e.select("dst", "src")).where("a <> b").distinct())
     label = both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
     for _ in range(rounds):
         votes = both.join(label, both.b == label.node).groupBy("a", "label").agg(F.count("*").alias("n"))
@@ -114,12 +138,19 @@ def communities(e: DataFrame, rounds: int = 5) -> DataFrame:
     return label
 
 
-def community_motif(events: DataFrame, rounds: int = 5) -> DataFrame:
-    """(median - size) / median for members of communities below the median."""
-    label = communities(edges(events), rounds)
+def small_communities(label: DataFrame) -> DataFrame:
+    """(entity_id, score): (median - size) / median for members of communities
+    below the median size."""
     sizes = label.groupBy("label").agg(F.count("*").alias("size"))
     mid = sizes.agg(F.median("size").alias("mid"))
     rows = label.join(sizes, "label").join(F.broadcast(mid)).where("size < mid")
-    actors = events.where("entity_id is not null and counterparty_id is not null").select("entity_id").distinct()
-    scored = rows.select(F.col("node").alias("entity_id"), ((F.col("mid") - F.col("size")) / F.col("mid")).alias("score"))
-    return scored.join(actors, "entity_id", "left_semi")
+    return rows.select(F.col("node").alias("entity_id"), ((F.col("mid") - F.col("size")) / F.col("mid")).alias("score"))
+
+
+def community_motif(events: DataFrame) -> DataFrame:
+    """``small_communities`` of modularity clustering, for actors. Every pair of
+    parties is one edge, however often they meet; under eight nodes no one is scored."""
+    e = cut(edges(events).select("src", "dst", F.lit(1.0).alias("w")))
+    label = modularity_communities(e)[0]
+    enough = label.limit(8).count() == 8
+    return small_communities(cut(label)).join(e.select(F.col("src").alias("entity_id")).distinct(), "entity_id", "left_semi").where(F.lit(enough))

@@ -124,8 +124,8 @@ ORACLE["reciprocity"] = _sql(LEDGER_SQL, _IN_OUT.format(out="coalesce(direction,
 _model("scatter_gather", ledger_view, graph.scatter_gather)
 ORACLE["scatter_gather"] = _sql(LEDGER_SQL, _IN_OUT.format(out="direction = 'debit'", v="lg") + f", raws AS (SELECT entity_id, o * i / (d + 1e-9) AS raw FROM io WHERE sided > 0), {OVER_MAX}")
 
-_ROUNDS = 20
-_model("pagerank_deviation", events_view, lambda e: graph.pagerank_deviation(e, _ROUNDS), 4)
+_ROUNDS = 30  # of the SQL, which has no tolerance to stop at
+_model("pagerank_deviation", events_view, graph.pagerank_deviation, 4)
 
 
 def _pagerank_sql(rounds: int) -> str:
@@ -142,19 +142,20 @@ raws AS (SELECT node AS entity_id, greatest(0.0::DOUBLE, rank - (deg + 1) / (m +
 ORACLE["pagerank_deviation"] = _sql(EVENTS_SQL, _pagerank_sql(_ROUNDS), 4)
 
 
-def _community_sql(rounds: int) -> str:
+_model("community_motif", events_view, graph.community_motif)
+
+
+def _labels_sql(rounds: int) -> str:
     steps = "".join(
         f""", l{i + 1} AS MATERIALIZED (SELECT a AS node, label FROM (SELECT a, label, count(*) AS n FROM bo JOIN l{i} ON node = b GROUP BY 1, 2)
   QUALIFY row_number() OVER (PARTITION BY a ORDER BY n DESC, label) = 1)""" for i in range(rounds)
     )
-    return f"""lv AS (SELECT * FROM ev WHERE amount >= 150), {_EDGES.format(v="lv")}, bo AS (SELECT DISTINCT * FROM (SELECT src AS a, dst AS b FROM e UNION ALL SELECT dst, src FROM e) WHERE a <> b),
-l0 AS (SELECT DISTINCT a AS node, a AS label FROM bo){steps}, sz AS (SELECT label, count(*) AS size FROM l{rounds} GROUP BY 1), md AS (SELECT median(size) AS mid FROM sz),
-scored AS (SELECT node AS entity_id, (mid - size) / mid AS score FROM l{rounds} JOIN sz USING (label), md WHERE size < mid AND node IN (SELECT src FROM e))"""
+    return f"""WITH {EVENTS_SQL}, {_EDGES.format(v="ev")}, bo AS MATERIALIZED (SELECT DISTINCT * FROM (SELECT src AS a, dst AS b FROM e UNION ALL SELECT dst, src FROM e) WHERE a <> b),
+l0 AS (SELECT DISTINCT a AS node, a AS label FROM bo){steps} SELECT node, label FROM l{rounds}"""
 
 
-#: Large amounts alone: the whole graph is one community.
-_model("community_motif", events_view, lambda e: graph.community_motif(e.where("amount >= 150")))
-ORACLE["community_motif"] = _sql(EVENTS_SQL, _community_sql(5))
+QUERIES["spread_labels"] = lambda spark, sf: graph.spread_labels(graph.edges(events_view(spark, sf)))
+ORACLE["spread_labels"] = _labels_sql(5)
 
 # --- digits ---------------------------------------------------------------
 _DIGIT = "d AS (SELECT entity_id, {digit} AS g FROM lg WHERE amount > 0 {and_})"
