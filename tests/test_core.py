@@ -58,18 +58,10 @@ def test_quantile_against_numpy(spark):
     assert scaling.quantile(rows.where("v > 100"), "v", 0.5) is None
 
 
-def test_density_models_in_blocks(spark):
-    """The same scores in one block and in many; neighbours against brute force."""
+def test_density_models_in_cells(spark):
+    """The same scores in one cell and in many."""
     events = views.events_view(spark, "/root/testdata/sf0.01")
-    matrix = outliers.feature_matrix(events).cache()
-    table = matrix.toPandas()
-    x = table[outliers.FEATURES].to_numpy(float)
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
-    np.fill_diagonal(d, np.inf)
-    got = outliers.nearest(matrix, 5, block=40).toPandas().set_index("entity_id")["dists"]
-    for i, entity in enumerate(table["entity_id"]):
-        assert np.allclose(got[entity], np.sort(d[i])[:5], atol=1e-6)
-    one, many = ({r["entity_id"]: r["score"] for r in outliers.kernel_density(events, block).collect()} for block in (20_000, 40))
+    one, many = ({r["entity_id"]: r["score"] for r in outliers.kernel_density(events, points=size).collect()} for size in (20_000, 8))
     assert one.keys() == many.keys() and all(abs(one[k] - many[k]) < 1e-9 for k in one)
 
 

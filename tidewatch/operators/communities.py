@@ -83,7 +83,7 @@ def _level(edges: DataFrame, m: float, tolerance: float, sweeps: int, turn: int)
     return comm.select("node", "label"), value
 
 
-def modularity_communities(e: DataFrame, tolerance: float = 1e-5, sweeps: int = 12, levels: int = 12) -> tuple[DataFrame, list[float]]:
+def modularity_communities(e: DataFrame, tolerance: float = 1e-4, sweeps: int = 12, levels: int = 12) -> tuple[DataFrame, list[float]]:
     """(node, label) for each node of ``e(src, dst, w)``, and the modularity at the
     end of each level, which never falls. A community's label is its least node. A
     level ends when both sets together add no more than ``tolerance``, or after

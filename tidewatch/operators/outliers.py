@@ -1,9 +1,7 @@
 """Feature-space outlier operators.
 
 Moments, histograms and projections are Catalyst aggregates over all entities.
-Density models measure every entity against every other: entities are dealt to
-blocks by hash, and each block in turn is sent to all tasks, which update a small
-state for each entity. Models that are fitted take a bounded sample (``SAMPLE``
+Density models measure every entity against all others by a pivot index. Models that are fitted take a bounded sample (``SAMPLE``
 entities) and are applied to every entity by ``mapInPandas``.
 """
 
@@ -18,12 +16,11 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.lineage import cut
 from tidewatch.functions.scaling import EPS, scoremin
+from tidewatch.operators import density
 from tidewatch.operators.features import FEATURES, feature_matrix
 
 #: Rows that a fit may see; taken by a hash of the entity, so stable.
 SAMPLE = 4096
-#: Entities in a block that is sent to all tasks, about.
-BLOCK = 20_000
 
 
 def _sample(matrix: DataFrame, size: int = SAMPLE) -> np.ndarray:
@@ -31,36 +28,6 @@ def _sample(matrix: DataFrame, size: int = SAMPLE) -> np.ndarray:
     return rows.toPandas().to_numpy(float)
 
 
-def _against_all(matrix: DataFrame, state: str, first: list, update: Callable, block: int) -> DataFrame:
-    """``matrix`` with the columns ``state`` (name and type each), which start as
-    ``first`` and are updated by ``update(ids, rows, states, block_ids, points)``
-    for every block of entities. Each pass reads and writes all entities once."""
-    columns = [c.split(maxsplit=1)[0] for c in state.split("; ")]
-    kind = matrix.schema["entity_id"].dataType.simpleString()
-    schema = f"entity_id {kind}, " + ", ".join(f"{c} double" for c in FEATURES) + ", " + state.replace("; ", ", ")
-    rows = cut(matrix.select("entity_id", *FEATURES, *(F.expr(f"cast({v} as {c.split(maxsplit=1)[1]})").alias(n) for c, n, v in zip(state.split("; "), columns, first, strict=True))))
-    blocks = -(-rows.count() // block)
-    place = F.pmod(F.xxhash64("entity_id", F.lit(1)), F.lit(max(blocks, 1)))
-    for i in range(blocks):
-        points = rows.where(place == i).select("entity_id", *FEATURES).toPandas()
-        sent = rows.sparkSession.sparkContext.broadcast((points["entity_id"].to_numpy(), points[FEATURES].to_numpy(float)))
-
-        def run(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            for whole in frames:
-                for at in range(0, len(whole), 512):
-                    f = whole.iloc[at : at + 512]
-                    new = update(f["entity_id"].to_numpy(), f[FEATURES].to_numpy(float), [f[c].to_list() for c in columns], *sent.value)
-                    yield f.assign(**dict(zip(columns, new, strict=True)))
-
-        rows = cut(rows.mapInPandas(run, schema))
-        sent.destroy()
-    return rows
-
-
-def _squared(rows: np.ndarray, points: np.ndarray) -> np.ndarray:
-    return np.maximum((rows**2).sum(1)[:, None] + (points**2).sum(1) - 2 * rows @ points.T, 0)
-
-
 def _apply_raw(matrix: DataFrame, raw: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """(entity_id, raw) with ``raw`` over feature rows."""
 
@@ -152,33 +119,14 @@ def extended_isolation_forest(events: DataFrame, trees: int = 200, depth: int =
     return _isolation(events, trees, depth, True, seed)
 
 
-def nearest(matrix: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
-    """(entity_id, ids, dists): the ``k`` nearest other entities, nearest first,
-    among all; of equal distances the lower id."""
-    kind = matrix.schema["entity_id"].dataType.simpleString()
-
-    def update(ids, rows, states, others, points):
-        d = np.sqrt(_squared(rows, points))
-        d[ids[:, None] == others[None, :]] = np.inf
-        near = np.argpartition(d, min(k, len(others)) - 1, axis=1)[:, :k]
-        # All at the last distance taken are kept apart by id.
-        last = np.take_along_axis(d, near, axis=1).max(axis=1)
-        out = [[], []]
-        for i, (old_ids, old_d) in enumerate(zip(*states, strict=True)):
-            mine = np.flatnonzero((d[i] <= last[i]) & np.isfinite(d[i]))
-            met = sorted([*zip(old_d, old_ids, strict=True), *zip(d[i][mine].tolist(), others[mine].tolist(), strict=True)])[:k]
-            out[0].append([m for _, m in met])
-            out[1].append([x for x, _ in met])
-        return out
-
-    found = _against_all(matrix, f"ids array<{kind}>; dists array<double>", ["array()", "array()"], update, block)
-    return found.select("entity_id", "ids", "dists")
-
-
-def local_outlier_factor(events: DataFrame, neighbours: int = 20, block: int = BLOCK) -> DataFrame:
-    """Local density against that of the nearest neighbours among all entities."""
+def local_outlier_factor(events: DataFrame, neighbours: int = 20, **sizes: int) -> DataFrame:
+    """Local density against that of the nearest neighbours among all entities;
+    ``sizes`` are those of the index."""
     matrix = feature_matrix(events)
-    near = nearest(matrix, neighbours, block)
+    index = density.build(matrix, FEATURES, neighbours + 1, **sizes)
+    if index is None:
+        return _nothing(matrix)
+    near = cut(density.nearest(index, neighbours))
     reach = near.where(F.size("ids") > 0).select(F.col("entity_id").alias("id"), F.array_max("dists").alias("reach"))
     pairs = near.select("entity_id", F.explode(F.arrays_zip("ids", "dists")).alias("x")).select("entity_id", F.col("x.ids").alias("id"), F.col("x.dists").alias("d"))
     far = pairs.join(reach, "id").groupBy("entity_id").agg((1 / (F.avg(F.greatest("d", "reach")) + 1e-10)).alias("density"))
@@ -251,23 +199,16 @@ def hbos(events: DataFrame, bins: int = 10) -> DataFrame:
     return scoremin(placed.join(F.broadcast(cost), ["f", "b"]).groupBy("entity_id").agg(F.sum("c").alias("raw")), "raw")
 
 
-def kernel_density(events: DataFrame, block: int = BLOCK) -> DataFrame:
+def kernel_density(events: DataFrame, **sizes: int) -> DataFrame:
     """-log of a Gaussian kernel density over all entities, Scott's bandwidth; 16
-    entities at least. The state is a running maximum and a sum scaled by it."""
+    entities at least. ``sizes`` are those of the index."""
     matrix = cut(feature_matrix(events))
     n = matrix.count()
     if n < 16:
         return _nothing(matrix)
-    h2 = float(n ** (-2.0 / (len(FEATURES) + 4)))
-
-    def update(ids, rows, states, others, points):
-        e = -_squared(rows, points) / (2 * h2)
-        old_top, old_sum = (np.array(x, float) for x in states)
-        top = np.maximum(old_top, e.max(axis=1, initial=-np.inf))
-        return [top, old_sum * np.exp(old_top - top) + np.exp(e - top[:, None]).sum(axis=1)]
-
-    found = _against_all(matrix, "top double; total double", ["-1e300", "0"], update, block)
-    return scoremin(found.select("entity_id", (-(F.col("top") + F.log(F.col("total") / n))).alias("raw")), "raw")
+    index = density.build(matrix, FEATURES, 1, **sizes)
+    found = density.kernel_sums(index, float(n ** (-1.0 / (len(FEATURES) + 4))))
+    return scoremin(index.members.join(found, "pid").select("entity_id", (-F.log(F.col("total") / n)).alias("raw")), "raw")
 
 
 def one_class_svm(events: DataFrame, nu: float = 0.05, width: int = 256, seed: int = 0) -> DataFrame:
