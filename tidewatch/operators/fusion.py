@@ -88,28 +88,3 @@ def ranking(events: DataFrame, scores: DataFrame, fused: DataFrame) -> DataFrame
 
 def top_k(ranked: DataFrame, k: int) -> DataFrame:
     return ranked.orderBy(F.desc("score"), "entity_id").limit(k)
-
-
-def learned(scores: DataFrame, features: DataFrame, truth: DataFrame, seed: int = 0) -> DataFrame:
-    """Meta-learned fusion: a random forest over model scores and behaviour,
-    depth chosen by cross-validated area under precision-recall. Falls back to
-    Borda where the truth has one class."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-
-    names = [r["model"] for r in scores.select("model").distinct().orderBy("model").collect()]
-    wide = scores.groupBy("entity_id").pivot("model", names).agg(F.first("score")).na.fill(0.0)
-    cols = [c for c in features.columns if c != "entity_id"]
-    rows = wide.join(features, "entity_id").join(truth.select("entity_id", F.lit(1.0).alias("label")), "entity_id", "left").na.fill({"label": 0.0}).persist()
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    if min(counts.get(0.0, 0), counts.get(1.0, 0)) < 5:
-        return borda(scores)
-    data = VectorAssembler(inputCols=[*names, *cols], outputCol="features").transform(rows)
-    forest = RandomForestClassifier(labelCol="label", numTrees=40, seed=seed)
-    grid = ParamGridBuilder().addGrid(forest.maxDepth, [3, 5]).build()
-    judge = BinaryClassificationEvaluator(metricName="areaUnderPR")
-    model = CrossValidator(estimator=forest, estimatorParamMaps=grid, evaluator=judge, numFolds=3, seed=seed).fit(data)
-    return model.transform(data).select("entity_id", vector_to_array("probability")[1].alias("score"))

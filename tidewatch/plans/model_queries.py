@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.lineage import cut
 from tidewatch.functions.scaling import rounded
-from tidewatch.operators import charts, digits, evaluation, features, fusion, graph, insights, outliers, rules, temporal
+from tidewatch.operators import charts, digits, evaluation, features, fusion, graph, insights, meta, outliers, rules, temporal
 from tidewatch.sources.views import EVENTS_SQL, LEDGER_SQL, ORDERS_SQL, events_view, ledger_view, orders_view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -307,7 +307,7 @@ def _truth(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _TRUTH_SQL = "tr AS (SELECT DISTINCT entity_id, CASE WHEN entity_id % 2 = 0 THEN 'even' ELSE 'odd' END AS kind FROM ev WHERE entity_id % 7 = 0)"
-QUERIES["fusion_learned"] = lambda spark, sf: rounded(fusion.learned(_scores(spark, sf), features.build_features(events_view(spark, sf)), _truth(spark, sf)))
+QUERIES["fusion_learned"] = lambda spark, sf: rounded(meta.learned(_scores(spark, sf), features.build_features(events_view(spark, sf)), _truth(spark, sf)))
 QUERIES["evaluation_recall_precision"] = lambda spark, sf: evaluation.recall_precision(risk_ranking(spark, sf), _truth(spark, sf))
 ORACLE["evaluation_recall_precision"] = f"""WITH {_RANKING_SQL}, {_TRUTH_SQL}, pl AS (SELECT entity_id, row_number() OVER (ORDER BY score DESC, entity_id) AS place FROM rn),
 k AS (SELECT unnest([5, 10, 20]) AS k), pn AS (SELECT (SELECT count(*) FROM tr) AS p, (SELECT count(*) FROM rn) AS n)
