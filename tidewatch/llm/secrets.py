@@ -12,6 +12,7 @@ from __future__ import annotations
 import bisect
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -71,8 +72,9 @@ def linked_spans(text: str, strong: list[Span]) -> list[Span]:
     if not weak:
         return []
     taken = sorted((a, b) for _, a, b in strong)
-    starts = [a for a, _ in taken]
-    weak = [s for s in weak if not ((i := bisect.bisect_left(starts, s[2])) and taken[i - 1][1] > s[1])]
+    # Strong spans may lie in each other: what counts is the furthest end so far.
+    starts, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+    weak = [s for s in weak if not ((i := bisect.bisect_left(starts, s[2])) and ends[i - 1] > s[1])]
     blank = [m.start() for m in _SCOPE.finditer(text)]
     parts: dict[tuple[int, str], tuple[int, int]] = {}
     for kind, a, b in [*strong, *weak]:

@@ -323,7 +323,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, max_bloc
 
 def _band_edges(reach: int):
     """Candidates of blocks sorted by (k1, k2): all within ``reach`` where they
-    are few, a forest of the nearest in dense and in large blocks."""
+    are few, a forest of the nearest in dense and in large blocks. Such a block
+    is told as a row (k1, k2, -1)."""
     reaches = (reach * 3 // 8, reach * 11 // 16, reach)
 
     def found(k1: np.ndarray, k2: np.ndarray, node: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -350,8 +351,9 @@ def _band_edges(reach: int):
                 a.append(cuts[i] + index.order[x])
                 b.append(cuts[i] + index.order[y])
         a, b = np.concatenate(a), np.concatenate(b)
-        bits = np.bitwise_count(fp[a] ^ fp[b]).astype(np.int32)
+        bits = np.append(np.bitwise_count(fp[a] ^ fp[b]).astype(np.int32), np.full(dense.sum(), -1, np.int32))
         high, low = np.maximum(node[a], node[b]), np.minimum(node[a], node[b])
+        high, low = np.append(high, k1[cuts[dense]]), np.append(low, k2[cuts[dense]])
         yield pa.RecordBatch.from_arrays([pa.array(high), pa.array(low), pa.array(bits)], ["a", "b", "bits"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,17 +374,15 @@ def _band_edges(reach: int):
     return run
 
 
-def band_links(sketched: DataFrame, words: int, band_bits: int, reach: int, max_block: int = MAX_BLOCK) -> DataFrame:
-    """(a, b, bits): candidate pairs a > b among the distinct ``node`` of
-    ``sketched(node, sketch array<long>)``, with the bits in which one word of
-    their sketches differs.
+def band_blocks(sketched: DataFrame, words: int, band_bits: int, max_block: int = MAX_BLOCK) -> DataFrame:
+    """(k1, k2, node, fp): the distinct ``node`` of ``sketched(node, sketch
+    array<long>)`` in the blocks of their bands.
 
     Texts share a block if they agree on a band of ``band_bits``, four of which
-    are cut from each word; in a block the word half the sketch away decides. A
-    block over ``max_block`` is dealt by hash into groups, and every two groups
-    meet in a task of their own, so that no pair is lost.
+    are cut from each word; ``fp`` is the word half the sketch away. A block over
+    ``max_block`` is dealt by hash into groups, and every two groups meet in a
+    block of their own, so that no pair is lost.
     """
-    spark = sketched.sparkSession
     word = lambda j: F.col("sketch")[j]
     bands = [
         F.struct((F.lit(4 * j + i).cast("long") * (1 << band_bits) + _segment(word(j), 16 * i, band_bits)).alias("k1"), word((j + words // 2) % words).alias("fp"))
@@ -394,11 +394,75 @@ def band_links(sketched: DataFrame, words: int, band_bits: int, reach: int, max_
     large = sent(materialize(large, "large"))
     mine = F.pmod(F.xxhash64("node"), F.col("groups"))
     cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1), lambda t: F.least(mine, t) * F.col("groups") + F.greatest(mine, t))
-    keyed = rows.join(large, "k1", "left").select(
+    return rows.join(large, "k1", "left").select(
         "k1", F.explode(F.when(F.col("groups").isNotNull(), cells).otherwise(F.array(F.lit(-1).cast("long")))).alias("k2"), "node", "fp"
     )
-    dealt = keyed.repartition(fan_out(spark), "k1", "k2").sortWithinPartitions("k1", "k2")
-    return dealt.mapInArrow(_band_edges(reach), "a long, b long, bits int").groupBy("a", "b").agg(F.min("bits").alias("bits"))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(fan_out(rows.sparkSession), "k1", "k2").sortWithinPartitions("k1", "k2")
+
+
+def band_links(blocks: DataFrame, reach: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b, bits): candidate pairs a > b of texts that share a block, with the
+    bits in which they differ there, and (k1, k2): the blocks of which not all
+    pairs within reach are candidates."""
+    found = materialize(_dealt(blocks).mapInArrow(_band_edges(reach), "a long, b long, bits int"), "band-links")
+    edges = found.where("bits >= 0").groupBy("a", "b").agg(F.min("bits").alias("bits"))
+    return edges, found.where("bits < 0").select(F.col("a").alias("k1"), F.col("b").alias("k2"))
+
+
+def _apart(reach: int):
+    """Pairs of different groups within ``reach`` bits of the whole sketch, of the
+    blocks among the batches: a block's largest group is not met with itself."""
+
+    def found(key: tuple[int, int], node: np.ndarray, root: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+        groups, of = np.unique(root, return_inverse=True)
+        if len(groups) < 2:
+            return
+        small = np.flatnonzero(of != np.bincount(of).argmax())
+        others = np.concatenate([small, np.setdiff1d(np.arange(len(node)), small, assume_unique=True)])
+        for at in range(0, len(small), 256):
+            mine, rest = small[at : at + 256], others[at:]
+            bits = np.zeros((len(mine), len(rest)), np.uint16)
+            for j in range(sketch.shape[1]):
+                bits += np.bitwise_count(sketch[mine, j][:, None] ^ sketch[rest, j][None])
+            x, y = np.nonzero((bits <= reach) & (of[mine][:, None] != of[rest][None]))
+            a, b = node[mine[x]], node[rest[y]]
+            n = len(a)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(np.full(n, key[0])), pa.array(np.full(n, key[1]))], ["a", "b", "k1", "k2"]
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+        for batch in batches:
+            k1, k2, node, root = (batch.column(c).to_numpy() for c in ("k1", "k2", "node", "root"))
+            if not len(k1):
+                continue
+            sketch = batch.column("sketch").flatten().to_numpy().view(np.uint64).reshape(len(k1), -1)
+            cuts = np.flatnonzero((k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(k1)], strict=True):
+                key = (int(k1[lo]), int(k2[lo]))
+                if key != last and held:
+                    yield from found(last, *map(np.concatenate, zip(*held, strict=True)))
+                    held = []
+                last = key
+                held.append((node[lo:hi], root[lo:hi], sketch[lo:hi]))
+        if held:
+            yield from found(last, *map(np.concatenate, zip(*held, strict=True)))
+
+    return run
+
+
+def cross_links(blocks: DataFrame, dense: DataFrame, nodes: DataFrame, roots: DataFrame, reach: int) -> DataFrame:
+    """(a, b, k1, k2): pairs of texts in the ``dense`` blocks that are in different
+    groups and differ in at most ``reach`` bits of their whole sketches, each under
+    one block that both are in. ``roots`` is (node, root) of grouped texts."""
+    grouped = nodes.join(roots, "node", "left").select("node", "sketch", F.coalesce("root", "node").alias("root"))
+    rows = blocks.select("k1", "k2", "node").join(sent(dense), ["k1", "k2"], "left_semi").join(grouped, "node")
+    pairs = _dealt(rows).mapInArrow(_apart(reach), "a long, b long, k1 long, k2 long")
+    return pairs.groupBy("a", "b").agg(F.min(F.struct("k1", "k2")).alias("k")).select("a", "b", "k.*")
 
 
 def similarity(a: str, b: str, width: int) -> float:
@@ -423,17 +487,62 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Da
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, near boolean")
 
 
-def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, words: int = 8, band_bits: int = 14, reach: int = 16, rounds: int = 2) -> DataFrame:
+#: Texts of one side of a tile.
+TILE = 128
+
+
+def verified_in_tiles(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """``verified`` for (a, b, k1, k2), where many pairs of a block share texts:
+    a block's texts are dealt into parts of about ``TILE``, and the texts of two
+    parts are sent to one task for all pairs between them."""
+
+    def shared(table: pa.Table, known: pa.Table) -> pa.Table:
+        sets: dict[int, np.ndarray] = {}
+        for node, text in zip(known.column("node").to_pylist(), known.column("text"), strict=True):
+            if node not in sets:
+                sets[node] = np.unique(shingle_hashes(text.as_py(), width))
+        table = table.sort_by("a")
+        a, b = table.column("a").to_numpy(), table.column("b").to_numpy()
+        near, cuts = np.zeros(len(a), bool), np.flatnonzero(a[1:] != a[:-1]) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(a)], strict=True):
+            mine, others = sets[int(a[lo])], [sets[int(n)] for n in b[lo:hi]]
+            sizes = np.array([len(o) for o in others])
+            if not len(mine):
+                near[lo:hi] = sizes == 0
+                continue
+            every = np.concatenate(others)
+            hit = np.concatenate([[0], np.cumsum(mine[np.searchsorted(mine, every).clip(max=len(mine) - 1)] == every)])
+            ends = np.cumsum(sizes)
+            both = hit[ends] - hit[ends - sizes]
+            near[lo:hi] = both / (len(mine) + sizes - both) >= least
+        return pa.table({"a": a, "b": b, "near": near})
+
+    held = pairs.select("k1", "k2", F.explode(F.array("a", "b")).alias("node")).distinct()
+    parts = held.groupBy("k1", "k2").agg(F.ceil(F.count("*") / TILE).alias("parts"))
+    part = lambda c: F.pmod(F.xxhash64(c, F.lit(7)), F.col("parts"))
+    tiled = pairs.join(parts, ["k1", "k2"]).select("a", "b", "k1", "k2", part("a").alias("p"), part("b").alias("q"))
+    keys, own = ["k1", "k2", "p", "q"], ["t1", "t2", "t3", "t4"]
+    tile = [F.col(k).alias(t) for k, t in zip(keys, own, strict=True)]
+    needed = tiled.select(*tile, F.explode(F.array("a", "b")).alias("node")).distinct().join(texts, "node")
+    return tiled.groupBy(*keys).cogroup(needed.groupBy(*own)).applyInArrow(shared, "a long, b long, near boolean")
+
+
+def near_copies(
+    docs: DataFrame, width: int = 5, least: float = 0.8, words: int = 8, band_bits: int = 14, reach: int = 16, rounds: int = 2,
+    max_block: int = MAX_BLOCK, whole: float = 0.2,
+) -> DataFrame:
     """(doc_id, node, root) for every row of ``docs``: its text's 64-bit hash and
     the group of texts that links of shingle similarity ``least`` or more join.
 
     Candidates come from ``band_links``. Each round verifies for every text its
     nearest candidate that is not yet in its group; after ``rounds`` all that
-    remain are verified, so each candidate is verified or inside a group. Equal
-    texts are one node; null is the empty text, and texts without a word are
-    alike. An empty table returns no rows; other columns are ignored.
+    remain are verified. Large and dense blocks gave a forest of their nearest
+    pairs alone: there, all pairs of different groups that differ in at most the
+    share ``whole`` of their sketches' bits are verified too, so that a candidate
+    is verified or inside a group, however large its block. Equal texts are one
+    node; null is the empty text, and texts without a word are alike. An empty
+    table returns no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -446,8 +555,11 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, words: int
 
     seen = materialize(rows.mapInArrow(run, "doc_id long, node long, sketch array<long>"), "sketches")
     nodes = materialize(seen.groupBy("node").agg(F.first("sketch").alias("sketch")), "nodes")
-    edges = materialize(band_links(nodes, words, band_bits, reach), "candidates")
-    ends = sent(materialize(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends"))
+    blocks = band_blocks(nodes, words, band_bits, max_block)
+    edges, dense = band_links(blocks, reach)
+    edges, dense = materialize(edges, "candidates"), materialize(dense, "dense")
+    in_dense = blocks.join(sent(dense), ["k1", "k2"], "left_semi").select("node")
+    ends = sent(materialize(edges.select(F.explode(F.array("a", "b")).alias("node")).union(in_dense).distinct(), "ends"))
     texts = materialize(rows.select("node", "text").join(ends, "node", "left_semi").dropDuplicates(["node"]), "texts")
     good = None
     for turn in range(rounds + 1):
@@ -464,6 +576,12 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, words: int
         edges = materialize(apart, "candidates")
         if edges.isEmpty():
             break
+    if not dense.isEmpty():
+        cross = cross_links(blocks, dense, nodes, roots, int(whole * 64 * words))
+        cross = materialize(cross.join(good.select("a", "b"), ["a", "b"], "left_anti"), "cross")
+        if not cross.isEmpty():
+            more = materialize(verified_in_tiles(cross, texts, width, least), "more")
+            roots = materialize(components(good.union(more).where("near").select("a", "b")), "roots")
     return seen.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
 
 
