@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from tidewatch.functions import scaling
 from tidewatch.functions.amounts import parse_amount
 from tidewatch.operators import outliers, sequences, truth
-from tidewatch.plans import config
 from tidewatch.plans.catalog import ORACLE, QUERIES
 from tidewatch.plans.sufficiency import BLOCKED, DEGRADED, SUPPORTED, Holdings, verdicts
 from tidewatch.sinks import archive, runs
@@ -100,17 +99,6 @@ def test_answer_key_of_a_file(spark, tmp_path):
     assert got == {("p1", "E:A1"), ("p1", "E:555"), ("p2", "E:Z"), ("p3", "E:Z")}
 
 
-def test_config(tmp_path):
-    pytest.importorskip("yaml")
-    path = str(tmp_path / "c.yaml")
-    assert config.read(path) == config.Config()
-    (tmp_path / "c.yaml").write_text("pipeline: {top_k: 3, probe_id_ratio: 0.5, unknown: 1}")
-    got = config.read(path)
-    assert (got.top_k, got.thresholds().pattern) == (3, 0.5)
-    config.write(got, path)
-    assert config.read(path) == got
-
-
 def test_changed_manifest_breaks_the_chain(spark, tmp_path):
     root = f"file://{tmp_path}"
     for run in ("r1", "r2"):

@@ -144,7 +144,8 @@ def test_screening(spark, tmp_path):
     _exports(tmp_path)
     fast = {k: screening.MODELS[k] for k in ("structuring", "benford", "network", "time_correlation")}
     run = screening.screen(spark, [f"file://{tmp_path}"], models=fast)
-    assert {s["source"]: s["rows"] for s in run.sources} == {"bank": 600, "cdr": 600}
+    assert {s["source"]: s["rows"] for s in run.sources} == {"bank": 601, "cdr": 600}
+    assert run.events.count() == 1200
     assert resolution.cross_source(run.events).first() == (15, 15)
     assert set(run.verdicts.values()) == {"SUPPORTED"}
     best = run.scores.where("model = 'structuring'").orderBy("score", ascending=False).first()
