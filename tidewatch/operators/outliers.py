@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.lineage import cut
 from tidewatch.functions.scaling import EPS, scoremin
-from tidewatch.operators import density
+from tidewatch.operators import density, robust
 from tidewatch.operators.features import FEATURES, feature_matrix
 
 #: Rows that a fit may see; taken by a hash of the entity, so stable.
@@ -153,22 +153,15 @@ def _form(mean: np.ndarray, matrix: np.ndarray) -> Callable[[np.ndarray], np.nda
     return lambda rows: np.einsum("ij,jk,ik->i", rows - mean, matrix, rows - mean)
 
 
-def mahalanobis(events: DataFrame, rounds: int = 2) -> DataFrame:
-    """Robust distance: the covariance is taken again over the nearer half for
-    ``rounds`` concentration steps."""
+def mahalanobis(events: DataFrame, starts: int = 30) -> DataFrame:
+    """Squared distance under the covariance of least determinant."""
     matrix = feature_matrix(events)
-    mean, cov, n = _moments(matrix)
-    if n < 5:
+    rows = cut(matrix.select(F.array(*FEATURES).alias("x")))
+    found = robust.least_determinant(rows, starts)
+    if found is None:
         return _nothing(matrix)
-    inverse = lambda c: np.linalg.pinv(c, rcond=1e-8, hermitian=True)
-    for _ in range(rounds):
-        near = _apply_raw(matrix, _form(mean, inverse(cov)))
-        half = near.agg(F.percentile_approx("raw", 0.5, 10_000)).first()[0]
-        mean, cov, kept = _moments(matrix.join(near.where(F.col("raw") <= half), "entity_id", "left_semi"))
-        if kept < 5:
-            break
-    form = _form(mean, inverse(cov))
-    return _apply(matrix, lambda rows: np.sqrt(np.maximum(form(rows), 0)))
+    mean, cov, _ = found
+    return _apply(matrix, _form(mean, robust.inverse(cov)[0]))
 
 
 def pca_error(events: DataFrame, components: int = 4) -> DataFrame:
