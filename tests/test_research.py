@@ -1,13 +1,14 @@
 """Generated tables, comparisons and saved runs."""
 
+import json
 import pathlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import fusion, rules, temporal
+from tidewatch.operators import evaluation, fusion, rules, temporal
 from tidewatch.plans import research
-from tidewatch.sinks import runs
+from tidewatch.sinks import runs, snapshot
 from tidewatch.sources import detect, synthetic
 
 
@@ -82,3 +83,22 @@ def test_saved_runs(spark, tmp_path):
     assert "MISMATCH" in states("r2")
     assert runs.delete_run(spark, root, "r1") and not runs.delete_run(spark, root, "r1")
     assert states("r1") == {"MISSING"} and [r["run_id"] for r in runs.list_runs(spark, root).collect()] == ["r2"]
+
+
+def test_snapshot(spark, tmp_path):
+    ranked = spark.createDataFrame([(i, 1 - i / 20, "a,b" if i < 3 else None) for i in range(20)], "entity_id long, score double, models_fired string")
+    scores = spark.createDataFrame([("a", i, 0.5) for i in range(20)] + [("b", 1, 0.5)], "model string, entity_id long, score double")
+    truth = spark.createDataFrame([(0, "chain"), (7, "fan"), (15, "fan"), (1, "surprise")], "entity_id long, kind string")
+    found = snapshot.collect(ranked, scores, truth, {"benford": "BLOCKED"})
+    assert found["figures"]["main"] == {"recall@5": 0.3333, "precision@5": 0.2, "recall@10": 0.6667, "precision@10": 0.2}
+    assert found["figures"]["held"] == {"recall@5": 1.0, "precision@5": 0.2, "recall@10": 1.0, "precision@10": 0.1}
+    assert found["type_recall@10"] == {"chain": 1.0, "fan": 0.5} and found["model_scores_n"] == {"a": 20, "b": 1}
+    paths = snapshot.write(found, str(tmp_path / "s"))
+    assert json.loads(open(paths[0], encoding="utf-8").read())["anomalies"] == 3
+    assert "| 2 | 1 | 0.95 | a,b |" in open(paths[1], encoding="utf-8").read()
+
+
+def test_mode_means(spark):
+    rows = [("easy", "d1", "borda", 0.5), ("easy", "d2", "borda", 1.0), ("easy", "d2", "meta", None), ("hard", "d3", "meta", 0.25)]
+    table = spark.createDataFrame(rows, "mode string, dataset string, fusion string, recall double")
+    assert sorted(map(tuple, evaluation.mode_means(table).collect())) == [("easy", "borda", 2, 0.75), ("hard", "meta", 1, 0.25)]

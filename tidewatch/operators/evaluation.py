@@ -41,3 +41,18 @@ def ablation(scores: DataFrame, truth: DataFrame, models: list[str], k: int = 10
         one = head.join(t, "entity_id", "left_semi").agg(F.count("*").alias("hits")).select(F.lit(name).alias("left_out"), "hits")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def by_part(ranked: DataFrame, truth: DataFrame, held: str = "surprise", ks: tuple[int, ...] = (5, 10)) -> DataFrame:
+    """``recall_precision`` with ``part``: main for the kinds known beforehand, held
+    for the kind ``held``, which counts as nothing in the main figures."""
+    main = recall_precision(ranked, truth.where(F.col("kind") != held), ks)
+    rest = recall_precision(ranked, truth.where(F.col("kind") == held), ks)
+    return main.withColumn("part", F.lit("main")).unionByName(rest.withColumn("part", F.lit("held")))
+
+
+def mode_means(results: DataFrame) -> DataFrame:
+    """(mode, fusion, n_datasets, mean_recall) of (mode, dataset, fusion, recall); a
+    dataset that failed has no recall and does not count."""
+    rows = results.where("recall is not null").groupBy("mode", "fusion")
+    return rows.agg(F.count_distinct("dataset").alias("n_datasets"), F.round(F.avg("recall"), 3).alias("mean_recall"))

@@ -313,6 +313,12 @@ ORACLE["evaluation_recall_precision"] = f"""WITH {_RANKING_SQL}, {_TRUTH_SQL}, p
 k AS (SELECT unnest([5, 10, 20]) AS k), pn AS (SELECT (SELECT count(*) FROM tr) AS p, (SELECT count(*) FROM rn) AS n)
 SELECT k, hits, round(hits / greatest(p, 1)::DOUBLE, 4) AS recall, round(hits / k::DOUBLE, 4) AS precision, round(hits / (k * p / n::DOUBLE), 4) AS lift
 FROM (SELECT k.k::INT AS k, count(tr.entity_id) AS hits FROM k JOIN pl ON pl.place <= k.k LEFT JOIN tr USING (entity_id) GROUP BY 1), pn"""
+QUERIES["evaluation_by_part"] = lambda spark, sf: evaluation.by_part(cut(risk_ranking(spark, sf)), _truth(spark, sf), "odd")
+ORACLE["evaluation_by_part"] = f"""WITH {_RANKING_SQL}, {_TRUTH_SQL}, pl AS (SELECT entity_id, row_number() OVER (ORDER BY score DESC, entity_id) AS place FROM rn),
+k AS (SELECT unnest([5, 10]) AS k), pt AS (SELECT CASE kind WHEN 'odd' THEN 'held' ELSE 'main' END AS part, count(*) AS p FROM tr GROUP BY 1)
+SELECT part, k, hits, round(hits / p::DOUBLE, 4) AS recall, round(hits / k::DOUBLE, 4) AS precision, round(hits / (k * p / (SELECT count(*) FROM rn)::DOUBLE), 4) AS lift
+FROM (SELECT pt.part, p, k.k::INT AS k, count(tr.entity_id) AS hits FROM pt CROSS JOIN k JOIN pl ON pl.place <= k.k
+  LEFT JOIN tr ON tr.entity_id = pl.entity_id AND (tr.kind = 'odd') = (pt.part = 'held') GROUP BY 1, 2, 3)"""
 QUERIES["evaluation_type_recall"] = lambda spark, sf: evaluation.type_recall(risk_ranking(spark, sf), _truth(spark, sf), 20)
 ORACLE["evaluation_type_recall"] = f"""WITH {_RANKING_SQL}, {_TRUTH_SQL}, hd AS (SELECT entity_id, 1 AS f FROM rn ORDER BY score DESC, entity_id LIMIT 20)
 SELECT kind, count(*) AS n, count(f) AS found, round(count(f) / count(*)::DOUBLE, 4) AS recall FROM tr LEFT JOIN hd USING (entity_id) GROUP BY 1"""
