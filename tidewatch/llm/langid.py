@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm._common import text_slices
+from tidewatch.llm._common import text_slices, tidy
 
 UNKNOWN = "und"
 
@@ -267,7 +267,7 @@ def classify(docs: DataFrame, model: Model | None) -> DataFrame:
                     pred[i], score[i] = model.langs[best], min(1.0, float(q))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(pred), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, fit: Fit = Fit(), modulus: int = 3, remainder: int = 1) -> DataFrame:
@@ -307,4 +307,4 @@ def keep_identified(docs: DataFrame, fit: Fit = Fit(), least: float = 0.0) -> Da
             if keep.any():
                 yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

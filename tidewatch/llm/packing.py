@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm._common import materialize, text_slices
+from tidewatch.llm._common import materialize, text_slices, tidy
 
 END_ID = 1
 #: Rank buckets of a length: one length may hold a third of all pieces.
@@ -136,7 +136,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
     schema = ", ".join(f"{n} long" for n in names)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), schema)
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 600) -> np.ndarray:

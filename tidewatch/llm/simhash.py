@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm._common import fan_out, materialize, sent, text_slices
+from tidewatch.llm._common import fan_out, materialize, sent, text_slices, tidy
 from tidewatch.llm.merges import mix
 
 #: Shingles whose bits are counted at a time, and leaves under one index node.
@@ -33,6 +33,8 @@ BLOCK, FANOUT = 250_000, 16
 MAX_BLOCK = 100_000
 #: Blocks up to so many texts are compared side by side, without an index.
 SMALL = 64
+#: Pairs of a block that are measured at a time.
+CELLS = 500_000
 #: Each byte's bits, one to a byte of a long: sums of up to 255 don't carry.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
@@ -407,7 +409,7 @@ def band_links(blocks: DataFrame, reach: int) -> tuple[DataFrame, DataFrame]:
     """(a, b, bits): candidate pairs a > b of texts that share a block, with the
     bits in which they differ there, and (k1, k2): the blocks of which not all
     pairs within reach are candidates."""
-    found = materialize(_dealt(blocks).mapInArrow(_band_edges(reach), "a long, b long, bits int"), "band-links")
+    found = materialize(_dealt(blocks).mapInArrow(tidy(_band_edges(reach)), "a long, b long, bits int"), "band-links")
     edges = found.where("bits >= 0").groupBy("a", "b").agg(F.min("bits").alias("bits"))
     return edges, found.where("bits < 0").select(F.col("a").alias("k1"), F.col("b").alias("k2"))
 
@@ -422,8 +424,9 @@ def _apart(reach: int):
             return
         small = np.flatnonzero(of != np.bincount(of).argmax())
         others = np.concatenate([small, np.setdiff1d(np.arange(len(node)), small, assume_unique=True)])
-        for at in range(0, len(small), 256):
-            mine, rest = small[at : at + 256], others[at:]
+        step = max(1, CELLS // len(node))
+        for at in range(0, len(small), step):
+            mine, rest = small[at : at + step], others[at:]
             bits = np.zeros((len(mine), len(rest)), np.uint16)
             for j in range(sketch.shape[1]):
                 bits += np.bitwise_count(sketch[mine, j][:, None] ^ sketch[rest, j][None])
@@ -461,7 +464,7 @@ def cross_links(blocks: DataFrame, dense: DataFrame, nodes: DataFrame, roots: Da
     one block that both are in. ``roots`` is (node, root) of grouped texts."""
     grouped = nodes.join(roots, "node", "left").select("node", "sketch", F.coalesce("root", "node").alias("root"))
     rows = blocks.select("k1", "k2", "node").join(sent(dense), ["k1", "k2"], "left_semi").join(grouped, "node")
-    pairs = _dealt(rows).mapInArrow(_apart(reach), "a long, b long, k1 long, k2 long")
+    pairs = _dealt(rows).mapInArrow(tidy(_apart(reach)), "a long, b long, k1 long, k2 long")
     return pairs.groupBy("a", "b").agg(F.min(F.struct("k1", "k2")).alias("k")).select("a", "b", "k.*")
 
 
@@ -484,11 +487,11 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Da
 
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
     two = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, near boolean")
+    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long, near boolean")
 
 
 #: Texts of one side of a tile.
-TILE = 128
+TILE = 64
 
 
 def verified_in_tiles(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
@@ -553,7 +556,7 @@ def near_copies(
                 yield pa.RecordBatch.from_arrays([ids[at : at + len(nodes)], pa.array(nodes, pa.int64()), pa.array(list(sketch), pa.list_(pa.int64()))], ["doc_id", "node", "sketch"])
                 at += len(nodes)
 
-    seen = materialize(rows.mapInArrow(run, "doc_id long, node long, sketch array<long>"), "sketches")
+    seen = materialize(rows.mapInArrow(tidy(run), "doc_id long, node long, sketch array<long>"), "sketches")
     nodes = materialize(seen.groupBy("node").agg(F.first("sketch").alias("sketch")), "nodes")
     blocks = band_blocks(nodes, words, band_bits, max_block)
     edges, dense = band_links(blocks, reach)
