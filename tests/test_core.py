@@ -22,7 +22,7 @@ QUICK = ["structuring", "structuring_banded", "benford", "benford_ks", "reciproc
          "burst", "time_correlation", "time_correlation_anypair", "parse_amounts", "source_counts", "distinct_events", "window_tumbling", "window_sliding",
          "parse_dates", "prose_fields", "key_value_lines", "json_field", "normalized_orders", "entity_resolution", "window_session",
          "event_sequences", "cross_source_entities", "truth_entities", "archive_verify", "archive_chain", "chart_source_counts", "chart_entity_daily",
-         "chain", "chain_deep", "insights_worded", "largest_per_party", "statml_kde", "statml_lof"]
+         "sufficiency_verdicts", "evidence_trails", "display_names", "chain", "chain_deep", "insights_worded", "largest_per_party", "statml_kde", "statml_lof"]
 
 
 @pytest.fixture(scope="module")

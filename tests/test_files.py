@@ -174,3 +174,54 @@ def test_stream_interval_join(spark, tmp_path):
             met.writeStream.format("memory").queryName("met").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination(120)
             met = spark.table("met")
         assert [(r["call_id"], r["event_id"]) for r in met.collect()] == [("c1", "t1")]
+
+
+def _resolved_brute(rows):
+    """identifier -> entity by the rule, over equal names alone."""
+    names, sources = {}, {}
+    for i, name, source in rows:
+        if i is not None:
+            sources.setdefault(i, set()).add(source or "")
+            names.setdefault(i, set()).update([" ".join(sorted(name.lower().split()))] if name and name.strip() else [])
+    person, out = {n: n for ns in names.values() for n in ns}, {}
+    for _ in person:
+        for ns in names.values():
+            least = min((person[n] for n in ns), default=None)
+            person.update(dict.fromkeys(ns, least))
+    places = {}
+    order = {i: k for k, i in enumerate(sorted(names, key=lambda i: (CELL[i], i)))}
+    for p in set(person.values()):
+        mine = sorted((i for i in names if names[i] and person[min(names[i])] == p), key=order.get)
+        held = {}
+        for k, i in enumerate((i for i in mine if len(sources[i]) > 1), 1):
+            places[i] = (p, k)
+            held[k] = sources[i]
+        for source in {s for i in mine for s in sources[i]}:
+            free = (k for k in range(1, 10_000) if source not in held.get(k, ()))
+            for i in mine:
+                if sources[i] == {source}:
+                    places[i] = (p, next(free))
+    for i in names:
+        out[i] = "E:" + min((j for j in places if places[j] == places[i]), default=i) if i in places else f"E:{i}"
+    return out
+
+
+CELL = {}
+
+
+def test_resolve_with_aliases_against_brute_force(spark):
+    """Identifiers of several names and sources: at most one a source and entity."""
+    rng = random.Random(8)
+    letters = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(12)]
+    rows = [(f"I{rng.randrange(40)}", rng.choice([None, "", *letters, *letters]), rng.choice(["bank", "cdr", "social", None])) for _ in range(90)]
+    rows += [(None, letters[0], "bank"), rows[0], ("I3", letters[0].upper() + " ", "bank")]
+    events = spark.createDataFrame(rows, "actor_raw string, actor_name string, source string")
+    cells = events.where("actor_raw is not null").select("actor_raw").distinct().selectExpr("actor_raw", f"pmod(xxhash64(actor_raw), {resolution.CELLS}) AS cell")
+    CELL.update({r["actor_raw"]: r["cell"] for r in cells.collect()})
+    got = {r["identifier"]: r["entity_id"] for r in resolution.resolve(events.repartition(3)).collect()}
+    assert got == _resolved_brute(rows) and len(set(got.values())) < len(got)
+    claims = {}
+    for i, _, source in rows:
+        if i is not None:
+            claims.setdefault((got[i], source), set()).add(i)
+    assert all(len(c) == 1 for (e, _), c in claims.items())

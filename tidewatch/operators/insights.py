@@ -116,6 +116,18 @@ def display_names(named: DataFrame) -> DataFrame:
     return per.select("entity_id", F.coalesce("name", F.col("entity_id").cast("string")).alias("name"))
 
 
+def trails(events: DataFrame, entities: DataFrame | None = None, cap: int = 200) -> DataFrame:
+    """``trail`` of all entities, or of those in ``entities``, in one plan, with
+    ``place`` from 1. No task keeps more than ``cap`` rows of an entity to send."""
+    own = events.where("entity_id is not null")
+    if entities is not None:
+        own = own.join(entities.select("entity_id").distinct(), "entity_id", "left_semi")
+    keys = ["timestamp", "source", "counterparty_id", "amount"]
+    rows = own.select("entity_id", *keys).dropDuplicates()
+    place = F.row_number().over(Window.partitionBy("entity_id").orderBy(*keys))
+    return rows.withColumn("place", place).where(F.col("place") <= cap)
+
+
 def trail(events: DataFrame, entity_id, cap: int = 200) -> DataFrame:
     """An entity's evidence rows without repeats, oldest first, ``cap`` at most."""
     own = events.where(F.col("entity_id") == entity_id).dropDuplicates(["timestamp", "source", "counterparty_id", "amount"])

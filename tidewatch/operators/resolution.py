@@ -1,9 +1,11 @@
 """Entity resolution: which identifiers belong to one actor.
 
-An identifier always means the same entity. Identifiers of different sources
-are joined by alike names, at most one identifier a source in an entity: within
-a cluster of alike names the k-th identifier of every source (by hash cell, then id) makes up
-entity k. That rule does not depend on the order of rows.
+An identifier always means the same entity. Names are joined where they are alike
+or where one identifier goes by both; identifiers of such a person of different
+sources are one entity, with at most one identifier a source. Within a person,
+identifiers known to several sources take a place each; the k-th identifier of one
+source alone (by hash cell, then id) takes the k-th place that no other of its
+source holds. That rule does not depend on the order of rows.
 
 Alike names (``LEAST`` by sorted tokens) are found without comparing all pairs:
 two names whose indel distance is at most t share one of t + 1 segments, so
@@ -73,27 +75,55 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("name").join(linked, "name", "left").select("name", F.coalesce("cluster", "name").alias("cluster"))
 
 
+def _numbered(rows: DataFrame, group: list[str]) -> DataFrame:
+    """``rows`` with ``nth`` from 1 in each group, by hash cell, then identifier."""
+    celled = rows.withColumn("cell", F.pmod(F.xxhash64("identifier"), F.lit(CELLS)))
+    counts = celled.groupBy(*group, "cell").agg(F.count("*").alias("k"))
+    below = Window.partitionBy(*group).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*group, "cell", F.coalesce(F.sum("k").over(below), F.lit(0)).alias("below"))
+    own = F.row_number().over(Window.partitionBy(*group, "cell").orderBy("identifier"))
+    return celled.withColumn("own", own).join(offsets, [*group, "cell"]).withColumn("nth", F.col("below") + F.col("own")).drop("cell", "own", "below")
+
+
+def persons(named: DataFrame, least: float = LEAST) -> DataFrame:
+    """(identifier, person) over the distinct (identifier, name): components of the
+    graph of identifiers and alike names, under the smallest of a component's names."""
+    names = named.select("name").distinct()
+    of = cut(named.join(components(names, similar_names(names, least)), "name").select("identifier", "cluster").distinct())
+    home = of.groupBy("identifier").agg(F.min("cluster").alias("home"))
+    # Who goes by names of several clusters joins them.
+    bridges = cut(of.join(home, "identifier").where("cluster <> home").select(F.col("home").alias("a"), F.col("cluster").alias("b")).distinct())
+    if bridges.isEmpty():
+        return home.withColumnRenamed("home", "person")
+    joined = components(of.select(F.col("cluster").alias("name")).distinct(), bridges)
+    return home.join(joined.select(F.col("name").alias("home"), F.col("cluster").alias("person")), "home").select("identifier", "person")
+
+
 def resolve(events: DataFrame, least: float = LEAST) -> DataFrame:
     """(identifier, entity_id) for each actor of ``events`` (actor_raw,
-    actor_name, source). An entity is named after its smallest identifier. An
-    identifier with several names or sources keeps the smallest of each; without
-    a name it stands alone; null identifiers have no entity."""
+    actor_name, source). An entity is named after its smallest identifier. Without
+    a name an identifier stands alone; null identifiers have no entity; a null
+    source is one of its own."""
     normal = F.array_join(F.array_sort(F.filter(F.split(F.lower(F.trim("actor_name")), r"\s+"), lambda w: w != "")), " ")
-    actors = cut(events.where("actor_raw is not null").groupBy(F.col("actor_raw").alias("identifier")).agg(
-        F.coalesce(F.min(normal), F.lit("")).alias("name"), F.coalesce(F.min("source"), F.lit("")).alias("source")
-    ))
-    names = actors.where("name <> ''").select("name").distinct()
-    clusters = components(names, similar_names(names, least))
-    placed = actors.join(clusters, "name").withColumn("cell", F.pmod(F.xxhash64("identifier"), F.lit(CELLS)))
-    group = ["cluster", "source"]
-    counts = placed.groupBy(*group, "cell").agg(F.count("*").alias("k"))
-    below = Window.partitionBy(*group).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*group, "cell", F.coalesce(F.sum("k").over(below), F.lit(0)).alias("below"))
-    nth = F.row_number().over(Window.partitionBy(*group, "cell").orderBy("identifier"))
-    numbered = placed.withColumn("nth", nth).join(offsets, [*group, "cell"]).withColumn("place", F.col("below") + F.col("nth"))
-    firsts = numbered.groupBy("cluster", "place").agg(F.min("identifier").alias("first"))
-    found = numbered.join(firsts, ["cluster", "place"]).select("identifier", "first")
-    alone = actors.where("name = ''").select("identifier", F.col("identifier").alias("first"))
+    known = events.where("actor_raw is not null")
+    told = cut(known.select(F.col("actor_raw").alias("identifier"), F.coalesce(normal, F.lit("")).alias("name"), F.coalesce("source", F.lit("")).alias("source")).distinct())
+    person = persons(told.where("name <> ''").select("identifier", "name").distinct(), least)
+    sources = told.groupBy("identifier").agg(F.array_sort(F.collect_set("source")).alias("sources"))
+    placed = cut(sources.join(person, "identifier", "left"))
+    several = cut(_numbered(placed.where("person is not null and size(sources) > 1"), ["person"]))
+    single = _numbered(placed.where("person is not null and size(sources) = 1").withColumn("source", F.col("sources")[0]), ["person", "source"])
+    # Places that an identifier of several sources leaves open to another source.
+    sides = single.select("person", "source").distinct()
+    left = several.join(sides, "person").where(~F.array_contains("sources", F.col("source"))).select("person", "source", F.col("nth").alias("open"))
+    left = cut(left.withColumn("nth", F.row_number().over(Window.partitionBy("person", "source").orderBy("open"))))
+    taken = several.groupBy("person").agg(F.count("*").alias("taken"))
+    opened = left.groupBy("person", "source").agg(F.count("*").alias("opened"))
+    met = single.join(left, ["person", "source", "nth"], "left").join(taken, "person", "left").join(opened, ["person", "source"], "left")
+    behind = F.coalesce("taken", F.lit(0)) + F.col("nth") - F.coalesce("opened", F.lit(0))
+    rows = cut(met.select("identifier", "person", F.coalesce("open", behind).alias("place")).unionByName(several.select("identifier", "person", F.col("nth").alias("place"))))
+    firsts = rows.groupBy("person", "place").agg(F.min("identifier").alias("first"))
+    found = rows.join(firsts, ["person", "place"]).select("identifier", "first")
+    alone = placed.where("person is null").select("identifier", F.col("identifier").alias("first"))
     return found.union(alone).select("identifier", F.concat(F.lit("E:"), "first").alias("entity_id"))
 
 

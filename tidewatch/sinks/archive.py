@@ -24,3 +24,18 @@ def verify_chain(runs: DataFrame) -> DataFrame:
     # One row a run: the archive's own index, not data.
     before = F.coalesce(F.lag("chain_hash").over(Window.orderBy("run_id")), F.lit(""))
     return runs.select("run_id", (F.sha2(F.concat(before, "files_sha256"), 256) == F.col("chain_hash")).alias("ok"))
+
+
+def chained(runs: DataFrame) -> DataFrame:
+    """(run_id, files_sha256, chain_hash) of (run_id, files_sha256): every run's link
+    to the one before. The archive's index, a row a run, is one array: each link
+    takes the hash of the last, which no other order can make."""
+    index = runs.agg(F.array_sort(F.collect_list(F.struct("run_id", "files_sha256"))).alias("runs"))
+    start = F.array().cast("array<struct<run_id: string, files_sha256: string, chain_hash: string>>")
+
+    def link(done, run):
+        before = F.when(F.size(done) > 0, F.element_at(done, -1)["chain_hash"]).otherwise("")
+        own = F.struct(run["run_id"].alias("run_id"), run["files_sha256"].alias("files_sha256"), F.sha2(F.concat(before, run["files_sha256"]), 256).alias("chain_hash"))
+        return F.concat(done, F.array(own))
+
+    return index.select(F.inline(F.aggregate("runs", start, link)))
