@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.lineage import cut
 from tidewatch.functions.scaling import rounded
-from tidewatch.operators import charts, digits, evaluation, features, fusion, graph, insights, meta, outliers, rules, temporal
+from tidewatch.operators import charts, digits, evaluation, features, fusion, graph, insights, meta, outliers, rules, temporal, temporal_graph
 from tidewatch.sources.views import EVENTS_SQL, LEDGER_SQL, ORDERS_SQL, events_view, ledger_view, orders_view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,6 +143,7 @@ ORACLE["pagerank_deviation"] = _sql(EVENTS_SQL, _pagerank_sql(_ROUNDS), 4)
 
 
 _model("community_motif", events_view, graph.community_motif)
+_model("network_tgn", events_view, temporal_graph.network_tgn)
 
 
 def _labels_sql(rounds: int) -> str:
