@@ -153,6 +153,8 @@ def test_screening(spark, tmp_path):
     made = screening.save(run, str(tmp_path / "out"))
     told = json.loads(open(made[0], encoding="utf-8").read())
     assert told["summary"]["entities"] == 15 and len(told["rankings"]) == 15
+    assert all(len(r["trail"]) == 25 and r["trail"] == sorted(r["trail"], key=lambda t: t["timestamp"]) for r in told["rankings"])
+    assert "Records behind them" in open(made[1], encoding="utf-8").read()
     assert "Entities that stand out" in open(made[1], encoding="utf-8").read() and "<table>" in open(made[2], encoding="utf-8").read()
 
 

@@ -9,7 +9,11 @@ import pathlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.operators import insights
+
 TOP = 20
+#: Records of an entity that a report lists.
+TRAIL = 25
 
 
 def top_scores(scores: DataFrame, k: int = TOP) -> DataFrame:
@@ -19,8 +23,8 @@ def top_scores(scores: DataFrame, k: int = TOP) -> DataFrame:
 
 
 def payload(ranked: DataFrame, scores: DataFrame, evidence: DataFrame, verdicts: dict[str, str], sources: list[dict], events: DataFrame, k: int = TOP) -> dict:
-    """What a report tells: at most k entities, k scores a model, and the
-    evidence of those entities."""
+    """What a report tells: at most k entities, k scores a model, and of those
+    entities the evidence and the first records."""
     best = ranked.orderBy(F.desc("score"), "entity_id").limit(k)
     people = [r.asDict() for r in best.collect()]
     shown = evidence.join(F.broadcast(best.select("entity_id")), "entity_id", "left_semi")
@@ -29,6 +33,10 @@ def payload(ranked: DataFrame, scores: DataFrame, evidence: DataFrame, verdicts:
     by_id = {p["entity_id"]: p["evidence"] for p in people}
     for r in shown.orderBy("entity_id", "kind").collect():
         by_id[r["entity_id"]].append({"kind": r["kind"], "detail": r["detail"]})
+    trails = {p["entity_id"]: p.setdefault("trail", []) for p in people}
+    own = events.join(F.broadcast(best.select("entity_id")), "entity_id", "left_semi")
+    for r in insights.trails(own, cap=TRAIL).orderBy("entity_id", "place").collect():
+        trails[r["entity_id"]].append({c: r[c] for c in ("timestamp", "source", "counterparty_id", "amount")})
     models: dict[str, dict] = {}
     for r in top_scores(scores, k).orderBy("model", "place").collect():
         models.setdefault(r["model"], {})[str(r["entity_id"])] = r["score"]
@@ -49,6 +57,8 @@ def _sections(p: dict) -> list[tuple[str, list[str], list[list]]]:
         ("What the data could support", ["Stage", "Verdict"], [list(kv) for kv in p["sufficiency"].items()]),
         ("Entities that stand out", ["Entity", "Score", "Risk", "Events", "Models", "Evidence"],
          [[r["entity_id"], r["score"], r["risk"], r["n_events"], r["models_fired"] or "", said(r)] for r in p["rankings"]]),
+        ("Records behind them", ["Entity", "Time", "Source", "Counterparty", "Amount"],
+         [[r["entity_id"], *("" if x is None else x for x in t.values())] for r in p["rankings"] for t in r["trail"]]),
         ("Sources", ["File", "Source", "Rows", "Warnings"], [[s["file"], s["source"], s["rows"], "; ".join(s["warnings"])] for s in p["sources"]]),
     ]
 
