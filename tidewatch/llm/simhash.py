@@ -33,8 +33,6 @@ BLOCK, FANOUT = 250_000, 16
 MAX_BLOCK = 100_000
 #: Blocks up to so many texts are compared side by side, without an index.
 SMALL = 64
-#: Pairs of a block that are measured at a time.
-CELLS = 500_000
 #: Each byte's bits, one to a byte of a long: sums of up to 255 don't carry.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
@@ -414,60 +412,6 @@ def band_links(blocks: DataFrame, reach: int) -> tuple[DataFrame, DataFrame]:
     return edges, found.where("bits < 0").select(F.col("a").alias("k1"), F.col("b").alias("k2"))
 
 
-def _apart(reach: int):
-    """Pairs of different groups within ``reach`` bits of the whole sketch, of the
-    blocks among the batches: a block's largest group is not met with itself."""
-
-    def found(key: tuple[int, int], node: np.ndarray, root: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
-        groups, of = np.unique(root, return_inverse=True)
-        if len(groups) < 2:
-            return
-        small = np.flatnonzero(of != np.bincount(of).argmax())
-        others = np.concatenate([small, np.setdiff1d(np.arange(len(node)), small, assume_unique=True)])
-        step = max(1, CELLS // len(node))
-        for at in range(0, len(small), step):
-            mine, rest = small[at : at + step], others[at:]
-            bits = np.zeros((len(mine), len(rest)), np.uint16)
-            for j in range(sketch.shape[1]):
-                bits += np.bitwise_count(sketch[mine, j][:, None] ^ sketch[rest, j][None])
-            x, y = np.nonzero((bits <= reach) & (of[mine][:, None] != of[rest][None]))
-            a, b = node[mine[x]], node[rest[y]]
-            n = len(a)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(np.full(n, key[0])), pa.array(np.full(n, key[1]))], ["a", "b", "k1", "k2"]
-            )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, []
-        for batch in batches:
-            k1, k2, node, root = (batch.column(c).to_numpy() for c in ("k1", "k2", "node", "root"))
-            if not len(k1):
-                continue
-            sketch = batch.column("sketch").flatten().to_numpy().view(np.uint64).reshape(len(k1), -1)
-            cuts = np.flatnonzero((k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])) + 1
-            for lo, hi in zip([0, *cuts], [*cuts, len(k1)], strict=True):
-                key = (int(k1[lo]), int(k2[lo]))
-                if key != last and held:
-                    yield from found(last, *map(np.concatenate, zip(*held, strict=True)))
-                    held = []
-                last = key
-                held.append((node[lo:hi], root[lo:hi], sketch[lo:hi]))
-        if held:
-            yield from found(last, *map(np.concatenate, zip(*held, strict=True)))
-
-    return run
-
-
-def cross_links(blocks: DataFrame, dense: DataFrame, nodes: DataFrame, roots: DataFrame, reach: int) -> DataFrame:
-    """(a, b, k1, k2): pairs of texts in the ``dense`` blocks that are in different
-    groups and differ in at most ``reach`` bits of their whole sketches, each under
-    one block that both are in. ``roots`` is (node, root) of grouped texts."""
-    grouped = nodes.join(roots, "node", "left").select("node", "sketch", F.coalesce("root", "node").alias("root"))
-    rows = blocks.select("k1", "k2", "node").join(sent(dense), ["k1", "k2"], "left_semi").join(grouped, "node")
-    pairs = _dealt(rows).mapInArrow(tidy(_apart(reach)), "a long, b long, k1 long, k2 long")
-    return pairs.groupBy("a", "b").agg(F.min(F.struct("k1", "k2")).alias("k")).select("a", "b", "k.*")
-
-
 def similarity(a: str, b: str, width: int) -> float:
     """Jaccard similarity of two texts' sets of shingles; 1 if both have none."""
     x, y = (np.unique(shingle_hashes(t, width)) for t in (a, b))
@@ -491,43 +435,76 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Da
 
 
 #: Texts of one side of a tile.
-TILE = 64
-
-
-def verified_in_tiles(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
-    """``verified`` for (a, b, k1, k2), where many pairs of a block share texts:
-    a block's texts are dealt into parts of about ``TILE``, and the texts of two
-    parts are sent to one task for all pairs between them."""
-
-    def shared(table: pa.Table, known: pa.Table) -> pa.Table:
-        sets: dict[int, np.ndarray] = {}
-        for node, text in zip(known.column("node").to_pylist(), known.column("text"), strict=True):
-            if node not in sets:
-                sets[node] = np.unique(shingle_hashes(text.as_py(), width))
-        table = table.sort_by("a")
-        a, b = table.column("a").to_numpy(), table.column("b").to_numpy()
-        near, cuts = np.zeros(len(a), bool), np.flatnonzero(a[1:] != a[:-1]) + 1
-        for lo, hi in zip([0, *cuts], [*cuts, len(a)], strict=True):
-            mine, others = sets[int(a[lo])], [sets[int(n)] for n in b[lo:hi]]
-            sizes = np.array([len(o) for o in others])
-            if not len(mine):
-                near[lo:hi] = sizes == 0
+TILE = 192
+
+
+def _between(reach: int, width: int, least: float):
+    """Links between groups of one tile: of its pairs of different groups within
+    ``reach`` sketch bits those that are verified, one for any two groups."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, root, part = (table.column(c).to_numpy() for c in ("node", "root", "part"))
+        sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+        texts, two = table.column("text"), part.min() != part.max()
+        group, sets = np.unique(root, return_inverse=True)[1], {}
+
+        def shingles(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = np.unique(shingle_hashes(texts[i].as_py(), width))
+            return sets[i]
+
+        found: list[tuple[int, int]] = []
+        for i in range(len(node)):
+            near = (group != group[i]) & ((part != part[i]) if two else (np.arange(len(node)) > i))
+            if two and part[i] != part.min():
                 continue
-            every = np.concatenate(others)
-            hit = np.concatenate([[0], np.cumsum(mine[np.searchsorted(mine, every).clip(max=len(mine) - 1)] == every)])
-            ends = np.cumsum(sizes)
-            both = hit[ends] - hit[ends - sizes]
-            near[lo:hi] = both / (len(mine) + sizes - both) >= least
-        return pa.table({"a": a, "b": b, "near": near})
-
-    held = pairs.select("k1", "k2", F.explode(F.array("a", "b")).alias("node")).distinct()
-    parts = held.groupBy("k1", "k2").agg(F.ceil(F.count("*") / TILE).alias("parts"))
-    part = lambda c: F.pmod(F.xxhash64(c, F.lit(7)), F.col("parts"))
-    tiled = pairs.join(parts, ["k1", "k2"]).select("a", "b", "k1", "k2", part("a").alias("p"), part("b").alias("q"))
-    keys, own = ["k1", "k2", "p", "q"], ["t1", "t2", "t3", "t4"]
-    tile = [F.col(k).alias(t) for k, t in zip(keys, own, strict=True)]
-    needed = tiled.select(*tile, F.explode(F.array("a", "b")).alias("node")).distinct().join(texts, "node")
-    return tiled.groupBy(*keys).cogroup(needed.groupBy(*own)).applyInArrow(shared, "a long, b long, near boolean")
+            rows = np.flatnonzero(near)
+            rows = rows[np.bitwise_count(sketch[rows] ^ sketch[i]).sum(axis=1) <= reach]
+            for g in np.unique(group[rows]):
+                if g == group[i]:
+                    continue
+                mine = shingles(i)
+                some = rows[group[rows] == g]
+                sizes = np.array([len(shingles(j)) for j in some])
+                if len(mine):
+                    every = np.concatenate([sets[j] for j in some])
+                    hit = np.concatenate([[0], np.cumsum(mine[np.searchsorted(mine, every).clip(max=len(mine) - 1)] == every)])
+                    both = hit[np.cumsum(sizes)] - hit[np.cumsum(sizes) - sizes]
+                    close = both >= least * (len(mine) + sizes - both)
+                else:
+                    close = sizes == 0
+                if close.any():
+                    found.append((int(node[i]), int(node[some[close.argmax()]])))
+                    group[group == g] = group[i]
+        high, low = [max(p) for p in found], [min(p) for p in found]
+        return pa.table({"a": pa.array(high, pa.int64()), "b": pa.array(low, pa.int64())})
+
+    return run
+
+
+def cross_links(blocks: DataFrame, dense: DataFrame, nodes: DataFrame, roots: DataFrame, texts: DataFrame, reach: int, width: int, least: float) -> DataFrame:
+    """(a, b): verified links that join different groups within the ``dense``
+    blocks, of all pairs that differ in at most ``reach`` bits of their sketches.
+    ``roots`` is (node, root) of grouped texts.
+
+    A block's largest group needn't be met with itself. The block's other texts,
+    and those of that group, are dealt into parts of about ``TILE``; a tile has two
+    parts, and its task measures and verifies all their pairs, so that pairs are
+    never rows of a table and no task holds more than two parts' texts.
+    """
+    grouped = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    rows = materialize(blocks.select("k1", "k2", "node").join(sent(dense), ["k1", "k2"], "left_semi").join(grouped, "node"), "grouped")
+    sizes = rows.groupBy("k1", "k2", "root").agg(F.count("*").alias("n"))
+    block = sizes.groupBy("k1", "k2").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.max("n").alias("m"), F.sum("n").alias("n")).where("n > m")
+    parts = block.select("k1", "k2", "major", F.ceil((F.col("n") - F.col("m")) / TILE).alias("strays"), F.ceil(F.col("m") / TILE).alias("majors"))
+    met = rows.join(sent(materialize(parts, "parts")), ["k1", "k2"])
+    own, spread = F.col("root") == F.col("major"), F.xxhash64("node", F.lit(7))
+    part = F.when(own, F.col("strays") + F.pmod(spread, F.col("majors"))).otherwise(F.pmod(spread, F.col("strays")))
+    last = F.when(own, F.col("strays")).otherwise(F.col("strays") + F.col("majors"))
+    dealt = met.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last - 1)))
+    tile = [F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y")]
+    whole = dealt.select("k1", "k2", *tile, "part", "root", "node").join(nodes, "node").join(texts, "node")
+    return whole.groupBy("k1", "k2", "x", "y").applyInArrow(_between(reach, width, least), "a long, b long")
 
 
 def near_copies(
@@ -580,11 +557,9 @@ def near_copies(
         if edges.isEmpty():
             break
     if not dense.isEmpty():
-        cross = cross_links(blocks, dense, nodes, roots, int(whole * 64 * words))
-        cross = materialize(cross.join(good.select("a", "b"), ["a", "b"], "left_anti"), "cross")
-        if not cross.isEmpty():
-            more = materialize(verified_in_tiles(cross, texts, width, least), "more")
-            roots = materialize(components(good.union(more).where("near").select("a", "b")), "roots")
+        more = materialize(cross_links(blocks, dense, nodes, roots, texts, int(whole * 64 * words), width, least), "cross")
+        if not more.isEmpty():
+            roots = materialize(components(good.where("near").select("a", "b").union(more)), "roots")
     return seen.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
 
 
