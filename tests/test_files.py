@@ -113,6 +113,29 @@ def test_similar_names_against_brute_force(spark):
     assert got == want and len(want) > 100
 
 
+def test_similar_names_of_hashes(spark):
+    """Pairs as far apart as is allowed; exploded keys are never sent to the driver
+    and stay near a hundred a name."""
+    rng = random.Random(5)
+    names = {"".join(rng.choices("0123456789abcdef", k=rng.randint(33, 37))) for _ in range(150)}
+    for base in sorted(names)[:100]:
+        letters = list(base)
+        for _ in range(4):
+            del letters[rng.randrange(len(letters))]
+            letters.insert(rng.randrange(len(letters) + 1), rng.choice("0123456789abcdef"))
+        names.add("".join(letters))
+    table = spark.createDataFrame([(n,) for n in sorted(names)], "name string")
+    found = resolution.similar_names(table)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [key" in plan and "BroadcastHashJoin [key" not in plan
+    listed = sorted(names)
+    want = {(a, b) for i, a in enumerate(listed) for b in listed[i + 1 :] if similarity.ratio(a, b) >= 88}
+    assert {tuple(sorted(r)) for r in found.collect()} == want and len(want) >= 90
+    sized = table.selectExpr("name", "length(name) AS size", "0L AS sig")
+    keys = resolution._keys(sized, sized.select("size").distinct(), 88.0, True).count()
+    assert keys < 130 * len(names)
+
+
 def test_resolve(spark):
     rows = [("A1", "Maria Cruz", "bank"), ("A2", "Cruz  Maria", "bank"), ("P1", "maria cruz", "cdr"), ("H1", "Maria Crus", "social"), ("X", None, "bank"), (None, "Zed", "bank"), ("X", None, "bank")]
     events = spark.createDataFrame(rows, "actor_raw string, actor_name string, source string")

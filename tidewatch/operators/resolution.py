@@ -8,7 +8,7 @@ source alone (by hash cell, then id) takes the k-th place that no other of its
 source holds. That rule does not depend on the order of rows.
 
 Alike names (``LEAST`` by sorted tokens) are found without comparing all pairs:
-two names whose indel distance is at most t share one of t + 1 segments, so
+two names whose indel distance is at most d share one of d + 1 segments, so
 names meet only on equal segments near the same place, then are measured.
 """
 
@@ -37,25 +37,42 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def _keys(names: DataFrame, lengths: DataFrame, least: float, longer: bool) -> DataFrame:
+    """(key, name, sig, d): a name's segments as the shorter of a pair, or the
+    stretches at which they may stand in it as the ``longer``, for each length
+    that the other name may have; ``d`` is the pair's largest indel distance."""
+    stretch = (200 - least) / least
+    mine, other = ("m", "n") if longer else ("n", "m")
+    reach = f"sequence(cast(ceil({mine} / {stretch:.6f} - 1e-9) as int), {mine})" if longer else f"sequence({mine}, cast(floor({mine} * {stretch:.6f} + 1e-9) as int))"
+    tried = names.withColumnRenamed("size", mine).withColumn(other, F.explode(F.expr(reach)))
+    tried = tried.join(F.broadcast(lengths.withColumnRenamed("size", other)), other)
+    # Indels change the summed length by one each: its parity is that of their number.
+    t = _allowed(least, "n", "m")
+    tried = tried.withColumn("d", F.expr(f"{t} - pmod(n + m - {t}, 2)")).where("d >= m - n")
+    cuts = "transform(sequence(0, d), i -> struct(i, cast(floor(i * n / (d + 1)) as int) as s, cast(floor((i + 1) * n / (d + 1)) as int) as e))"
+    shifts = "filter(sequence(-c.i, c.i, 2), x -> abs(m - n - x) <= d - c.i and c.s + x >= 0 and c.e + x <= m)" if longer else "array(0)"
+    keys = f"array_distinct(flatten(transform({cuts}, c -> transform({shifts}, x -> xxhash64(n, m, c.i, substr(name, c.s + x + 1, c.e - c.s))))))"
+    return tried.select(F.explode(F.expr(keys)).alias("key"), "name", "sig", "d")
+
+
 def similar_names(names: DataFrame, least: float = LEAST) -> DataFrame:
     """(a, b) of different normal names that are alike; ``names`` has ``name``,
-    each once. Every such pair comes once, shorter name first."""
-    stretch = (200 - least) / least
-    reach = f"cast(floor(n * {stretch:.6f} + 1e-9) as int)"
-    sized = names.where("name <> ''").select("name", F.length("name").alias("n"))
-    own = sized.withColumn("t", F.expr(_allowed(least, "n", reach)))
-    cuts = "transform(sequence(0, t), i -> struct(i, cast(floor(i * n / (t + 1)) as int) as s, cast(floor((i + 1) * n / (t + 1)) as int) as e))"
-    kept = own.select(F.col("name").alias("a"), F.expr(f"explode(transform({cuts}, c -> xxhash64(n, c.i, substr(name, c.s + 1, c.e - c.s))))").alias("key"))
-    lengths = f"sequence(cast(ceil(n / {stretch:.6f} - 1e-9) as int), n)"
-    tried = sized.select("name", F.col("n").alias("m"), F.explode(F.expr(lengths)).alias("n")).where("n > 0").withColumn("t", F.expr(_allowed(least, "n", reach)))
-    windows = (
-        f"array_distinct(flatten(transform({cuts}, c -> transform(sequence(greatest(c.s - t, 0), greatest(least(c.s + t, m - (c.e - c.s)), 0)),"
-        " p -> xxhash64(n, c.i, substr(name, p + 1, c.e - c.s))))))"
-    )
-    met = tried.select(F.col("name").alias("b"), F.explode(F.expr(windows)).alias("key"))
-    order = (F.length("a") < F.length("b")) | ((F.length("a") == F.length("b")) & (F.col("a") < F.col("b")))
-    close = F.expr(f"levenshtein(a, b, {_allowed(least, 'length(a)', 'length(b)')}) >= 0")
-    pairs = kept.join(met, "key").where(order & close).select("a", "b").distinct()
+    each once. Every such pair comes once, shorter name first.
+
+    Of d + 1 segments under d indels some i-th is whole with exactly i indels
+    before it: take the last that has at least as many before it. It stands in the
+    longer name shifted by -i, -i + 2, ... or i, and the rest allows d - i at most.
+    Each indel turns one bit of ``sig``, the parities of the letters' numbers.
+    """
+    bit = "shiftleft(1L, cast(pmod(xxhash64(c), 64) as int))"
+    sig = F.expr(f"aggregate(split(name, ''), 0L, (x, c) -> x ^ {bit})")
+    sized = cut(names.where("name <> ''").select("name", F.length("name").alias("size"), sig.alias("sig")))
+    lengths = sized.select("size").distinct()
+    one = _keys(sized, lengths, least, False).toDF("key", "a", "sa", "d")
+    two = _keys(sized, lengths, least, True).drop("d").toDF("key", "b", "sb")
+    # Merged, as the planner takes exploded rows for no larger than the names.
+    met = one.hint("merge").join(two, "key").where(F.expr("bit_count(sa ^ sb) <= d and (length(a) < length(b) or a < b)"))
+    pairs = met.where(F.expr("levenshtein(a, b, d) >= 0")).select("a", "b").distinct()
     return pairs.where(_ratio("a", "b") >= least)
 
 

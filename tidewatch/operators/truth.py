@@ -37,6 +37,6 @@ def to_entities(key: DataFrame, mapping: DataFrame, named: DataFrame, least: flo
     rest = left.join(exact, "person", "left_anti")
     names = rest.select("name").union(known.select("known")).distinct()
     pairs = similar_names(names, least)
-    both = pairs.union(pairs.select("b", "a")).toDF("name", "known")
+    both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("name"), F.col("b").alias("known")), F.struct(F.col("b").alias("name"), F.col("a").alias("known")))).alias("x")).select("x.*")
     alike = rest.join(both, "name").join(known, "known").select("person", "entity_id")
     return found.union(exact).union(alike).distinct()
