@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -373,6 +374,28 @@ def test_near_copies_in_large_families(spark, size):
     assert all(len(g) == 1 for g in groups.values())
 
 
+def test_large_blocks_of_unlike_texts_are_not_dense(spark):
+    """Blocks that are large by chance list all their candidates, and no text of
+    theirs is dealt into tiles; a large family is still a dense block."""
+    rng = np.random.default_rng(6)
+    drawn = rng.integers(0, 1 << 62, (2000, 8), dtype=np.int64) * 2 + rng.integers(0, 2, (2000, 8))
+    drawn[1::10] = drawn[::10] ^ 3
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(drawn)], "node long, sketch array<long>").repartition(4)
+    edges, dense = simhash.band_links(simhash.band_blocks(table, 8, 4), 16)
+    assert dense.count() == 0
+    got, want = {(r["a"], r["b"]) for r in edges.collect()}, set()
+    words = drawn.view(np.uint64)
+    for j, i in itertools.product(range(8), range(4)):
+        band, fp = words[:, j] >> np.uint64(16 * i) & np.uint64(15), words[:, (j + 4) % 8]
+        for k in range(16):
+            at = np.flatnonzero(band == k)
+            x, y = np.nonzero(np.tril(np.bitwise_count(fp[at, None] ^ fp[None, at]) <= 16, -1))
+            want |= set(zip(at[x].tolist(), at[y].tolist(), strict=True))
+    assert got == want and len(want) >= 200
+    family = [(i, [int(x) for x in drawn[0] ^ (1 << i % 50)]) for i in range(500)]
+    assert simhash.band_links(simhash.band_blocks(spark.createDataFrame(family, "node long, sketch array<long>"), 8, 4), 16)[1].count() > 0
+
+
 def test_keep_first_of_repeated_ids(spark, docs, empty):
     rows = [(1, "a b c d e f g", 0.5), (1, "a b c d e f g", 0.7), (1, "quite another text that stands alone", 0.5), (None, "x", 0.1), (None, "x", 0.1), (2, "A b c d e f g", 0.0)]
     long = " ".join(f"w{i}" for i in range(40))

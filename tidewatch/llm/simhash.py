@@ -31,8 +31,9 @@ from tidewatch.llm.merges import mix
 BLOCK, FANOUT = 250_000, 16
 #: Distinct fingerprints in one block before it is divided further.
 MAX_BLOCK = 100_000
-#: Blocks up to so many texts are compared side by side, without an index.
-SMALL = 64
+#: Blocks up to so many texts are compared side by side, without an index, those
+#: up to ``WIDE`` texts one by one.
+SMALL, WIDE = 64, 4096
 #: Each byte's bits, one to a byte of a long: sums of up to 255 don't carry.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
@@ -321,10 +322,24 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, max_bloc
     )
 
 
+def _few_pairs(fp: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """All pairs of one block within ``reach``; None if they are over three a text."""
+    a, b, held = [], [], 0
+    for at in range(0, len(fp), 256):
+        x, y = np.nonzero(np.bitwise_count(fp[at : at + 256, None] ^ fp[None, at:]) <= reach)
+        some = y > x
+        a.append(at + x[some])
+        b.append(at + y[some])
+        held += int(some.sum())
+        if held > 3 * len(fp):
+            return None
+    return np.concatenate(a), np.concatenate(b)
+
+
 def _band_edges(reach: int):
     """Candidates of blocks sorted by (k1, k2): all within ``reach`` where they
-    are few, a forest of the nearest in dense and in large blocks. Such a block
-    is told as a row (k1, k2, -1)."""
+    are few, a forest of the nearest in dense blocks and in those over ``WIDE``.
+    Such a block is told as a row (k1, k2, -1)."""
     reaches = (reach * 3 // 8, reach * 11 // 16, reach)
 
     def found(k1: np.ndarray, k2: np.ndarray, node: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -342,9 +357,17 @@ def _band_edges(reach: int):
             lag += 1
             at = at[left[at] >= lag]
         a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in zip(*pairs, strict=True)) if pairs else (np.empty(0, np.int64),) * 2
-        dense = (np.bincount(block[a], minlength=len(cuts)) > 3 * sizes) | (sizes > SMALL)
+        dense = (np.bincount(block[a], minlength=len(cuts)) > 3 * sizes) | (sizes > WIDE)
         keep = ~dense[block[a]]
         a, b = [a[keep]], [b[keep]]
+        # Large blocks of texts that chance alone brought together are no dense ones.
+        for i in np.flatnonzero((sizes > SMALL) & ~dense):
+            few = _few_pairs(fp[cuts[i] : cuts[i] + sizes[i]], reach)
+            if few is None:
+                dense[i] = True
+            else:
+                a.append(cuts[i] + few[0])
+                b.append(cuts[i] + few[1])
         for i in np.flatnonzero(dense):
             index = GrayIndex(fp[cuts[i] : cuts[i] + sizes[i]])
             for x, y in index.forest(*reaches):
