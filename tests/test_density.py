@@ -44,6 +44,20 @@ def test_kernel_sums(spark, sizes):
     assert {r["entity_id"]: r["total"] for r in rows} == pytest.approx(dict(zip((np.arange(len(x)) * 7).tolist(), want, strict=True)), rel=1e-10)
 
 
+def test_blocks_are_sent_by_groups(spark, monkeypatch):
+    """However many pairs of blocks meet, a block is sent once for each group."""
+    x = _points(600, 5)
+    index = density.build(_matrix(spark, x), NAMES, 7, cells=40, points=8)
+    monkeypatch.setattr(density, "LEAST_GROUPS", 3)
+    n = len(index.sizes)
+    told = density._each_pair(
+        index, lambda a: np.arange(n), index.blocks.select("block"),
+        lambda mine, others: [{"a": mine["block"], "b": o["block"], "sent": len(others)} for o in others], "a long, b long, sent long",
+    ).toPandas()
+    assert len(told) == n * n == len(told.drop_duplicates(["a", "b"])) and n > 30
+    assert told["sent"].min() >= n // 3 and len(told.drop_duplicates(["a", "sent"])) <= 3 * n
+
+
 def test_few_entities(spark):
     none = _matrix(spark, np.zeros((1, 4))).limit(0)
     assert density.build(none, NAMES, 3) is None

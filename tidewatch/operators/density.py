@@ -5,8 +5,8 @@ Entities with equal features are one point. Points go to the nearest of at most
 thousand blocks. For each block the least and greatest distance to each of up to
 ``PIVOTS`` pivots is kept; by the triangle inequality two blocks are at least as
 far apart as these ranges are for any pivot. Pairs of blocks that this bound
-excludes are skipped, each other pair meets in a task of its own, and inside it
-rows of one block that are too far from the whole other block are skipped too.
+excludes are skipped. Tasks take two groups of blocks each and measure the pairs
+left between them; rows too far from the whole other block are skipped too.
 The driver sees centres and ranges alone, whose number is bounded.
 """
 
@@ -29,6 +29,8 @@ from tidewatch.functions.lineage import cut
 CELLS, POINTS, PIVOTS = 1024, 256, 128
 #: Blocks next to a block that are met first, to learn how far neighbours are.
 FIRST = 3
+#: Points of a group of blocks, and groups where there are fewer points.
+SIDE, LEAST_GROUPS = 16_384, 8
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -118,37 +120,60 @@ def build(matrix: DataFrame, features: list[str], lowest: int, cells: int = CELL
 
 
 def _each_pair(index: Index, chosen: Callable[[int], np.ndarray], states: DataFrame, visit: Callable, schema: str) -> DataFrame:
-    """``visit(mine, other)`` for every block and those ``chosen`` for it; ``mine``
-    is a row of the blocks with the columns of ``states`` (block, ...)."""
-    spark = states.sparkSession
-
-    def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for a in f["id"]:
-                b = np.asarray(chosen(int(a)), np.int64)
-                yield pd.DataFrame({"a": np.full(len(b), a), "b": b})
+    """``visit(mine, others)`` for every block and those ``chosen`` for it; ``mine``
+    is a row of the blocks with the columns of ``states`` (block, ...).
 
-    pairs = cut(spark.range(len(index.sizes)).mapInPandas(listed, "a long, b long"))
-    plain = index.blocks
+    Blocks are dealt into groups of about ``SIDE`` points. A task has two groups,
+    so a block is sent once for each group that it meets, not for each block, and
+    gives one result for all blocks of a group."""
+    spark = states.sparkSession
+    total = len(index.sizes)
+    n = min(total, max(LEAST_GROUPS, -(-int(index.sizes.sum()) // SIDE)))
+    group = np.arange(total) * n // total
+
+    met = {(int(group[a]), int(g)) for a in range(total) for g in np.unique(group[np.asarray(chosen(a), np.int64)])}
+    tasks = spark.createDataFrame([(i, *x) for i, x in enumerate(sorted(met))], "task long, ga long, gb long")  # at most n * n rows
+    groups = spark.createDataFrame([(i, int(g)) for i, g in enumerate(group)], "block long, grp long")
+    plain = index.blocks.join(F.broadcast(groups), "block")
     extra = [c for c in states.columns if c != "block"]
-    left = pairs.join(plain.join(states, "block"), pairs.a == F.col("block")).select("a", "b", F.lit(0).alias("side"), *plain.columns[1:], *extra)
+    columns = ["task", F.lit(0).alias("side"), *index.blocks.columns, *extra]
+    left = plain.join(states, "block").join(F.broadcast(tasks), F.col("grp") == F.col("ga")).select(*columns)
     none = [F.lit(None).cast(states.schema[c].dataType).alias(c) for c in extra]
-    right = pairs.join(plain, pairs.b == F.col("block")).select("a", "b", F.lit(1).alias("side"), *plain.columns[1:], *none)
+    right = plain.join(F.broadcast(tasks), F.col("grp") == F.col("gb")).select("task", F.lit(1).alias("side"), *index.blocks.columns, *none)
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def meet(table: pa.Table) -> pa.Table:
-        two = {r["side"]: r for r in table.to_pylist()}
-        rows = visit(two[0], two[1])
-        return pa.Table.from_pylist(rows, schema=arrow)
+        rows = table.to_pylist()
+        others = {r["block"]: r for r in rows if r["side"]}
+        found = []
+        for mine in (r for r in rows if not r["side"]):
+            here = [others[b] for b in np.asarray(chosen(mine["block"])).tolist() if b in others]
+            if here:
+                found += visit(mine, here)
+        return pa.Table.from_pylist(found, schema=arrow)
 
-    return left.unionByName(right).groupBy("a", "b").applyInArrow(meet, schema)
+    # A number of its own, so that small tables are not laid together in one task.
+    dealt = left.unionByName(right).repartition(max(1, len(met)), "task")
+    return dealt.groupBy("task").applyInArrow(meet, schema)
 
 
 def _rows(block: dict) -> np.ndarray:
     return np.array(block["x"]).reshape(len(block["n"]), -1)
 
 
+def _squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squared distances by one product, and a bound of their error: rows are
+    taken from the mean of ``y``, so that little cancels."""
+    x, y = x - (mean := y.mean(axis=0)), y - mean
+    a, b = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    got = x @ y.T
+    got *= -2
+    got += a[:, None]
+    got += b[None]
+    return np.maximum(got, 0, out=got), 1e-13 * (x.shape[1] + 4) * float(a.max(initial=0) + b.max(initial=0) + (mean * mean).sum())
+
+
 def _within(x: np.ndarray, other: dict, reach: np.ndarray) -> np.ndarray:
     """Rows of ``x`` that may have a point of the other block within their reach."""
     far = distances(x, np.array(other["mean"])[None]).ravel() - other["radius"]
@@ -161,15 +186,17 @@ def kernel_sums(index: Index, width: float, lost: float = 1e-12) -> DataFrame:
     distance would add under ``lost`` are left out."""
     reach = float(width * np.sqrt(2 * np.log(max(index.members.count(), 2) / lost)))
 
-    def visit(mine: dict, other: dict) -> list[dict]:
-        x, y, n = _rows(mine), _rows(other), np.array(other["n"], float)
-        out = []
-        near = _within(x, other, np.full(len(x), reach))
-        for at in range(0, len(near), 256):
-            rows = near[at : at + 256]
-            total = np.exp(-(distances(x[rows], y) ** 2) / (2 * width**2)) @ n
-            out += [{"pid": mine["pids"][i], "part": float(t)} for i, t in zip(rows, total, strict=True)]
-        return out
+    def visit(mine: dict, others: list[dict]) -> list[dict]:
+        x, sums = _rows(mine), np.zeros(len(mine["n"]))
+        for other in others:
+            y, n = _rows(other), np.array(other["n"], float)
+            near = _within(x, other, np.full(len(x), reach))
+            for at in range(0, len(near), 256):
+                rows = near[at : at + 256]
+                d2 = _squares(x[rows], y)[0]
+                d2 *= -1 / (2 * width**2)
+                sums[rows] += np.exp(d2, out=d2) @ n
+        return [{"pid": p, "part": t} for p, t in zip(mine["pids"], sums.tolist(), strict=True)]
 
     bare = _bare(index)
     parts = _each_pair(index, lambda a: np.flatnonzero(bare.apart(a) <= reach), index.blocks.select("block"), visit, "pid string, part double")
@@ -189,23 +216,37 @@ def nearest(index: Index, k: int) -> DataFrame:
     schema = f"block long, pid string, near {cand}"
     bare = _bare(index)
 
-    def visit(mine: dict, other: dict) -> list[dict]:
-        x, y = _rows(mine), _rows(other)
+    def visit(mine: dict, others: list[dict]) -> list[dict]:
+        x = _rows(mine)
         reach = np.array(mine["reach"], float) if mine.get("reach") is not None else np.full(len(x), np.inf)
-        held = np.array([len(i) for i in other["ids"]])
-        ids = np.array([i for some in other["ids"] for i in some], object)
-        point, out = np.repeat(np.arange(len(y)), held), []
-        rows = _within(x, other, reach)
-        for at in range(0, len(rows), 256):
-            mine_rows = rows[at : at + 256]
-            d = distances(x[mine_rows], y)[:, point]
-            last = np.partition(d, min(k, d.shape[1] - 1), axis=1)[:, min(k, d.shape[1] - 1)]
-            for i, row, limit in zip(mine_rows, d, np.minimum(last, reach[mine_rows]), strict=True):
-                hit = np.flatnonzero(row <= limit)
-                if len(hit):
-                    found = sorted(zip(row[hit].tolist(), ids[hit].tolist(), strict=True))[: k + 1]
-                    out.append({"block": mine["block_no"], "pid": mine["pids"][i], "near": [{"d": a, "id": b} for a, b in found]})
-        return out
+        best: list[list] = [[] for _ in x]
+        middle = x.mean(axis=0)
+        for other in sorted(others, key=lambda o: float(((np.array(o["mean"]) - middle) ** 2).sum())):
+            y = _rows(other)
+            rows = _within(x, other, reach)
+            for at in range(0, len(rows), 256):
+                mine_rows = rows[at : at + 256]
+                d2, slip = _squares(x[mine_rows], y)
+                # A point has an id at least: k + 1 points are enough.
+                last = np.partition(d2, k, axis=1)[:, k] if d2.shape[1] > k + 1 and np.isinf(reach[mine_rows]).any() else np.inf
+                limit = np.minimum(last, reach[mine_rows] ** 2 * (1 + 1e-12)) + 2 * slip
+                r, c = np.nonzero(d2 <= limit[:, None])
+                exact = np.zeros(len(r))
+                for f in range(x.shape[1]):
+                    exact += (x[mine_rows[r], f] - y[c, f]) ** 2
+                exact = np.sqrt(exact)
+                keep = exact <= reach[mine_rows[r]]
+                r, c, exact = r[keep], c[keep], exact[keep]
+                cuts = np.flatnonzero(np.diff(r)) + 1
+                for lo, hi in zip([0, *cuts], [*cuts, len(r)], strict=True):
+                    if lo == hi:
+                        continue
+                    i = int(mine_rows[r[lo]])
+                    new = [(d, e) for d, j in zip(exact[lo:hi].tolist(), c[lo:hi].tolist(), strict=True) for e in other["ids"][j]]
+                    best[i] = sorted(best[i] + new)[: k + 1]
+                    if len(best[i]) > k:
+                        reach[i] = min(reach[i], best[i][k][0])
+        return [{"block": mine["block_no"], "pid": p, "near": [{"d": d, "id": e} for d, e in near]} for p, near in zip(mine["pids"], best, strict=True) if near]
 
     def merged(found: DataFrame) -> DataFrame:
         # Of each pair of blocks at most k + 1 within the reach known so far.
