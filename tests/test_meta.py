@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators import meta
+from tidewatch.plans import model_queries
 
 QUICK = meta.Learners(trees=10, forest_depth=3, rounds=3, boost_depth=2)
 
@@ -82,3 +83,34 @@ def test_too_little_falls_back_to_points(known):
     scores, features, truth = known
     few = meta.learned(scores, features, truth.limit(1), QUICK)
     assert few.count() == 120 and few.columns == ["entity_id", "score"]
+
+
+def test_fits_share_tasks_whatever_the_settings(spark, known, monkeypatch):
+    """A fit takes one task for each ``SHARE`` entities, none is made in vain, and
+    scores don't depend on how shuffles are cut."""
+    seen = []
+    for kind in (meta.RandomForestClassifier, meta.GBTClassifier):
+        monkeypatch.setattr(kind, "_fit", lambda self, rows, plain=kind._fit: seen.append(rows.rdd.getNumPartitions()) or plain(self, rows))
+    held = {}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for n in ("3", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            held[n] = {r["entity_id"]: r["score"] for r in meta.learned(*known, QUICK, 2).collect()}
+        assert held["3"] == held["7"] and len(held["3"]) == 120
+        assert seen == [1] * 8
+        monkeypatch.setattr(meta, "SHARE", 50)
+        assert meta.fit(*known, QUICK, 2).held.count() == 120 and seen[8:] == [3] * 5
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_learned_query_makes_features_once(spark, monkeypatch):
+    sf, made, given = "/root/testdata/sf0.001", [], []
+    plain = model_queries.features.build_features
+    want = model_queries.QUERIES["statml_zscore"](spark, sf).collect()
+    monkeypatch.setattr(model_queries.features, "build_features", lambda events: made.append(1) or plain(events))
+    monkeypatch.setattr(model_queries.meta, "learned", lambda scores, feats, truth: given.append(feats) or scores.where("model = 'statml_zscore'").drop("model"))
+    got = model_queries.QUERIES["fusion_learned"](spark, sf).collect()
+    assert len(made) == 1 and sorted(got) == sorted(want) and given[0].count() == len(want)

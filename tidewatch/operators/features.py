@@ -49,7 +49,11 @@ def build_features(events: DataFrame) -> DataFrame:
 
 def feature_matrix(events: DataFrame) -> DataFrame:
     """(entity_id, features standardised): logs, then (x - mean) / (std + EPS)."""
-    f = build_features(events)
+    return standardised(build_features(events))
+
+
+def standardised(f: DataFrame) -> DataFrame:
+    """``feature_matrix`` of features that are made already."""
     f = cut(f.select("entity_id", *(F.log1p(F.greatest(F.col(c), F.lit(0.0))).alias(c) if c in LOGGED else F.col(c) for c in FEATURES)))
     stats = f.agg(*(g(c).alias(f"_{tag}_{c}") for c in FEATURES for tag, g in (("m", F.avg), ("s", F.stddev_samp))))
     met = f.join(F.broadcast(stats))

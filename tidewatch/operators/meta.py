@@ -27,6 +27,9 @@ from tidewatch.operators.fusion import borda
 CELLS = 4096
 #: Cells of probability that average precision is taken over.
 STEPS = 10_000
+#: Entities a task of a fit. A learner starts some hundred jobs, one for each level
+#: of its trees, so that tasks of few entities are mostly starts of tasks.
+SHARE = 65_536
 
 
 @dataclass(frozen=True)
@@ -93,42 +96,87 @@ def _probability(model, rows: DataFrame) -> DataFrame:
     return model.transform(rows).select("entity_id", "label", vector_to_array("probability")[1].alias("p"))
 
 
-def fit(scores: DataFrame, features: DataFrame, truth: DataFrame, learners: Learners = Learners(), folds: int = 5) -> Fitted | None:
+def _partitions(n: int) -> int:
+    return max(1, -(-n // SHARE))
+
+
+@dataclass
+class Crossed:
+    """Both learners out of fold: what ``fit`` and ``learned`` go on from. ``ready``
+    is kept by the executors until ``release``."""
+
+    ready: DataFrame
+    assembler: VectorAssembler
+    names: list[str]
+    precision: dict[str, float]
+    held: DataFrame
+    best: str
+
+    def release(self) -> None:
+        self.ready.unpersist()
+
+
+def cross(scores: DataFrame, features: DataFrame, truth: DataFrame, learners: Learners = Learners(), folds: int = 5) -> Crossed | None:
     """Both learners over stratified folds, classes weighed alike; None with fewer
-    than twelve entities or two of a class."""
+    than twelve entities or two of a class.
+
+    Entities are dealt to tasks by their number alone and ordered there. Learners
+    draw by task and place, so that the cluster's settings don't change the draws."""
     names = [r["model"] for r in scores.select("model").distinct().orderBy("model").collect()]
     known = truth.select("entity_id").distinct().withColumn("label", F.lit(1.0))
     rows = cut(inputs(scores, features, names).join(known, "entity_id", "left").na.fill(0.0, ["label"]))
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    least = min(counts.get(0.0, 0), counts.get(1.0, 0))
-    if least < 2 or sum(counts.values()) < 12:
+    least, n = min(counts.get(0.0, 0), counts.get(1.0, 0)), sum(counts.values())
+    if least < 2 or n < 12:
         return None
     folds = min(folds, least)
-    weight = F.when(F.col("label") == 1, sum(counts.values()) / (2 * counts[1.0])).otherwise(sum(counts.values()) / (2 * counts[0.0]))
+    weight = F.when(F.col("label") == 1, n / (2 * counts[1.0])).otherwise(n / (2 * counts[0.0]))
     assembler = VectorAssembler(inputCols=[c for c in rows.columns if c not in ("entity_id", "label")], outputCol="vector")
-    ready = dealt(rows, folds, learners.seed).withColumn("weight", weight)
-    ready = cut(assembler.transform(ready).select("entity_id", "label", "weight", "fold", "vector"))
+    ready = assembler.transform(dealt(rows, folds, learners.seed).withColumn("weight", weight)).select("entity_id", "label", "weight", "fold", "vector")
+    tasks = _partitions(n)
+    # The second count holds where a session deals keys to more tasks than asked.
+    ready = ready.repartition(tasks, "entity_id").coalesce(tasks).sortWithinPartitions("entity_id").persist()
 
     def one(task: tuple[str, int]) -> DataFrame:
         name, fold = task
         model = learners.all()[name].fit(ready.where(F.col("fold") != fold))
         return cut(_probability(model, ready.where(F.col("fold") == fold)))
 
-    tasks = [(name, fold) for name in learners.all() for fold in range(folds)]
-    with ThreadPoolExecutor(4) as pool:
-        parts = dict(zip(tasks, pool.map(one, tasks), strict=True))
-    held = {name: reduce(DataFrame.union, [parts[name, f] for f in range(folds)]) for name in learners.all()}
-    precision = {name: average_precision(rows) for name, rows in held.items()}
+    # Boosting has the longest row of jobs and starts first; all fits run side by side.
+    fits = [(name, fold) for name in reversed(learners.all()) for fold in range(folds)]
+    try:
+        ready.count()
+        with ThreadPoolExecutor(len(fits)) as pool:
+            parts = dict(zip(fits, pool.map(one, fits), strict=True))
+        held = {name: reduce(DataFrame.union, [parts[name, f] for f in range(folds)]) for name in learners.all()}
+        precision = {name: average_precision(rows) for name, rows in held.items()}
+    except BaseException:
+        ready.unpersist()
+        raise
     best = max(precision, key=lambda name: (precision[name], name))
-    model = PipelineModel([assembler, learners.all()[best].fit(ready)])
-    return Fitted(model, names, precision, held[best].select("entity_id", F.col("p").alias("score")))
+    return Crossed(ready, assembler, names, precision, held[best].select("entity_id", F.col("p").alias("score")), best)
+
+
+def fit(scores: DataFrame, features: DataFrame, truth: DataFrame, learners: Learners = Learners(), folds: int = 5) -> Fitted | None:
+    """``cross``, and the better learner fitted to all entities."""
+    found = cross(scores, features, truth, learners, folds)
+    if not found:
+        return None
+    try:
+        model = PipelineModel([found.assembler, learners.all()[found.best].fit(found.ready)])
+    finally:
+        found.release()
+    return Fitted(model, found.names, found.precision, found.held)
 
 
 def learned(scores: DataFrame, features: DataFrame, truth: DataFrame, learners: Learners = Learners(), folds: int = 5) -> DataFrame:
     """(entity_id, score): out-of-fold probability of the better learner; Borda
-    points where too little is known to learn from."""
-    found = fit(scores, features, truth, learners, folds)
-    return found.held if found else borda(scores)
+    points where too little is known to learn from. No model of all is fitted."""
+    found = cross(scores, features, truth, learners, folds)
+    if not found:
+        return borda(scores)
+    found.release()
+    return found.held
 
 
 def apply(model: PipelineModel, scores: DataFrame, features: DataFrame) -> DataFrame:

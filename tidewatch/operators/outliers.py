@@ -177,7 +177,12 @@ def pca_error(events: DataFrame, components: int = 4) -> DataFrame:
 
 def max_zscore(events: DataFrame) -> DataFrame:
     """The largest standardised feature, either way."""
-    return scoremin(feature_matrix(events).select("entity_id", F.greatest(*(F.abs(F.col(c)) for c in FEATURES)).alias("raw")), "raw")
+    return largest_deviation(feature_matrix(events))
+
+
+def largest_deviation(matrix: DataFrame) -> DataFrame:
+    """``max_zscore`` of a matrix that is made already."""
+    return scoremin(matrix.select("entity_id", F.greatest(*(F.abs(F.col(c)) for c in FEATURES)).alias("raw")), "raw")
 
 
 def hbos(events: DataFrame, bins: int = 10) -> DataFrame:

@@ -258,11 +258,13 @@ ot AS (SELECT pr.entity_id, avg(density) AS other FROM pr JOIN ds ON ds.entity_i
 _FUSED = ["time_correlation", "network_oddball", "structuring_events", "behavioral", "statml_zscore"]
 
 
-def _scores(spark: SparkSession, sf: str) -> DataFrame:
+def _scores(spark: SparkSession, sf: str, own: dict[str, Query] | None = None) -> DataFrame:
     """Each model is run once, however often its scores are read; the jobs that
-    models need on the way to their plans share the cluster."""
+    models need on the way to their plans share the cluster. ``own`` stands in for
+    queries whose inputs the caller needs too."""
+    found = QUERIES | (own or {})
     with ThreadPoolExecutor(len(_FUSED)) as pool:
-        models = dict(zip(_FUSED, pool.map(lambda name: QUERIES[name](spark, sf), _FUSED), strict=True))
+        models = dict(zip(_FUSED, pool.map(lambda name: found[name](spark, sf), _FUSED), strict=True))
     return cut(fusion.stack(models))
 
 
@@ -308,7 +310,17 @@ def _truth(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _TRUTH_SQL = "tr AS (SELECT DISTINCT entity_id, CASE WHEN entity_id % 2 = 0 THEN 'even' ELSE 'odd' END AS kind FROM ev WHERE entity_id % 7 = 0)"
-QUERIES["fusion_learned"] = lambda spark, sf: rounded(meta.learned(_scores(spark, sf), features.build_features(events_view(spark, sf)), _truth(spark, sf)))
+
+
+def fusion_learned(spark: SparkSession, sf: str) -> DataFrame:
+    """Features are made once, for the learners and for the model that reads them."""
+    with ThreadPoolExecutor(1) as pool:
+        made = pool.submit(lambda: cut(features.build_features(events_view(spark, sf))))
+        scores = _scores(spark, sf, {"statml_zscore": lambda *_: rounded(outliers.largest_deviation(features.standardised(made.result())))})
+    return rounded(meta.learned(scores, made.result(), _truth(spark, sf)))
+
+
+QUERIES["fusion_learned"] = fusion_learned
 QUERIES["evaluation_recall_precision"] = lambda spark, sf: evaluation.recall_precision(risk_ranking(spark, sf), _truth(spark, sf))
 ORACLE["evaluation_recall_precision"] = f"""WITH {_RANKING_SQL}, {_TRUTH_SQL}, pl AS (SELECT entity_id, row_number() OVER (ORDER BY score DESC, entity_id) AS place FROM rn),
 k AS (SELECT unnest([5, 10, 20]) AS k), pn AS (SELECT (SELECT count(*) FROM tr) AS p, (SELECT count(*) FROM rn) AS n)
