@@ -136,6 +136,30 @@ def test_similar_names_of_hashes(spark):
     assert keys < 130 * len(names)
 
 
+def _met(spark, names):
+    """Rows that names of one list make of pairs on equal keys."""
+    sized = spark.createDataFrame([(n,) for n in names], "name string").selectExpr("monotonically_increasing_id() AS id", "name", "length(name) AS size", "0L AS sig")
+    lengths = resolution._lengths(sized)
+    return resolution._keys(sized, lengths, 88.0, False).join(resolution._keys(sized, lengths, 88.0, True).toDF("key", "b", "sb", "d"), "key").where("id <> b").count()
+
+
+def test_similar_names_are_cut_where_they_differ(spark):
+    """Stretches that all names share are no keys of their own; else all names
+    would meet there."""
+    rng = random.Random(6)
+    names = sorted({"".join(rng.choices("0123456789abcdef", k=18)) + "same in all" + "".join(rng.choices("0123456789abcdef", k=8)) for _ in range(600)})
+    assert _met(spark, names) < 30 * len(names)
+
+
+def test_similar_names_of_two_lists(spark):
+    rng = random.Random(7)
+    known = sorted({"".join(rng.choices("abcdef", k=rng.randint(9, 26))) for _ in range(120)} | {"aaaaaaaaaaaaa", "aaaaaaaaaaaaaa", "josé 𝒶bc def ghi", "😀😁 smith jones"})
+    listed = sorted({n[:k] + x + n[k + c :] for n in known for k, x, c in [(rng.randrange(len(n)), rng.choice("abcx"), rng.randint(0, 1))]} - set(known))
+    tables = [spark.createDataFrame([(n,) for n in names], "name string") for names in (listed, known)]
+    want = sorted((a, b) for a in listed for b in known if similarity.ratio(a, b) >= 88)
+    assert sorted(map(tuple, resolution.similar_names(tables[0], to=tables[1]).collect())) == want and len(want) > 100
+
+
 def test_resolve(spark):
     rows = [("A1", "Maria Cruz", "bank"), ("A2", "Cruz  Maria", "bank"), ("P1", "maria cruz", "cdr"), ("H1", "Maria Crus", "social"), ("X", None, "bank"), (None, "Zed", "bank"), ("X", None, "bank")]
     events = spark.createDataFrame(rows, "actor_raw string, actor_name string, source string")

@@ -9,7 +9,8 @@ source holds. That rule does not depend on the order of rows.
 
 Alike names (``LEAST`` by sorted tokens) are found without comparing all pairs:
 two names whose indel distance is at most d share one of d + 1 segments, so
-names meet only on equal segments near the same place, then are measured.
+names meet only on equal segments near the same place, then are measured. Keys
+grow with the names; what meets on a key by chance, with their square.
 """
 
 from __future__ import annotations
@@ -37,43 +38,85 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def _keys(names: DataFrame, lengths: DataFrame, least: float, longer: bool) -> DataFrame:
-    """(key, name, sig, d): a name's segments as the shorter of a pair, or the
-    stretches at which they may stand in it as the ``longer``, for each length
-    that the other name may have; ``d`` is the pair's largest indel distance."""
-    stretch = (200 - least) / least
-    mine, other = ("m", "n") if longer else ("n", "m")
-    reach = f"sequence(cast(ceil({mine} / {stretch:.6f} - 1e-9) as int), {mine})" if longer else f"sequence({mine}, cast(floor({mine} * {stretch:.6f} + 1e-9) as int))"
-    tried = names.withColumnRenamed("size", mine).withColumn(other, F.explode(F.expr(reach)))
-    tried = tried.join(F.broadcast(lengths.withColumnRenamed("size", other)), other)
+def _lengths(names: DataFrame) -> DataFrame:
+    """(size, n, total, mids) for each length of the names (``name``, ``size``):
+    how many there are, and where the middle of each place lies on a scale of
+    bits. A place has -log2 of the chance that two names agree there, and a
+    little more, so that places at which all agree are cut as well."""
+    letters = names.select("size", F.posexplode(F.split("name", "")).alias("at", "letter")).groupBy("size", "at", "letter").agg(F.count("*").alias("k"))
+    places = letters.groupBy("size", "at").agg(F.sum("k").alias("n"), (0.01 + 2 * F.log2(F.sum("k")) - F.log2(F.sum(F.col("k").cast("double") * F.col("k")))).alias("bits"))
+    upto = places.withColumn("upto", F.sum("bits").over(Window.partitionBy("size").orderBy("at")))
+    listed = upto.groupBy("size").agg(F.max("n").alias("n"), F.max("upto").alias("total"), F.array_sort(F.collect_list(F.struct("at", (F.col("upto") - F.col("bits") / 2).alias("mid")))).alias("x"))
+    return listed.select("size", "n", "total", F.col("x.mid").alias("mids"))
+
+
+def _windows(lengths: DataFrame, least: float, longer: bool, apart: bool = False) -> DataFrame:
+    """(size, cut, e, i, start, width, d): the places of names of ``size`` that are
+    keys, either their own segments or, of the ``longer``, the stretches at which
+    the i-th of e + 1 segments of a name of length ``cut`` may stand; ``d`` is the
+    largest indel distance of the two lengths. Of two lengths the more frequent one
+    is cut, for which fewer keys are made; two ``apart`` sets have sides by ``cuts``."""
+    # Without counts the longer is cut, and evenly.
+    known = lengths if "mids" in lengths.columns else lengths.select("size", F.lit(0).alias("n"), F.lit(0.0).alias("total"), F.lit(None).cast("array<double>").alias("mids"))
+    sides = [known.where("cuts"), known.where("not cuts")] if apart else [known, known]
+    cut_, other = sides[0].select(F.col("size").alias("cut"), F.col("n").alias("nc"), "total", "mids"), sides[1].select(F.col("size").alias("p"), F.col("n").alias("np"))
+    t, own = _allowed(least, "cut", "p"), _allowed(least, "cut", "cut")
     # Indels change the summed length by one each: its parity is that of their number.
-    t = _allowed(least, "n", "m")
-    tried = tried.withColumn("d", F.expr(f"{t} - pmod(n + m - {t}, 2)")).where("d >= m - n")
-    cuts = "transform(sequence(0, d), i -> struct(i, cast(floor(i * n / (d + 1)) as int) as s, cast(floor((i + 1) * n / (d + 1)) as int) as e))"
-    shifts = "filter(sequence(-c.i, c.i, 2), x -> abs(m - n - x) <= d - c.i and c.s + x >= 0 and c.e + x <= m)" if longer else "array(0)"
-    keys = f"array_distinct(flatten(transform({cuts}, c -> transform({shifts}, x -> xxhash64(n, m, c.i, substr(name, c.s + x + 1, c.e - c.s))))))"
-    return tried.select(F.explode(F.expr(keys)).alias("key"), "name", "sig", "d")
-
-
-def similar_names(names: DataFrame, least: float = LEAST) -> DataFrame:
+    met = cut_.crossJoin(other).withColumn("d", F.expr(f"{t} - pmod(cut + p - {t}, 2)")).where("d >= abs(cut - p)")
+    if not apart:
+        met = met.where("struct(nc, cut) >= struct(np, p)")
+    # As many segments as its own length needs serve the smaller distances too.
+    met = met.withColumn("e", F.expr(f"greatest(d, {own} - pmod({own}, 2))"))
+    bound = "CASE WHEN j = 0 THEN 0 WHEN j > e THEN cut WHEN mids IS NULL THEN cast(floor(j * cut / (e + 1)) as int) ELSE size(filter(mids, x -> x < j * total / (e + 1))) END"
+    met = met.withColumn("at", F.expr(f"transform(sequence(0, e + 1), j -> {bound})"))
+    if not longer:
+        each = met.select("cut", "e", "at").distinct().select("cut", "e", "at", F.explode(F.expr("sequence(0, e)")).alias("i"))
+        return each.selectExpr("cut AS size", "cut", "e", "i", "at[i] AS start", "at[i + 1] - at[i] AS width")
+    shifted = met.select("p", "cut", "d", "e", "at", F.explode(F.expr("sequence(0, d)")).alias("i")).select("*", F.explode(F.expr("sequence(-i, i, 2)")).alias("x"))
+    reached = shifted.where("abs(p - cut - x) <= d - i and at[i] + x >= 0 and at[i + 1] + x <= p")
+    # An empty segment is met once, wherever it stands.
+    return reached.selectExpr("p AS size", "cut", "e", "i", "if(at[i + 1] > at[i], at[i] + x, 0) AS start", "at[i + 1] - at[i] AS width", "d").distinct()
+
+
+def _keys(names: DataFrame, lengths: DataFrame, least: float, longer: bool, apart: bool = False) -> DataFrame:
+    """(key, ...) for each window of each name, with the names' other columns."""
+    kept = [c for c in names.columns if c not in ("name", "size")] + ["d"] * longer
+    tried = names.join(F.broadcast(_windows(lengths, least, longer, apart)), "size")
+    return tried.select(F.expr("xxhash64(cut, e, i, substr(name, start + 1, width))").alias("key"), *kept)
+
+
+def similar_names(names: DataFrame, least: float = LEAST, to: DataFrame | None = None) -> DataFrame:
     """(a, b) of different normal names that are alike; ``names`` has ``name``,
-    each once. Every such pair comes once, shorter name first.
+    each once. Every such pair comes once, shorter name first. With ``to``, other
+    names, all pairs of one of ``names``, a, and one of ``to``, b.
 
-    Of d + 1 segments under d indels some i-th is whole with exactly i indels
+    Of d + 1 segments or more under d indels some i-th is whole with exactly i indels
     before it: take the last that has at least as many before it. It stands in the
-    longer name shifted by -i, -i + 2, ... or i, and the rest allows d - i at most.
-    Each indel turns one bit of ``sig``, the parities of the letters' numbers.
+    other name shifted by -i, -i + 2, ... or i, and the rest allows d - i at most.
+    Segments hold about equal shares of what tells names apart. Each indel turns one
+    bit of ``sig``, the numbers of the letters in Gray code, two bits a letter.
+    Keys travel with numbers; only for what is left are names looked up.
     """
-    bit = "shiftleft(1L, cast(pmod(xxhash64(c), 64) as int))"
-    sig = F.expr(f"aggregate(split(name, ''), 0L, (x, c) -> x ^ {bit})")
-    sized = cut(names.where("name <> ''").select("name", F.length("name").alias("size"), sig.alias("sig")))
-    lengths = sized.select("size").distinct()
-    one = _keys(sized, lengths, least, False).toDF("key", "a", "sa", "d")
-    two = _keys(sized, lengths, least, True).drop("d").toDF("key", "b", "sb")
+    odd = "cast((shiftrightunsigned(x, {0}) ^ shiftrightunsigned(x, {0} + 32)) & 1 as int)".format("ascii(c) % 32")
+    sig = F.expr(f"aggregate(split(name, ''), 0L, (x, c) -> x ^ shiftleft(1L, ascii(c) % 32 + 32 * {odd}))")
+    both = names.select("name", F.lit(False).alias("cuts"))
+    both = both.union(to.select("name", F.lit(True).alias("cuts"))) if to is not None else both
+    sized = cut(both.where("name <> ''").select(F.monotonically_increasing_id().alias("id"), "name", "cuts", F.length("name").alias("size"), sig.alias("sig")))
+    if to is None:
+        one = two = sized.drop("cuts")
+        lengths = cut(_lengths(one))
+    else:
+        one, two = sized.where("cuts").drop("cuts"), sized.where("not cuts").drop("cuts")
+        lengths = cut(_lengths(one).withColumn("cuts", F.lit(True)).union(_lengths(two).withColumn("cuts", F.lit(False))))
+    one = _keys(one, lengths, least, False, to is not None).toDF("key", "a", "sa")
+    two = _keys(two, lengths, least, True, to is not None).toDF("key", "b", "sb", "d")
     # Merged, as the planner takes exploded rows for no larger than the names.
-    met = one.hint("merge").join(two, "key").where(F.expr("bit_count(sa ^ sb) <= d and (length(a) < length(b) or a < b)"))
-    pairs = met.where(F.expr("levenshtein(a, b, d) >= 0")).select("a", "b").distinct()
-    return pairs.where(_ratio("a", "b") >= least)
+    met = two.hint("merge").join(one, "key").where("bit_count(sa ^ sb) <= d and a <> b")
+    pairs = (met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d") if to is None else met.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).distinct()
+    told = pairs.join(sized.select(F.col("id").alias("a"), F.col("name").alias("na")), "a").join(sized.select(F.col("id").alias("b"), F.col("name").alias("nb")), "b")
+    near = told.where(F.expr("levenshtein(na, nb, d) >= 0")).select("na", "nb")
+    turned = "length(na) > length(nb) or length(na) = length(nb) and na > nb" if to is None else "false"
+    return near.selectExpr(f"if({turned}, nb, na) AS a", f"if({turned}, na, nb) AS b").where(_ratio("a", "b") >= least)
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
