@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.functions.lineage import cut
 from tidewatch.operators.resolution import LEAST, similar_names
 
 FIELDS = ["person_type", "storyline", "name", "phone", "account", "handle"]
@@ -32,11 +33,10 @@ def to_entities(key: DataFrame, mapping: DataFrame, named: DataFrame, least: flo
     ids = key.select("person", F.explode(F.array("account", "phone", "handle")).alias("identifier")).where("identifier <> ''")
     found = ids.join(mapping, "identifier").select("person", "entity_id").distinct()
     left = key.join(found, "person", "left_anti").select("person", _normal("name").alias("name")).where("name <> ''")
-    known = named.select(_normal("name").alias("known"), "entity_id").where("known <> ''").distinct()
+    known = cut(named.select(_normal("name").alias("known"), "entity_id").where("known <> ''").distinct())
     exact = left.join(known, left.name == known.known).select("person", "entity_id")
-    rest = left.join(exact, "person", "left_anti")
-    names = rest.select("name").union(known.select("known")).distinct()
-    pairs = similar_names(names, least)
-    both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("name"), F.col("b").alias("known")), F.struct(F.col("b").alias("name"), F.col("a").alias("known")))).alias("x")).select("x.*")
-    alike = rest.join(both, "name").join(known, "known").select("person", "entity_id")
+    rest = cut(left.join(exact, "person", "left_anti"))
+    # Names of the list meet those of the entities alone, which then all are cut.
+    pairs = similar_names(rest.select("name").distinct(), least, known.select(F.col("known").alias("name")).distinct())
+    alike = rest.join(pairs.toDF("name", "known"), "name").join(known, "known").select("person", "entity_id")
     return found.union(exact).union(alike).distinct()
